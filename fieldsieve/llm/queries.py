@@ -1,9 +1,13 @@
 """The queries of this subpackage and, where SQL expresses them, the SQL of their results."""
 
+from .near_dedup import OP7_SQL, op7_near_dedup
 from .quality_rules import op1_quality_rules
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op7_near_dedup": op7_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_near_dedup": OP7_SQL,
+}
