@@ -2,9 +2,11 @@
 
 from .near_dedup import OP7_SQL, op7_near_dedup
 from .quality_rules import op1_quality_rules
+from .substring_dedup import op6_substring_dedup
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_near_dedup": op7_near_dedup,
 }
 
