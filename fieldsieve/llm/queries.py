@@ -1,11 +1,13 @@
 """The queries of this subpackage and, where SQL expresses them, the SQL of their results."""
 
+from .decontamination import op5_decontamination
 from .near_dedup import OP7_SQL, op7_near_dedup
 from .quality_rules import op1_quality_rules
 from .substring_dedup import op6_substring_dedup
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op5_decontamination": op5_decontamination,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_near_dedup": op7_near_dedup,
 }

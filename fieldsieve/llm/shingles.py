@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 
 SIZE = 5
+PUNCTUATION = string.punctuation.encode()
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Texts handled at once: as many as stay under this many bytes, one at least.
 SLICE_BYTES = 4_000_000
@@ -21,9 +23,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def split(text: str | None) -> list[bytes]:
-    """Words with A-Z in lower case; bytes know no other upper case and split at ASCII white space only."""
-    return text.encode().lower().split() if text else []
+def split(text: str | None, plain: bool = False) -> list[bytes]:
+    """Words with A-Z in lower case; bytes know no other upper case and split at ASCII white space only.
+
+    plain: lower case of all scripts, and without ASCII punctuation.
+    """
+    if not text:
+        return []
+    return text.lower().encode().translate(None, PUNCTUATION).split() if plain else text.encode().lower().split()
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
@@ -38,9 +45,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             at = to
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | None], plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, and where each text's words begin (one more at the end)."""
-    lists = [split(t) for t in texts]
+    lists = [split(t, plain) for t in texts]
     starts = np.zeros(len(lists) + 1, dtype=np.int64)
     np.cumsum([len(x) for x in lists], out=starts[1:])
     flat = [w for x in lists for w in x]
