@@ -2,11 +2,13 @@
 
 from .decontamination import op5_decontamination
 from .near_dedup import OP7_SQL, op7_near_dedup
+from .packing import op3_packing
 from .quality_rules import op1_quality_rules
 from .substring_dedup import op6_substring_dedup
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_packing": op3_packing,
     "op5_decontamination": op5_decontamination,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_near_dedup": op7_near_dedup,
