@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldsieve.llm import quality_rules
+from fieldsieve.llm import decontamination, near_dedup, packing, quality_rules, substring_dedup
 from fieldsieve.llm.common import scratch_path
+from fieldsieve.llm.tokens import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +14,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filter_quality(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return near_dedup.deduplicated(docs)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that repeat are cut from all documents but the first that has them."""
+    return substring_dedup.without_repeats(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold half of a benchmark item or more go."""
+    return decontamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, packed into sequences of 2048 tokens; one row for each piece, with its ids."""
+    return packing.packed(docs, vocabulary("word_bpe_49k.json"), False, with_ids=True)
+
+
+STAGES = [("quality_rules", quality), ("near_dedup", near), ("substring_dedup", substrings), ("decontamination", benchmark), ("packing", sequences)]
 
 #: Whole-text statistics with robust estimates and greedy packing are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
