@@ -4,14 +4,18 @@ from .decontamination import op5_decontamination
 from .near_dedup import OP7_SQL, op7_near_dedup
 from .packing import op3_packing
 from .quality_rules import op1_quality_rules
+from .separator_scan import op2_separator_scan
 from .substring_dedup import op6_substring_dedup
+from .token_output import op10_token_output
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_separator_scan": op2_separator_scan,
     "op3_packing": op3_packing,
     "op5_decontamination": op5_decontamination,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_near_dedup": op7_near_dedup,
+    "op10_token_output": op10_token_output,
 }
 
 ORACLE_SQL: dict[str, str] = {
