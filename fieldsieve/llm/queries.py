@@ -5,6 +5,7 @@ from .near_dedup import OP7_SQL, op7_near_dedup
 from .packing import op3_packing
 from .quality_rules import op1_quality_rules
 from .separator_scan import op2_separator_scan
+from .sharding import op4_sharding
 from .substring_dedup import op6_substring_dedup
 from .token_output import op10_token_output
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_separator_scan": op2_separator_scan,
     "op3_packing": op3_packing,
+    "op4_sharding": op4_sharding,
     "op5_decontamination": op5_decontamination,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_near_dedup": op7_near_dedup,
