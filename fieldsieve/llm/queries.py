@@ -1,6 +1,7 @@
 """The queries of this subpackage and, where SQL expresses them, the SQL of their results."""
 
 from .decontamination import op5_decontamination
+from .html_extract import op8_html_extract
 from .lm_scoring import op9_lm_scoring
 from .near_dedup import OP7_SQL, op7_near_dedup
 from .packing import op3_packing
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_near_dedup": op7_near_dedup,
+    "op8_html_extract": op8_html_extract,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_token_output": op10_token_output,
 }
