@@ -6,9 +6,8 @@ that are far apart, and the full sets confirm the rest.
 
 - Texts with equal sets are one class; only its representative (least doc_id) is compared.
 - A list of up to `SHORT` representatives gives all its pairs. In a longer list every member
-  is compared with one centre, in two rounds of centres. What is left then is compared too:
-  members of a long list that are in different components, near enough in size, and that
-  could share enough values of long lists only. So no link depends on a cap.
+  is compared with one centre. Members of a long list that are in different components after
+  that are paired by an exact prefix filter on their full sets. So no link depends on a cap.
 - A pair at the similarity bound is missed only if its estimate falls below half the bound,
   about once in ten million such pairs.
 
@@ -28,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, discard
+from .common import cut
 from .components import components
 from .shingles import common, shingle_sets, slices
 
@@ -96,6 +95,71 @@ def _short_pairs(entries: DataFrame, hot: DataFrame) -> DataFrame:
     return met.where(shared >= LEAST_SHARE * of_union).select("a", "b")
 
 
+def _held(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, size, held): how many of a node's shingles another node of `hot` has too; without nodes that it rules out.
+
+    No pair shares more than the lesser `held`. So a copy with many edits of its own is out
+    before it is compared with anything.
+    """
+
+    every = _exploded(sets.join(hot.select("node"), "node"))
+    alone = every.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
+    out = hot.join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("held"))
+    return out.where(100 * F.col("held") >= percent * F.col("size"))
+
+
+def _long_links(long: DataFrame, held: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """links, and those between members of long lists that join what links leave apart."""
+    long = cut(long.select("value", "node").join(held, "node"), "long")
+    best = F.max_by("node", F.struct(F.col("held") / F.col("size"), -F.col("node")))  # the fewest shingles of its own
+    centre = long.groupBy("value").agg(best.alias("b"))
+    tried = cut(_ordered(long.join(centre, "value").select(F.col("node").alias("a"), "b")).distinct(), "tried")
+    links = cut(links.union(_confirm(tried, sets, percent)), "links")
+    now = long.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    many = now.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
+    apart = cut(now.join(many, "value").select("node", "size", "component").distinct(), "apart")
+    if apart.isEmpty():
+        return links
+    more = cut(_ordered(_prefix_pairs(apart, sets, percent)).distinct().join(tried, ["a", "b"], "left_anti"), "more")
+    return cut(links.union(_confirm(more, sets, percent)), "links")
+
+
+def _exploded(sets: DataFrame) -> DataFrame:
+    """(node, shingle) of packed sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = batch.column("set").to_pylist()
+            nodes = np.repeat(batch.column("node").to_numpy(), [len(x) // 8 for x in packed])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.frombuffer(b"".join(packed), dtype=np.int64))], ["node", "shingle"])
+
+    return sets.select("node", "set").mapInArrow(run, "node long, shingle long")
+
+
+def _prefix_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that can be near, by an exact prefix filter on the full sets.
+
+    Shingles are ordered by how many of the nodes hold them, the rarest first. Of two sets at
+    the bound, the rarest shingle in common stands within the first quarter of the larger set
+    and early enough in the smaller one that what follows it in either can still make the
+    overlap. So copies of one text with edits of their own do not even meet.
+    """
+    every = _exploded(sets.join(apart.select("node"), "node"))
+    held = every.groupBy("shingle").agg(F.count("*").alias("n"))
+    ranked = every.join(held, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))
+    ranked = ranked.join(apart, "node")
+    first = F.slice("s", 1, F.col("size").cast("int") - F.ceil(F.col("size") * percent / 100).cast("int") + 1)
+    rows = ranked.select("node", "size", "component", F.posexplode(first).alias("at", "x")).where("x.n > 1")
+    rows = cut(rows.select("node", "size", "component", "at", F.col("x.shingle").alias("shingle")), "prefixes")
+    one = rows.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("node", "size", "component", "at")])
+    two = rows.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "component", "at")])
+    follow = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    near = (100 + percent) * follow >= percent * (F.col("size_a") + F.col("size_b"))
+    met = one.join(two, "shingle").where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & near)
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
 def linked(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each of docs."""
     signed = cut(_signatures(docs, False), "sketches")
@@ -106,44 +170,20 @@ def linked(docs: DataFrame, percent: int = 75) -> DataFrame:
     entries = cut(entries.join(lists, "value"), "entries")
     short, long = entries.where(F.col("members") <= SHORT), entries.where(F.col("members") > SHORT)
     hot = long.groupBy("node").agg(F.count("*").alias("hot"), F.first("size").alias("size"))
-    close = _short_pairs(short, hot)
+    close = cut(_short_pairs(short, hot), "close")
     # only those with this many values in long lists can be near to another through long lists alone
     hot = cut(hot.where(F.col("hot") >= LEAST_SHARE * F.least("size", F.lit(K))), "hot")
-    long = cut(long.join(hot.select("node"), "node").select("value", "node", "size"), "long")
-    centre = long.groupBy("value").agg(F.min("node").alias("b"))
-    stars = _ordered(long.join(centre, "value").select(F.col("node").alias("a"), "b")).distinct()
-    pairs = cut(close.union(stars).distinct(), "pairs")
 
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(hot.select("node")).distinct()
+    wanted = close.select(F.col("a").alias("node")).union(close.select("b")).union(hot.select("node")).distinct()
     wanted = cut(wanted.join(nodes.select("node", "k1", "k2"), "node"), "wanted")
     some = docs.select("doc_id", "text").join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     full = _signatures(some, True).select(F.col("doc_id").alias("node"), "k1", "k2", F.col("v").alias("set"))
     sets = cut(full.join(wanted, ["node", "k1", "k2"], "left_semi").dropDuplicates(["node", "k1", "k2"]).select("node", "set"), "sets")
 
-    links = cut(_confirm(pairs, sets, percent), "links")
-    found = components(links)
+    links = cut(_confirm(close, sets, percent), "links")
     if not hot.isEmpty():
-        for last in (False, True):
-            found = cut(found, "found")
-            now = long.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            many = now.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max_by("node", F.xxhash64("node")).alias("b")).where("lo < hi")
-            if last:  # whatever is still apart, and not too far apart in size
-                left = now.join(many.select("value"), "value", "left_semi")
-                one = left.select("value", F.col("node").alias("a"), F.col("size").alias("na"), F.col("component").alias("ca"))
-                two = left.select("value", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("component").alias("cb"))
-                near = (4 * F.col("na") >= 3 * F.col("nb")) & (4 * F.col("nb") >= 3 * F.col("na"))
-                more = one.join(two, "value").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near)
-                more = more.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-                more = more.where(F.col("c") >= LEAST_SHARE * F.least("na", "nb", F.lit(K))).select("a", "b")
-            else:  # one more round of centres, for what is not in the centre's component
-                other = now.select(F.col("node").alias("b"), F.col("component").alias("cb")).distinct()
-                more = now.join(many, "value").join(other, "b").where("component <> cb").select(F.col("node").alias("a"), "b")
-            more = cut(_ordered(more).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-            if more.isEmpty():
-                continue
-            pairs = cut(pairs.union(more), "pairs")
-            links = cut(links.union(_confirm(more, sets, percent)), "links")
-            found = components(links)
+        links = _long_links(long, cut(_held(hot, sets, percent), "held"), links, sets, percent)
+    found = components(links)
     classes = nodes.join(found, "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("component_id"))
     out = signed.drop("v").join(classes, ["k1", "k2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
