@@ -25,8 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
+from .bitmaps import bitmap, hits
 from .common import cut
 from .components import components
 from .shingles import common, shingle_sets, slices
@@ -37,11 +39,15 @@ SHORT = 16
 LEAST_SHARE = 0.375
 
 
-def _signatures(docs: DataFrame, full: bool) -> DataFrame:
-    """(doc_id, k1, k2, n, sketch or the full packed set) of each document."""
+def _signatures(docs: DataFrame, full: bool, only: Broadcast | None = None) -> DataFrame:
+    """(doc_id, k1, k2, n, sketch or the full packed set) of each document; only: a bitmap that the hash of doc_id must hit."""
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(hits(only.value, batch.column("h").to_numpy(zero_copy_only=False)))) if only else batch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(passed(batches)):
             k1, k2, n, values = [], [], [], []
             for s in shingle_sets(batch.column("text").to_pylist()):
                 k1.append(int(np.bitwise_xor.reduce(s).view(np.int64)) if len(s) else 0)
@@ -51,7 +57,7 @@ def _signatures(docs: DataFrame, full: bool) -> DataFrame:
             last = pa.array(values, pa.binary() if full else pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int64()), last], ["doc_id", "k1", "k2", "n", "v"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, k1 long, k2 long, n long, v {'binary' if full else 'array<long>'}")
+    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, f"doc_id long, k1 long, k2 long, n long, v {'binary' if full else 'array<long>'}")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -176,8 +182,9 @@ def linked(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     wanted = close.select(F.col("a").alias("node")).union(close.select("b")).union(hot.select("node")).distinct()
     wanted = cut(wanted.join(nodes.select("node", "k1", "k2"), "node"), "wanted")
-    some = docs.select("doc_id", "text").join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    full = _signatures(some, True).select(F.col("doc_id").alias("node"), "k1", "k2", F.col("v").alias("set"))
+    # a filter of fixed size keeps most other texts from being looked at; the join is exact
+    only = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, F.xxhash64("node")))
+    full = _signatures(docs, True, only).select(F.col("doc_id").alias("node"), "k1", "k2", F.col("v").alias("set"))
     sets = cut(full.join(wanted, ["node", "k1", "k2"], "left_semi").dropDuplicates(["node", "k1", "k2"]).select("node", "set"), "sets")
 
     links = cut(_confirm(close, sets, percent), "links")
