@@ -1,11 +1,12 @@
 """Balanced label propagation: linked documents move towards their neighbours' shards under quotas.
 
-Documents of equal text are linked. Every document starts in a shard by a hash. In each round
-a document looks at the shards that hold its neighbours and asks to move to the one that holds
-most (every other round: most among those with room). Between two shards as many move as want
-to come back, and besides as many as the target's quota leaves room for, by gain. Documents
-without links fill the shards up to their quotas in the end, so the numbers of rows differ by
-one at most (law `rows`). A group larger than a shard is spread over several.
+Documents of equal text are linked. At first, groups lie one after another in the order of a
+hash, cut into even ranges, so that a few are split. In each round a document looks at the
+shards that hold its neighbours and asks to move to the one that holds most (every other round:
+most among those with room). Between two shards as many move as want to come back, and besides
+as many as the target's quota leaves room for, by gain. Documents without links fill the shards
+up to their quotas in the end, so the numbers of rows differ by one at most (law `rows`). A
+group larger than a shard is spread over several.
 
 Defined results
 - null text: linked with other null texts only; its size is 1. Empty text: likewise, size 1.
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import cut, discard
 
 SHARDS = 8
-ROUNDS = 6
+ROUNDS = 4
 #: Parts in which a shard's rows are numbered apart.
 PARTS = 1024
 
@@ -89,6 +90,24 @@ def _granted(wish: DataFrame, allow: list[list[int]]) -> DataFrame:
     return placed.withColumn("grant", grant).where("grant > 0").select("group", "shard", "to", "m", "grant")
 
 
+def _first_labels(rows: DataFrame, groups: DataFrame, shards: int) -> DataFrame:
+    """(row, group, shard): groups one after another in the order of a hash, cut into even ranges."""
+    parts = groups.withColumn("h", F.xxhash64("group")).withColumn("part", F.pmod("h", F.lit(PARTS)))
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over PARTS rows
+    sums = parts.groupBy("part").agg(F.sum("members").alias("m")).select("part", F.coalesce(F.sum("m").over(upto), F.lit(0)).alias("part_at"))
+    upto = Window.partitionBy("part").orderBy("h", "group").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.withColumn("own_at", F.coalesce(F.sum("members").over(upto), F.lit(0))).join(sums, "part")
+    starts = starts.select("group", (F.col("part_at") + F.col("own_at")).alias("start"))
+    total = groups.agg(F.sum("members")).first()[0] or 0
+    inside = _numbered(rows.join(groups.select("group"), "group").select("row", "group"), ["group"], [F.col("row")], "k")
+    at = F.col("start") + F.col("k")
+    # the first `total % shards` ranges have one row more
+    large, small = total // shards + 1, max(1, total // shards)
+    edge = large * (total % shards)
+    shard = F.when(at < edge, F.floor(at / large)).otherwise(total % shards + F.floor((at - edge) / small))
+    return inside.join(starts, "group").select("row", "group", shard.cast("int").alias("shard"))
+
+
 def assigned(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot), a row for each of docs."""
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8")
@@ -97,10 +116,8 @@ def assigned(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Dat
     # a name for each row, kept in a written table
     rows = cut(rows.withColumn("row", F.xxhash64("doc_id", "group", F.monotonically_increasing_id())), "rows")
     quota = _quotas(rows.count(), shards)
-    groups = cut(rows.groupBy("group").agg(F.count("*").alias("members")).where("members > 1").select("group"), "groups")
-    linked = rows.join(groups, "group").select("row", "group").withColumn("one", F.lit(0))
-    linked = _numbered(linked, ["one"], [F.col("row")], "k").select("row", "group", (F.col("k") % shards).cast("int").alias("shard"))
-    linked = cut(linked, "labels")
+    groups = cut(rows.groupBy("group").agg(F.count("*").alias("members")).where("members > 1"), "groups")
+    linked = cut(_first_labels(rows, groups, shards), "labels")
     for turn in range(rounds):
         room = [q - n for q, n in zip(quota, _counts(linked, shards), strict=True)]
         wish = cut(_requests(linked, None if turn % 2 == 0 else room), "wish")
