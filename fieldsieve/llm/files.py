@@ -29,6 +29,8 @@ def write_sorted(df: DataFrame, by: str, name: str, make: Callable[[Iterator[pa.
     """The folder of files made of the rows of df in ascending order of `by`, one file for each range of it."""
     spark = df.sparkSession
     folder = scratch_path(spark, name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)  # an empty table has no files
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

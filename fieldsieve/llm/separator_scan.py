@@ -60,7 +60,7 @@ def scan(spark: SparkSession, folder: str, end: int = END) -> DataFrame:
     blocks = read_files(spark, folder).mapInArrow(run, "path string, block long, size long, ends array<int>")
     blocks = cut(blocks, "blocks")
     # the prefix scan, in two levels: over the files, and over the blocks of each file
-    sums = blocks.select("path", "block", "size", F.size("ends").cast("long").alias("n"), F.element_at("ends", -1).alias("last"))
+    sums = blocks.select("path", "block", "size", F.size("ends").cast("long").alias("n"), F.get("ends", F.size("ends") - 1).alias("last"))
     inside = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
     sums = sums.withColumn("at", F.coalesce(F.sum("size").over(inside), zero)).withColumn("docs", F.coalesce(F.sum("n").over(inside), zero))
