@@ -1,4 +1,4 @@
-"""What several operators share: word splitting, scratch tables, ranks."""
+"""What several operators share: word splitting and scratch tables."""
 
 from __future__ import annotations
 
@@ -6,11 +6,10 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: White space between words, in Java's regular expressions and in Python's.
 WHITE = r"[\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
@@ -50,31 +49,3 @@ def discard(df: DataFrame) -> None:
         if "/fieldsieve-" in folder:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def global_rank(df: DataFrame, by: list[Column], order: list[Column], name: str = "rank", buckets: int = 4096) -> DataFrame:
-    """Number the rows of each group of `by` from 0, without one task for a whole group.
-
-    Rows are dealt by a hash of their order columns to `buckets` parts; each part is
-    numbered on its own and starts where the parts before it end. Only counts, at most
-    `buckets` of a group, meet in one task. The order is that of the parts, then `order`.
-    """
-    keys = [c.alias(f"__k{i}") for i, c in enumerate(by)]
-    names = [f"__k{i}" for i in range(len(by))]
-    spread = df.select("*", *keys, F.pmod(F.xxhash64(*order), F.lit(buckets)).alias("__b"))
-    counts = spread.groupBy(*names, "__b").agg(F.count("*").alias("__n"))
-    # one row for each group and bucket: bounded by the number of groups times `buckets`
-    before = Window.partitionBy(*names).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    inside = Window.partitionBy(*names, "__b").orderBy(*order)
-    ranked = spread.withColumn("__r", F.row_number().over(inside) - 1).alias("l")
-    on = [F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for n in [*names, "__b"]]
-    joined = ranked.join(starts.alias("r"), on=_all(on), how="inner")
-    return joined.select(*[F.col(f"l.`{c}`") for c in df.columns], (F.col("l.__r") + F.col("r.__start")).cast("long").alias(name))
-
-
-def _all(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out

@@ -24,13 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .bitmaps import bitmap, hits
 from .common import cut
 from .shingles import slices, split, windows, word_hashes
 
 MIN_MATCH = 5
 COVERAGE = 0.5
-#: Bits of the seed filter: 8 MB to every task, from at most 2^20 rows.
-FILTER_BITS = 26
 
 
 def tiles(doc: list[bytes], item: list[bytes], least: int = MIN_MATCH) -> list[tuple[int, int, int]]:
@@ -89,16 +88,6 @@ def _seeds(benchmark: DataFrame, least: int) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(run, "seed long, item_id long, places long, words long")
 
 
-def _filter(seeds: DataFrame) -> np.ndarray:
-    """The bitmap of all seeds. What comes to the driver is bounded by the bitmap, not by the benchmark."""
-    bit = f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - FILTER_BITS}) % 64 as int))"
-    rows = seeds.groupBy(F.shiftrightunsigned("seed", 64 - FILTER_BITS + 6).alias("slot")).agg(F.expr(f"bit_or({bit})").alias("bits"))
-    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
-    for batch in rows.toArrow().to_batches():
-        out[batch.column("slot").to_numpy()] = batch.column("bits").to_numpy()
-    return out.view(np.uint64)
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = MIN_MATCH) -> DataFrame:
     """(__key, doc_id, item_id, item_words, covered, tiles, coverage) of each document and item that reach `coverage`.
 
@@ -107,15 +96,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     spark = docs.sparkSession
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("__key"), F.col("doc_id"), "text")
     seeds = cut(_seeds(benchmark, least), "seeds")
-    bits = spark.sparkContext.broadcast(_filter(seeds))
+    bits = spark.sparkContext.broadcast(bitmap(seeds, F.col("seed")))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
         for batch in slices(batches):
             hashes, starts = word_hashes(batch.column("text").to_pylist(), plain=True)
             every = windows(hashes, least)
-            at = every >> np.uint64(64 - FILTER_BITS)
-            hit = np.flatnonzero((table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
+            hit = np.flatnonzero(hits(table, every.view(np.int64)))
             doc = np.searchsorted(starts, hit, side="right") - 1
             inside = hit + least <= starts[doc + 1]
             doc, seed = doc[inside], every[hit[inside]]
