@@ -31,7 +31,7 @@ from .shingles import MULTIPLIER, mixed, word_hashes
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 #: Bytes of text in a block.
-BLOCK = 8_000_000
+BLOCK = 4_000_000
 #: Frequency buckets: none, then by powers of two.
 BUCKETS = 32
 ROUNDS = 30

@@ -8,8 +8,10 @@ with white space beyond ASCII is encoded whole. The ids equal those of encoding
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -17,54 +19,46 @@ import numpy as np
 _SPACED = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]")
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 #: Units that a task remembers; it forgets all when they are more.
-MOST_UNITS = 400_000
+MOST_UNITS = 800_000
+
+
+class _Units(dict):
+    """Numbers units as they are first asked for; new holds those without ids yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        number = self[unit] = len(self)
+        self.new.append(unit)
+        return number
 
 
 class Encoder:
     """Ids by the tokenizers library. spaced: white space is part of the ids (byte-level); else words alone count."""
 
     def __init__(self, path: str, spaced: bool):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
-        self.separator = "\n" if spaced else " "
-        self.mark = self.tokenizer.encode("\n", add_special_tokens=False).ids if spaced else []
         self._forget()
 
     def _forget(self) -> None:
-        self.units: dict[str, int] = {}
+        self.units = _Units()
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
 
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        got: list[list[int]] = []
-        if self.spaced and len(self.mark) == 1:
-            plain = [u for u in new if "\n" not in u]
-            rest = [u for u in new if "\n" in u]
-            new[:] = plain + rest
-            at, mark = 0, self.mark[0]
-            while at < len(plain):
-                some = plain[at : at + 2000]
-                ids = np.array(self.tokenizer.encode("\n".join(some) + "\n", add_special_tokens=False).ids, np.uint32)
-                ends = np.flatnonzero(ids == mark)
-                if len(ends) != len(some):  # never seen; then each by itself
-                    got += self._whole(some)
-                else:
-                    got += np.split(ids, np.stack([ends, ends + 1], 1).ravel())[: 2 * len(some) : 2]
-                at += 2000
-            got += self._whole(rest) if rest else []
-        else:
-            got = self._whole(new)
-        base, size = len(self.units), len(self.ids)
-        lengths = np.array([len(x) for x in got], np.int64)
-        self.ids = np.concatenate([self.ids, *[np.asarray(x, np.uint32) for x in got]])
-        self.starts = np.concatenate([self.starts, size + np.cumsum(lengths)])
-        self.units.update(zip(new, range(base, base + len(new)), strict=True))
+    def _learn(self) -> None:
+        new, self.units.new = self.units.new, []
+        got = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, got), np.int64, len(got))
+        more = np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths)])
+        self.ids = np.concatenate([self.ids, more])
 
     def __call__(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and where each begins (one more at the end); end: put after each."""
@@ -78,24 +72,20 @@ class Encoder:
                 lists.append([text])
             else:
                 lists.append(_SPACED.findall(text) if self.spaced else text.split())
-        units = self.units
-        new = list(dict.fromkeys(u for x in lists for u in x if u not in units))
-        if new:
-            self._learn(new)
-        index = np.fromiter((units[u] for x in lists for u in x), np.int64, sum(map(len, lists)))
-        lengths = self.starts[index + 1] - self.starts[index]
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        index = np.fromiter(map(self.units.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
+        if self.units.new:
+            self._learn()
+        first, lengths = self.starts[index], self.starts[index + 1] - self.starts[index]
         if end is not None:  # the end id as one more unit after each text
-            where = np.cumsum([len(x) for x in lists])
-            first, lengths = np.insert(self.starts[index], where, -1), np.insert(lengths, where, 1)
-            counts = np.array([len(x) + 1 for x in lists], np.int64)
-        else:
-            first, counts = self.starts[index], np.array([len(x) for x in lists], np.int64)
+            where = np.cumsum(counts)
+            first, lengths, counts = np.insert(first, where, -1), np.insert(lengths, where, 1), counts + 1
         upto = np.cumsum(lengths)
         total = int(upto[-1]) if len(upto) else 0
         source = np.arange(total) - np.repeat(upto - lengths - first, lengths)
         ids = self.ids[np.maximum(source, 0)] if len(self.ids) else np.zeros(total, np.uint32)
         if end is not None:
-            ids[np.repeat(first, lengths) == -1] = end
+            ids[upto[first == -1] - 1] = end
         starts = np.concatenate([[0], np.concatenate([[0], upto])[np.cumsum(counts)]]) if len(counts) else np.zeros(1, np.int64)
         return ids, starts.astype(np.int64)
 
