@@ -16,13 +16,13 @@ import numpy as np
 
 BITS = 14
 ONE = 1 << BITS
-TABLE = 1 << 13
+TABLE = 1 << 11
 #: Lanes keep 48 bits; 16 leave at a time, once the range is under BOTTOM.
 MASK, BOTTOM, TOP = np.uint64((1 << 48) - 1), np.uint64(1 << 31), np.uint64(1 << 32)
 SIXTEEN, THIRTY_TWO, FOURTEEN = np.uint64(16), np.uint64(32), np.uint64(BITS)
 RATE = 4
 #: Nibble contexts: none, first nibble, first two, the first three hashed.
-CONTEXTS = (1, 16, 256, 1024)
+CONTEXTS = (1, 16, 256, 256)
 
 
 def _aims(symbols: int) -> np.ndarray:
@@ -63,17 +63,17 @@ class _Coder:
 
     def symbol(self, lane: np.ndarray, table: np.ndarray, row: np.ndarray, symbols: int, known: np.ndarray | None) -> np.ndarray:
         """Code one symbol in each of some lanes by their rows of a cumulative table, and move the rows; known: to encode."""
-        rows = table[row]
-        low, step = self.low[lane], self.range[lane] >> FOURTEEN
+        rows = table.take(row, axis=0)
+        low, step = self.low.take(lane), self.range.take(lane) >> FOURTEEN
         if known is None:
-            value = np.minimum((self.code[lane] - low) // step, np.uint64(ONE - 1)).astype(np.int16)
+            value = np.minimum((self.code.take(lane) - low) // step, np.uint64(ONE - 1)).astype(np.int16)
             known = np.add.reduce((rows[:, 1:symbols] <= value[:, None]).view(np.int8), axis=1, dtype=np.int8).astype(np.int64)
         flat, at = rows.ravel(), np.arange(0, rows.size, symbols + 1) + known
-        start, end = flat[at].astype(np.uint64), flat[at + 1].astype(np.uint64)
+        start, end = flat.take(at).astype(np.uint64), flat.take(at + 1).astype(np.uint64)
         low, size = low + start * step, (end - start) * step
         self.low[lane], self.range[lane] = low, size
         inner = rows[:, 1:symbols]
-        inner += (AIMS[symbols][known] - inner) >> RATE
+        inner += (AIMS[symbols].take(known, axis=0) - inner) >> RATE
         table[row] = rows
         few = np.flatnonzero(size < BOTTOM)
         while len(few):
@@ -109,7 +109,7 @@ def _run(lengths: np.ndarray, ids: np.ndarray | None, data: list[bytes] | None)
         a, b = one[lane], two[lane]
         base = lane * TABLE
         h1, h2 = base + ((a * 40503 >> 3) & (TABLE - 1)), base + (((a * 2654435761 + b * 39571431) >> 7) & (TABLE - 1))
-        p1, p2, s1, s2 = model.next1[h1], model.next2[h2], model.sure1[h1], model.sure2[h2]
+        p1, p2, s1, s2 = model.next1.take(h1), model.next2.take(h2), model.sure1.take(h1), model.sure2.take(h2)
         x = None if ids is None else ids[t, lane]
         row = lane * 32 + s2 * 8 + s1 * 2 + (p1 == p2)
         way = coder.symbol(lane, model.way, row, 3, None if x is None else np.where(x == p2, 0, np.where(x == p1, 1, 2)))
