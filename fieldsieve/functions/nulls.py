@@ -21,6 +21,11 @@ def require_columns(df: DataFrame, names: list[str]) -> None:
         raise ValueError("missing required column(s): " + ", ".join(missing))
 
 
+def all_text(df: DataFrame) -> DataFrame:
+    """Every column as text; NaN prints as NaN and is not null."""
+    return df.select(*[qcol(c).cast("string").alias(c) for c in df.columns])
+
+
 def is_text(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.StringType)
 

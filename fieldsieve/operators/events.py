@@ -59,3 +59,12 @@ def two_transect_roster(roster: DataFrame, site: str = "Site Code", fields: tupl
         out = out.unionByName(p)
     out = out.withColumn("date", date_of(F.col("year"), F.col("month"), F.col("day"))).drop("year", "month", "day")
     return out.withColumn("sample_event_id", event_id(F.col("site_code"), F.col("date"), F.col("depth")))
+
+
+def diver_roster(rosters: list[DataFrame], event: str, diver: str, order: list[str], keep: list[str]) -> DataFrame:
+    """Several rosters, columns by name, as one row an event with its divers in a stated order."""
+    every = rosters[0]
+    for r in rosters[1:]:
+        every = every.unionByName(r, allowMissingColumns=True)
+    every = every.select(*{event: 0, diver: 0, **dict.fromkeys(order, 0), **dict.fromkeys(keep, 0)}).distinct()
+    return joined_text(every, [event, *keep], diver, order)

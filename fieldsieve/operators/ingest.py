@@ -124,6 +124,11 @@ def _all_null(values: list[Column]) -> Column:
     return out
 
 
+def removed_rows(before: DataFrame, after: DataFrame) -> int:
+    """How many rows a step removed; runs a job on each."""
+    return before.count() - after.count()
+
+
 def warn_if_all_zero(df: DataFrame, total: str = "Total") -> bool:
     """Warns, and says so, if no total differs from 0. Runs a job."""
     odd = df.where(qcol(total).isNull() | (to_number(qcol(total).cast("string")) != 0)).isEmpty()

@@ -204,6 +204,19 @@ def roster_string_agg(spark, d):
     return E.joined_text(rows, ["n_name"], "c_name", ["c_custkey"])
 
 
+@query("WITH e AS (SELECT s_name AS diver, s_nationkey AS site, NULL::VARCHAR AS note FROM supplier UNION ALL SELECT c_name, c_nationkey, c_mktsegment FROM customer WHERE c_custkey < 40) SELECT site, string_agg(diver, ', ' ORDER BY diver) AS diver FROM (SELECT DISTINCT diver, site FROM e) GROUP BY site")
+def roster_of_divers(spark, d):
+    a = read(spark, d, "supplier").select(F.col("s_name").alias("diver"), F.col("s_nationkey").alias("site"))
+    b = read(spark, d, "customer").where("c_custkey < 40").select(F.col("c_nationkey").alias("site"), F.col("c_name").alias("diver"), F.col("c_mktsegment").alias("note"))
+    return E.diver_roster([a, b], "site", "diver", ["diver"], [])
+
+
+@query("SELECT event_id, CAST(event_id AS VARCHAR) AS label, CAST(user_id AS VARCHAR) AS who FROM events")
+def cast_all_text(spark, d):
+    e = read(spark, d, "events")
+    return e.select("event_id").join(N.all_text(e.select(F.col("event_id").alias("label"), F.col("user_id").alias("who"))), F.col("event_id").cast("string") == F.col("label"))
+
+
 ROSTER = "WITH r AS (SELECT concat('S', CAST(o_orderkey AS VARCHAR)) AS s, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS a, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority END AS b, CAST(o_custkey % 30 AS DOUBLE) / 4 AS d, CAST(year(o_orderdate) AS INT) AS y, CAST(o_orderkey % 14 AS INT) AS m, CAST(o_custkey % 33 AS INT) AS k FROM orders), t AS (SELECT s, 'T1' AS transect, a AS initials, d AS depth, y, m, k FROM r WHERE a IS NOT NULL OR b IS NOT NULL UNION ALL SELECT s, 'T2', b, CASE WHEN b IS NOT NULL THEN d + 1 END, CASE WHEN b IS NOT NULL THEN y END, CASE WHEN b IS NOT NULL THEN m END, CASE WHEN b IS NOT NULL THEN k END FROM r WHERE a IS NOT NULL OR b IS NOT NULL), u AS (SELECT s AS site_code, transect, initials, depth, try_cast(CASE WHEN y IS NOT NULL THEN printf('%04d-%02d-%02d', y, m, k) END AS DATE) AS date FROM t) SELECT *, concat_ws('_', site_code, 'RLS', coalesce(CAST(date AS VARCHAR), 'NA'), coalesce(printf('%.15g', depth), 'NA')) AS sample_event_id FROM u"
 
 
