@@ -27,7 +27,7 @@ from .common import cut
 from .files import offsets, read_files, write_sorted
 from .tokens import encoder, slices_of, vocabulary
 
-BLOCK = 4096
+BLOCK, LEAST_BLOCK = 4096, 512
 #: Blocks coded in step; bounds a task's memory.
 LANES = 1024
 END = 0
@@ -36,7 +36,8 @@ HEAD = struct.Struct("<4sII")
 
 def to_bytes(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """One file of the ids of some documents, one after another."""
-    blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
+    size = min(BLOCK, max(LEAST_BLOCK, len(ids) // LANES))  # a small file gets smaller blocks, so that many are coded in step
+    blocks = [ids[i : i + size] for i in range(0, len(ids), size)]
     coded: list[bytes] = []
     for i in range(0, len(blocks), LANES):
         coded += encode(blocks[i : i + LANES])
