@@ -1,9 +1,11 @@
 """Robust multivariate outliers: minimum-covariance-determinant estimates per language and source.
 
 Six transformed statistics of each text form a vector. For every (lang, source) the centre
-and covariance come from the half of its vectors that concentration steps settle on; a
-document goes when its squared Mahalanobis distance exceeds a cutoff. All of it is column
-arithmetic: the matrix factor of a group is a row of columns, no Python runs on executors.
+and covariance come from the half of its vectors that concentration steps settle on, run from
+several starts until no determinant falls any more, the least one kept. To the covariance comes
+the sampling variance of the document's own statistics, so that a short text is not an outlier
+for being short. A document goes when its squared Mahalanobis distance exceeds a quantile of
+chi-squared. All of it is column arithmetic: no Python runs on executors.
 
 Defined results
 - null text: no words, so base_failed and not kept; null lang or source: a group of its own.
@@ -21,13 +23,18 @@ from .common import WHITE, cut, discard, let, words
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 FEATURES = ["x1", "x2", "x3", "x4", "x5", "x6"]
-#: The least standard deviation that counts for each statistic; below it a difference means nothing.
-FLOORS = [0.06, 0.12, 0.12, 0.12, 0.18, 0.18]
+#: Against singular matrices: the ridge's standard deviation, as a share of the statistic's own in the group.
+RIDGE = 0.1
+TINY = 1e-8
 #: Median of chi-squared with six degrees of freedom, for consistency at the normal.
 CHI_MEDIAN = 5.348
-CUTOFF = 30.0
-STEPS = 3
+#: Its quantile at 0.9999.
+CUTOFF = 27.856
+#: A determinant that falls by less (in logarithms) has converged.
+SETTLED = 1e-3
 MIN_GROUP = 50
+#: The sampling variance of each statistic, as output columns of with_statistics.
+NOISE = ["v1", "v2", "v3", "v4", "v5", "v6"]
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -79,6 +86,11 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
         F.log(chars / n).alias("x4"),
         F.sqrt(F.col("__lines.dup") / F.greatest(F.col("__lines.n"), F.lit(1))).alias("x5"),
         F.sqrt(F.col("__words.rep") / n).alias("x6"),
+        # a square root of a count's share varies by 1/(4n), repeats come by windows, a word's length varies by half of itself
+        *[(0.25 / chars).alias(f"v{i}") for i in (1, 2, 3)],
+        (0.25 / n).alias("v4"),
+        (0.25 / F.greatest(F.col("__lines.n"), F.lit(1))).alias("v5"),
+        (0.25 * (WINDOW + 1) / n).alias("v6"),
     )
 
 
@@ -94,61 +106,99 @@ def _with_groups(stats: DataFrame, min_group: int) -> DataFrame:
     return stats.join(names, "__a", "left").drop("__a", "__l")
 
 
-def _factor(moments: DataFrame) -> DataFrame:
-    """One row a group, with means m_i and the lower Cholesky factor l_ij of the floored covariance."""
-    p = len(FEATURES)
-    out = moments.select("__g", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(p)], "n", *[f"q{i}{j}" for i in range(p) for j in range(i + 1)])
-    for i in range(p):
+def _cholesky(rows: DataFrame, entry) -> DataFrame:
+    """Adds l_ij, the lower Cholesky factor of the matrix of entry(i, j)."""
+    for i in range(len(FEATURES)):
         for j in range(i + 1):
-            value = F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")
-            if i == j:
-                value = F.greatest(value, F.lit(0.0)) + FLOORS[i] ** 2
+            value = entry(i, j)
             for k in range(j):
                 value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(FLOORS[i] ** 2 / 4))) if i == j else value / F.col(f"l{j}{j}"))
-    return out.select("__g", *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
+            rows = rows.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(TINY))) if i == j else value / F.col(f"l{j}{j}"))
+    return rows
+
 
+def _moments() -> list[Column]:
+    """Weighted sums, by a column w, that _factor reads."""
+    p, x = len(FEATURES), [F.col(c) for c in FEATURES]
+    sums = [F.sum(F.col("w") * x[i]).alias(f"s{i}") for i in range(p)]
+    return [F.sum("w").alias("n"), *sums, *[F.sum(F.col("w") * x[i] * x[j]).alias(f"q{i}{j}") for i in range(p) for j in range(i + 1)]]
+
+
+def _factor(moments: DataFrame, scales: DataFrame) -> DataFrame:
+    """For each group and start, means m_i, covariance c_ij with its ridge, factor l_ij and the logarithm of the determinant."""
+    p = len(FEATURES)
+    low = [(i, j) for i in range(p) for j in range(i + 1)]
+    means = moments.join(scales.select("__g", *[f"r{i}" for i in range(p)]), "__g").withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(p)})
+    value = {(i, j): F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") for i, j in low}
+    full = means.select("__g", "__s", *[f"m{i}" for i in range(p)], *[(F.greatest(v, F.lit(0.0)) + F.col(f"r{i}") if i == j else v).alias(f"c{i}{j}") for (i, j), v in value.items()])
+    out = _cholesky(full, lambda i, j: F.col(f"c{i}{j}"))
+    return out.withColumn("__ld", sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(1, p)), 2 * F.log("l00")))
 
-def _distance(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """Adds __d2, by forward substitution in the group's factor."""
+
+def _distance(rows: DataFrame) -> DataFrame:
+    """Adds __d2, by forward substitution in the factor that stands beside each row."""
     p, own = len(FEATURES), rows.columns
-    out = rows.join(params, "__g", "left")
+    out = rows
     for i in range(p):
         value = F.col(FEATURES[i]) - F.col(f"m{i}")
         for k in range(i):
             value = value - F.col(f"l{i}{k}") * F.col(f"z{k}")
         out = out.withColumn(f"z{i}", value / F.col(f"l{i}{i}"))
-    total = F.col("z0") * F.col("z0")
-    for i in range(1, p):
-        total = total + F.col(f"z{i}") * F.col(f"z{i}")
-    return out.withColumn("__d2", total).select(*own, "__d2")
+    return out.withColumn("__d2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, p)), F.col("z0") * F.col("z0"))).select(*own, "__d2")
+
+
+def _step(rows: DataFrame, params: DataFrame, scales: DataFrame) -> DataFrame:
+    """A concentration step of every group and start in params.
+
+    The half of a group nearest to its centre is found on a histogram of distances, so that no
+    group is sorted in one task.
+    """
+    near = _distance(rows.join(params, "__g")).select("__g", "__s", *FEATURES, "__d2")
+    near = near.withColumn("__bin", F.floor(F.log2(F.col("__d2") + 1e-6) * 64).cast("int"))
+    bins = near.groupBy("__g", "__s", "__bin").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("__g", "__s")
+    ranked = bins.withColumn("upto", F.sum("n").over(own.orderBy("__bin"))).withColumn("all", F.sum("n").over(own))
+    edge = ranked.where(2 * F.col("upto") >= F.col("all")).groupBy("__g", "__s").agg(F.min("__bin").alias("__edge"))
+    inner = near.join(edge, ["__g", "__s"]).where(F.col("__bin") <= F.col("__edge")).withColumn("w", F.lit(1.0))
+    return _factor(inner.groupBy("__g", "__s").agg(*_moments()), scales)
 
 
-def estimate(rows: DataFrame, steps: int = STEPS) -> DataFrame:
+def estimate(rows: DataFrame) -> DataFrame:
     """The minimum-covariance-determinant estimate of each group __g, by concentration steps.
 
-    The start is the median and the median absolute deviation of each statistic. A step
-    takes the half of a group nearest to its centre (found on a histogram of distances, so
-    that no group is sorted in one task) and estimates again from it.
+    Starts: median and median absolute deviation; moments weighted by the distance from them;
+    plain moments. A start takes part until its determinant falls no more.
     """
     p = len(FEATURES)
     half = lambda c: F.percentile_approx(c, F.lit(0.5), F.lit(2000))
-    centre = rows.groupBy("__g").agg(*[half(F.col(x)).alias(f"m{i}") for i, x in enumerate(FEATURES)])
-    spread = rows.join(centre, "__g").groupBy("__g").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(p)], *[half(F.abs(F.col(x) - F.col(f"m{i}"))).alias(f"a{i}") for i, x in enumerate(FEATURES)])
-    zero = F.lit(0.0)
-    params = cut(spread.select("__g", *[f"m{i}" for i in range(p)], *[(F.sqrt(F.pow(F.col(f"a{i}") * 1.4826, 2) + FLOORS[i] ** 2) if i == j else zero).alias(f"l{i}{j}") for i in range(p) for j in range(i + 1)]), "mcd")
-    for _ in range(steps):
-        near = _distance(rows, params).withColumn("__bin", F.floor(F.log2(F.col("__d2") + 1e-6) * 64).cast("int"))
-        bins = near.groupBy("__g", "__bin").agg(F.count("*").alias("n"))
-        upto = Window.partitionBy("__g").orderBy("__bin")
-        ranked = bins.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy("__g")))
-        edge = ranked.where(2 * F.col("upto") >= F.col("all")).groupBy("__g").agg(F.min("__bin").alias("__edge"))
-        inner = near.join(edge, "__g").where(F.col("__bin") <= F.col("__edge"))
-        sums = [F.sum(FEATURES[i]).alias(f"s{i}") for i in range(p)] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i in range(p) for j in range(i + 1)]
-        before, params = params, cut(_factor(inner.groupBy("__g").agg(F.count("*").alias("n"), *sums)), "mcd")
-        discard(before)
+    own = [(F.var_pop(x) * RIDGE**2 + TINY).alias(f"r{i}") for i, x in enumerate(FEATURES)]
+    scales = cut(rows.groupBy("__g").agg(*[half(F.col(x)).alias(f"m{i}") for i, x in enumerate(FEATURES)], *own), "mcd")
+    spread = rows.join(scales, "__g").groupBy("__g").agg(*[F.first(f"{c}{i}").alias(f"{c}{i}") for c in "mr" for i in range(p)], *[half(F.abs(F.col(x) - F.col(f"m{i}"))).alias(f"a{i}") for i, x in enumerate(FEATURES)])
+    entry = lambda i, j: F.pow(F.col(f"a{i}") * 1.4826, 2) + F.col(f"r{i}") if i == j else F.lit(0.0)
+    low = [(i, j) for i in range(p) for j in range(i + 1)]
+    plain = spread.select("__g", F.lit(0).alias("__s"), *[f"m{i}" for i in range(p)], *[entry(i, j).alias(f"c{i}{j}") for i, j in low], *[(F.sqrt(entry(i, j)) if i == j else entry(i, j)).alias(f"l{i}{j}") for i, j in low], F.lit(None).cast("double").alias("__ld"))
+    plain = cut(plain, "mcd")
+    weights = F.explode(F.array(F.struct(F.lit(1).alias("__s"), (1 / (1 + F.col("__d2"))).alias("w")), F.struct(F.lit(2).alias("__s"), F.lit(1.0).alias("w"))))
+    weighted = _distance(rows.join(plain.drop("__s", "__ld"), "__g")).select("__g", *FEATURES, weights.alias("x")).select("__g", *FEATURES, "x.*")
+    now = cut(plain.unionByName(_factor(weighted.groupBy("__g", "__s").agg(*_moments()), scales)), "mcd")
+    discard(plain)
+    best = None
+    while best is None or not now.isEmpty():  # ends: a round goes on only where a determinant, bounded by the ridge, fell
+        stepped = cut(_step(rows, now, scales), "mcd")
+        if best is None:
+            best, before, now = stepped, now, stepped
+            discard(before)
+            continue
+        last = best.select("__g", "__s", F.col("__ld").alias("__was"))
+        fell = cut(stepped.join(last, ["__g", "__s"]).where(F.col("__ld") < F.col("__was") - SETTLED).drop("__was"), "mcd")
+        better = cut(best.join(fell.select("__g", "__s"), ["__g", "__s"], "left_anti").unionByName(fell), "mcd")
+        for done in {id(x): x for x in (best, now, stepped)}.values():
+            discard(done)
+        best, now = better, fell
+    least = best.select("__g", F.struct("__ld", "__s", *[c for c in best.columns if c[0] in "mcl"]).alias("x"))
+    params = cut(least.groupBy("__g").agg(F.min("x").alias("x")).select("__g", "x.*").drop("__s", "__ld"), "mcd")
     # so that the median distance of a group is that of the normal; never narrower than estimated
-    scale = _distance(rows, params).groupBy("__g").agg((half(F.col("__d2")) / CHI_MEDIAN).alias("__c"))
+    scale = _distance(rows.join(params, "__g")).groupBy("__g").agg((half(F.col("__d2")) / CHI_MEDIAN).alias("__c"))
     return cut(params.join(scale, "__g").withColumn("__c", F.greatest(F.col("__c"), F.lit(1.0))), "mcd")
 
 
@@ -159,9 +209,9 @@ def _judged(docs: DataFrame, keep: list[str], cutoff: float, min_group: int) ->
     stats = cut(with_statistics(renamed, [*names, "lang", "source"]), "stats")
     rows = _with_groups(stats, min_group)
     params = estimate(rows.where(~F.col("base_failed") & F.col("__g").isNotNull()).select("__g", *FEATURES))
-    judged = _distance(rows, params)
-    judged = judged.join(params.select("__g", "__c"), "__g", "left")
-    d2 = F.when(~F.col("base_failed"), F.col("__d2") / F.col("__c"))
+    beside = rows.join(params.drop(*[c for c in params.columns if c[0] == "l"]), "__g", "left")
+    judged = _distance(_cholesky(beside, lambda i, j: F.col("__c") * F.col(f"c{i}{j}") + (F.col(NOISE[i]) if i == j else F.lit(0.0))))
+    d2 = F.when(~F.col("base_failed") & F.col("__c").isNotNull(), F.col("__d2"))
     kept = ~F.col("base_failed") & F.coalesce(d2 <= cutoff, F.lit(True))
     return judged.select(*names, *BASE, "base_failed", d2.alias("d2"), kept.alias("kept")), names
 

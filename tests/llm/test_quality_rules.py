@@ -53,6 +53,31 @@ def test_outliers_go_and_clean_stays(spark):
     assert Q.filter_quality(df).columns == df.columns
 
 
+def test_scale_comes_from_the_group(spark):
+    """Long texts of a narrow group: a share of signs that the group itself never has is an outlier, however small its size."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(120):
+        w = prose(rng, 400).split()
+        for k in range(8 * (i % 10 == 0)):
+            w[k * 40] += "###" * 4  # a twentieth of the characters
+        rows.append((i, " ".join(w), "en", "s"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {r["doc_id"] for r in Q.judge(df, ["doc_id"]).collect() if not r["kept"]} == {i for i in range(120) if i % 10 == 0}
+
+
+def test_steps_settle_at_the_core(spark):
+    """Against the definition: the half that is kept has the least determinant, whatever a tight cluster of others looks like."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    core, far = rng.normal(0, 0.05, (300, 6)) + 0.5, rng.normal(0, 0.01, (120, 6)) + 1.5
+    df = spark.createDataFrame([("g", *map(float, x)) for x in np.concatenate([core, far])], "__g string, " + ", ".join(f"{x} double" for x in Q.FEATURES))
+    r = Q.estimate(df).first()
+    assert all(abs(r[f"m{i}"] - 0.5) < 0.02 for i in range(6))
+    assert all(r[f"c{i}{i}"] < 0.05**2 + (Q.RIDGE * 0.5) ** 2 for i in range(6))
+
+
 def test_small_groups_are_pooled(spark):
     rng = random.Random(2)
     df = spark.createDataFrame([(i, prose(rng, 50), "en", f"s{i}") for i in range(30)], "doc_id long, text string, lang string, source string")
