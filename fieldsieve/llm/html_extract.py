@@ -9,6 +9,7 @@ Defined results
 - null or empty html, or none but boilerplate: empty text. Null page_id or url: kept as it is.
 - a tag that the page's end cuts off is dropped; unclosed and stray tags are tolerated.
 - `br` counts as white space; white space is Unicode's, so no-break spaces are one as well.
+- head is no element of its own, as its end may be left out: what it may hold is skipped one by one.
 - scripts, styles, templates, form controls and comments in the markup are never text.
 - very long pages: blocks and work grow with their length. Repeated rows: each its own row.
 """
@@ -31,8 +32,13 @@ _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']
 _WORD = re.compile(r"[a-z]+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn del em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 #: Their insides are not text of the page.
-SKIPPED = frozenset("script style noscript template svg math head title iframe object canvas audio video textarea select option datalist button".split())
+SKIPPED = frozenset("script style noscript template svg math title iframe object canvas audio video textarea select option datalist button".split())
+#: Of these, those without end tag run to the page's end; others without one are as if they weren't there.
+RAW = frozenset("script style noscript template title iframe textarea".split())
+#: Start tags end these open elements, as far up as the container they are in. A block's start ends a paragraph.
+CLOSED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "tbody": {"td", "th", "tr", "thead", "tbody", "tfoot"}}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in SKIPPED}
 CONTAINERS = frozenset("article main section div nav header footer aside form ul ol dl table figure blockquote details dialog menu fieldset".split())
 MAIN_TAGS, SIDE_TAGS = frozenset(["article", "main"]), frozenset("nav footer aside form menu dialog fieldset".split())
 MAIN_NAMES = frozenset("article main content post entry story body text".split())
@@ -68,8 +74,8 @@ def blocks_of(page: str) -> list[Block]:
     """The blocks with text, in page order."""
     out: list[Block] = []
     stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
-    number, in_link, skipping, heading, now = 0, 0, "", False, None
-    at = 0
+    number, in_link, heading, now = 0, 0, False, None
+    at, endless = 0, set()
 
     def text(piece: str) -> None:
         nonlocal now
@@ -91,20 +97,30 @@ def blocks_of(page: str) -> list[Block]:
                 out.append(now)
             now = None
 
-    for m in _TAG.finditer(page):
-        if not skipping:
-            text(page[at : m.start()])
+    def end(names: set[str]) -> None:
+        """Open elements of these names go, up to the container around."""
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i][0] in CONTAINERS:
+                break
+            if stack[i][0] in names:
+                del stack[i:]
+
+    while m := _TAG.search(page, at):
+        text(page[at : m.start()])
         at = m.end()
         name = m[2]
         if name is None:
             continue
         name, ending = name.lower(), bool(m[1])
-        if skipping:
-            skipping = "" if ending and name == skipping else skipping
-            continue
         if name in SKIPPED:
-            if not ending and not m[3].endswith("/"):
-                skipping = name
+            if ending or m[3].endswith("/") or name in endless:
+                continue
+            if past := _END[name].search(page, at):
+                at = past.end()
+            elif name in RAW:
+                at = len(page)
+            else:
+                endless.add(name)
             continue
         if name == "a":
             in_link = 0 if ending else 1
@@ -116,9 +132,14 @@ def blocks_of(page: str) -> list[Block]:
             continue
         close()
         heading = name in HEADINGS and not ending
-        if name not in CONTAINERS or name in VOID:
+        if name in VOID or name in ("html", "head", "body"):
             continue
-        in_link = 0
+        if ending and name not in CONTAINERS:
+            end({name})
+            continue
+        if not ending:
+            end({"p"} | CLOSED.get(name, set()))
+        in_link = 0 if name in CONTAINERS else in_link
         if ending:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == name:
@@ -126,14 +147,16 @@ def blocks_of(page: str) -> list[Block]:
                     break
             continue
         names = {w for x in _NAMES.findall(m[3]) for w in _WORD.findall("".join(x).lower())} if m[3] else ()
-        _, _, main, side, header = stack[-1]
-        number += 1
+        _, container, main, side, header = stack[-1]
         own_side = name in SIDE_TAGS or not SIDE_NAMES.isdisjoint(names)
         own_main = name in MAIN_TAGS or not MAIN_NAMES.isdisjoint(names)
-        stack.append((name, number, main or (own_main and not own_side), side or own_side, header or name == "header"))
-    if not skipping:
-        rest = page[at:]
-        text(rest[: m.start()] if (m := _BROKEN.search(rest)) else rest)
+        if name in CONTAINERS:
+            number, container = number + 1, number + 1
+        elif not (own_side or own_main):
+            continue
+        stack.append((name, container, main or (own_main and not own_side), side or own_side, header or name == "header"))
+    rest = page[at:]
+    text(rest[: m.start()] if (m := _BROKEN.search(rest)) else rest)
     close()
     return out
 

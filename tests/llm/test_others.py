@@ -67,6 +67,32 @@ def test_page():
     assert len(H.main_text("<article>" + "<p>One more line of text here.</p>" * 5000 + "</article>").split("\n")) == 5000
 
 
+WHOLE = "<article><p>A whole sentence of the article with a number of words.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<script>for(i=0;i<a.length;i++){x();}</script>",
+        "<script>s = '<!-- no end';</script>",
+        "<SCRIPT>s = \"<style>\"; t = '<\"';</Script >",
+        "<html><head><title>T</title><meta charset=utf-8><body>",
+        "<head><title>T</title>",
+        "<style>a::before{content:'<b'}</style><select><option>x<option>y</select>",
+    ],
+)
+def test_text_after_skipped_elements(before):
+    assert H.main_text(before + WHOLE) == "A whole sentence of the article with a number of words."
+
+
+@pytest.mark.parametrize("inner", ["<p class=advert>{}</p>", "<p class=advert>{}", "<ul><li id='share'>{}</li></ul>", "<table><tr><td class=promo><p>{}</p></td></tr></table>"])
+def test_names_of_all_blocks(inner):
+    one, two = "The first sentence of the article has a number of words.", "And the second one has about as many words as that."
+    advert = inner.format("Buy our many products now and get some more for less.")
+    assert H.main_text(f"<article><p>{one}</p>{advert}<p>{two}</p></article>").split("\n") == [one, two]
+
+
+
 @pytest.mark.parametrize("seed", range(25))
 def test_minimum_cut(seed):
     rng = random.Random(seed)
