@@ -10,7 +10,9 @@ repeat form a run; runs of fewer than `LEAST_WORDS` words stay.
 
 With four bands of one row, a pair at similarity 0.75 meets with probability 0.996. A list
 of up to `SHORT` classes gives all its pairs. Members of longer lists meet their centre, and
-again in lists of two, three and four shared minima, where the same holds.
+again in lists of two, three and four shared minima, where the same holds. Members of a long
+list that are in different components after that are paired by an exact prefix filter on their
+full sets, so no link depends on the length of a list.
 
 Defined results
 - null or empty text: no paragraph, no row. Spans under five words are not compared.
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import cut
 from .components import components
-from .near_dedup import _confirm, _ordered
+from .near_dedup import _confirm, _ordered, _prefix_pairs
 from .shingles import MULTIPLIER, SIZE, mixed, slices, windows, word_hashes
 
 REACH = 5
@@ -168,6 +170,18 @@ def _long_lists(long: DataFrame) -> DataFrame:
     return found
 
 
+def _apart_links(long: DataFrame, links: DataFrame, tried: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """links, and those between members of long lists (key, node) that join what links leave apart."""
+    now = long.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    now = now.join(sets.select("node", (F.length("set") / 8).cast("long").alias("size")), "node")
+    many = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    apart = cut(now.join(many, "key").select("node", "size", "component").distinct(), "apart")
+    if apart.isEmpty():
+        return links
+    more = cut(_ordered(_prefix_pairs(apart, sets, percent)).distinct().join(tried, ["a", "b"], "left_anti"), "more")
+    return cut(links.union(_confirm(more, sets, percent)), "links")
+
+
 def _occurrences(docs: DataFrame) -> DataFrame:
     """(doc_id, start, words, node): every span, start counted in words of its document, node its class."""
 
@@ -214,7 +228,8 @@ def repeated(docs: DataFrame, percent: int = 75, least_words: int = LEAST_WORDS)
     one = used.join(near, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "start", "words")).alias("s"))
     wanted = one.select("s.doc_id", F.struct("s.start", "s.words", "node").alias("x")).groupBy("doc_id").agg(F.collect_list("x").alias("starts"))
     sets = cut(_shingles_of(docs, wanted), "sets")
-    linked = components(_confirm(pairs, sets, percent))
+    links = cut(_confirm(pairs, sets, percent), "links")
+    linked = components(_apart_links(met.where("key <> 0").select("key", F.col("a").alias("node")), links, pairs, sets, percent))
     used = used.join(linked, "node", "left").select("doc_id", "start", "words", F.coalesce("component", "node").alias("cluster")).distinct()
     used = cut(used, "used")
     first = used.groupBy("cluster").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("f")).where("n > 1")

@@ -61,6 +61,21 @@ def test_near_paragraphs(spark):
     assert {(r["doc_id"], r["first_doc_id"]) for r in S.repeated(docs).where("removed").collect()} <= {(0, 0), (1, 0)}
 
 
+def test_long_lists_link_what_is_not_near_their_centre(spark):
+    """Forty variants share one minimum with the centre only; each is near one other of them, in pairs."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sets = [np.concatenate([[np.uint64(7)], rng.integers(10, 2**63, 8, dtype=np.uint64)]) for _ in range(41)]
+    for i in range(1, 41, 2):
+        sets[i + 1] = np.append(sets[i][:-1], np.uint64(rng.integers(10, 2**63)))
+    packed = spark.createDataFrame([(i, bytearray(np.sort(x).tobytes())) for i, x in enumerate(sets)], "node long, set binary")
+    long = spark.createDataFrame([(7, i) for i in range(41)], "key long, node long")
+    centre = spark.createDataFrame([(0, i) for i in range(1, 41)], "a long, b long")
+    links = S._apart_links(long, S._confirm(centre, packed, 75), centre, packed, 75)
+    assert {(r["a"], r["b"]) for r in links.collect()} == {(i, i + 1) for i in range(1, 41, 2)}
+
+
 def test_odd_and_empty(spark, odd, empty):
     assert S.repeated(empty).count() == 0 and S.without_repeats(empty).count() == 0
     out = S.without_repeats(odd)
