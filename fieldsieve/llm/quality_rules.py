@@ -106,15 +106,27 @@ def _with_groups(stats: DataFrame, min_group: int) -> DataFrame:
     return stats.join(names, "__a", "left").drop("__a", "__l")
 
 
-def _cholesky(rows: DataFrame, entry) -> DataFrame:
-    """Adds l_ij, the lower Cholesky factor of the matrix of entry(i, j)."""
-    for i in range(len(FEATURES)):
-        for j in range(i + 1):
-            value = entry(i, j)
-            for k in range(j):
-                value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            rows = rows.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(TINY))) if i == j else value / F.col(f"l{j}{j}"))
-    return rows
+def _swept(matrix: Column, pivots: int) -> Column:
+    """A struct of the symmetric matrix (an array of rows) with its first `pivots` rows swept, and the logarithm of their determinant.
+
+    The swept block is minus its inverse; what is left of the matrix is the Schur complement. One
+    expression whatever the size, so that plans stay small.
+    """
+
+    def pivot(held: Column, k: Column) -> Column:
+        own = F.get(held["a"], k)
+        d = F.greatest(F.get(own, k), F.lit(TINY**2))
+        cell = lambda row, v, i, j: F.when((i == k) & (j == k), -1 / d).when((i == k) | (j == k), v / d).otherwise(v - F.get(row, k) * F.get(own, j) / d)
+        rows = F.transform(held["a"], lambda row, i: F.transform(row, lambda v, j: cell(row, v, i, j)))
+        return F.struct(rows.alias("a"), (held["ld"] + F.log(d)).alias("ld"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(pivots - 1)), F.struct(matrix.alias("a"), F.lit(0.0).alias("ld")), pivot)
+
+
+def _matrix(entry) -> Column:
+    """An array of rows of entry(i, j)."""
+    p = len(FEATURES)
+    return F.array(*[F.array(*[entry(max(i, j), min(i, j)) for j in range(p)]) for i in range(p)])
 
 
 def _moments() -> list[Column]:
@@ -125,81 +137,80 @@ def _moments() -> list[Column]:
 
 
 def _factor(moments: DataFrame, scales: DataFrame) -> DataFrame:
-    """For each group and start, means m_i, covariance c_ij with its ridge, factor l_ij and the logarithm of the determinant."""
+    """(__g, __s, m, c, inv, ld): means, covariance with its ridge, minus its inverse and the logarithm of its determinant."""
     p = len(FEATURES)
-    low = [(i, j) for i in range(p) for j in range(i + 1)]
-    means = moments.join(scales.select("__g", *[f"r{i}" for i in range(p)]), "__g").withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(p)})
-    value = {(i, j): F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") for i, j in low}
-    full = means.select("__g", "__s", *[f"m{i}" for i in range(p)], *[(F.greatest(v, F.lit(0.0)) + F.col(f"r{i}") if i == j else v).alias(f"c{i}{j}") for (i, j), v in value.items()])
-    out = _cholesky(full, lambda i, j: F.col(f"c{i}{j}"))
-    return out.withColumn("__ld", sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(1, p)), 2 * F.log("l00")))
+    mean = lambda i: F.col(f"s{i}") / F.col("n")
+    part = lambda i, j: F.col(f"q{i}{j}") / F.col("n") - mean(i) * mean(j)
+    entry = lambda i, j: F.greatest(part(i, i), F.lit(0.0)) + F.get("r", F.lit(i)) if i == j else part(i, j)
+    full = moments.join(scales.select("__g", "r"), "__g").select("__g", "__s", F.array(*[mean(i) for i in range(p)]).alias("m"), _matrix(entry).alias("c"))
+    return _inverted(full)
+
 
+def _inverted(full: DataFrame) -> DataFrame:
+    return full.select("__g", "__s", "m", "c", _swept(F.col("c"), len(FEATURES)).alias("x")).select("__g", "__s", "m", "c", F.col("x.a").alias("inv"), F.col("x.ld").alias("ld"))
 
-def _distance(rows: DataFrame) -> DataFrame:
-    """Adds __d2, by forward substitution in the factor that stands beside each row."""
-    p, own = len(FEATURES), rows.columns
-    out = rows
-    for i in range(p):
-        value = F.col(FEATURES[i]) - F.col(f"m{i}")
-        for k in range(i):
-            value = value - F.col(f"l{i}{k}") * F.col(f"z{k}")
-        out = out.withColumn(f"z{i}", value / F.col(f"l{i}{i}"))
-    return out.withColumn("__d2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, p)), F.col("z0") * F.col("z0"))).select(*own, "__d2")
 
+def _distance() -> Column:
+    """The squared Mahalanobis distance by the columns m and inv beside a row."""
+    p = len(FEATURES)
+    off = [F.col(x) - F.get("m", F.lit(i)) for i, x in enumerate(FEATURES)]
+    terms = [-F.get(F.get("inv", F.lit(i)), F.lit(j)) * off[i] * off[j] * (1.0 if i == j else 2.0) for i in range(p) for j in range(i + 1)]
+    return sum(terms[1:], terms[0])
 
-def _step(rows: DataFrame, params: DataFrame, scales: DataFrame) -> DataFrame:
-    """A concentration step of every group and start in params.
+
+def _step(rows: DataFrame, state: DataFrame, scales: DataFrame) -> DataFrame:
+    """A concentration step of every group and start in state.
 
     The half of a group nearest to its centre is found on a histogram of distances, so that no
     group is sorted in one task.
     """
-    near = _distance(rows.join(params, "__g")).select("__g", "__s", *FEATURES, "__d2")
-    near = near.withColumn("__bin", F.floor(F.log2(F.col("__d2") + 1e-6) * 64).cast("int"))
+    near = rows.join(state.select("__g", "__s", "m", "inv"), "__g").select("__g", "__s", *FEATURES, F.floor(F.log2(_distance() + 1e-6) * 64).cast("int").alias("__bin"))
     bins = near.groupBy("__g", "__s", "__bin").agg(F.count("*").alias("n"))
     own = Window.partitionBy("__g", "__s")
     ranked = bins.withColumn("upto", F.sum("n").over(own.orderBy("__bin"))).withColumn("all", F.sum("n").over(own))
-    edge = ranked.where(2 * F.col("upto") >= F.col("all")).groupBy("__g", "__s").agg(F.min("__bin").alias("__edge"))
+    edge = cut(ranked.where(2 * F.col("upto") >= F.col("all")).groupBy("__g", "__s").agg(F.min("__bin").alias("__edge")), "mcd")
     inner = near.join(edge, ["__g", "__s"]).where(F.col("__bin") <= F.col("__edge")).withColumn("w", F.lit(1.0))
-    return _factor(inner.groupBy("__g", "__s").agg(*_moments()), scales)
+    out = cut(_factor(inner.groupBy("__g", "__s").agg(*_moments()), scales), "mcd")
+    discard(edge)
+    return out
 
 
 def estimate(rows: DataFrame) -> DataFrame:
-    """The minimum-covariance-determinant estimate of each group __g, by concentration steps.
+    """(__g, m, c, __c): the minimum-covariance-determinant estimate of each group __g, by concentration steps.
 
     Starts: median and median absolute deviation; moments weighted by the distance from them;
-    plain moments. A start takes part until its determinant falls no more.
+    plain moments. A start takes part until its determinant falls no more; the least one is kept.
+    __c widens the covariance to the median distance of the normal.
     """
     p = len(FEATURES)
     half = lambda c: F.percentile_approx(c, F.lit(0.5), F.lit(2000))
-    own = [(F.var_pop(x) * RIDGE**2 + TINY).alias(f"r{i}") for i, x in enumerate(FEATURES)]
-    scales = cut(rows.groupBy("__g").agg(*[half(F.col(x)).alias(f"m{i}") for i, x in enumerate(FEATURES)], *own), "mcd")
-    spread = rows.join(scales, "__g").groupBy("__g").agg(*[F.first(f"{c}{i}").alias(f"{c}{i}") for c in "mr" for i in range(p)], *[half(F.abs(F.col(x) - F.col(f"m{i}"))).alias(f"a{i}") for i, x in enumerate(FEATURES)])
-    entry = lambda i, j: F.pow(F.col(f"a{i}") * 1.4826, 2) + F.col(f"r{i}") if i == j else F.lit(0.0)
-    low = [(i, j) for i in range(p) for j in range(i + 1)]
-    plain = spread.select("__g", F.lit(0).alias("__s"), *[f"m{i}" for i in range(p)], *[entry(i, j).alias(f"c{i}{j}") for i, j in low], *[(F.sqrt(entry(i, j)) if i == j else entry(i, j)).alias(f"l{i}{j}") for i, j in low], F.lit(None).cast("double").alias("__ld"))
-    plain = cut(plain, "mcd")
-    weights = F.explode(F.array(F.struct(F.lit(1).alias("__s"), (1 / (1 + F.col("__d2"))).alias("w")), F.struct(F.lit(2).alias("__s"), F.lit(1.0).alias("w"))))
-    weighted = _distance(rows.join(plain.drop("__s", "__ld"), "__g")).select("__g", *FEATURES, weights.alias("x")).select("__g", *FEATURES, "x.*")
-    now = cut(plain.unionByName(_factor(weighted.groupBy("__g", "__s").agg(*_moments()), scales)), "mcd")
+    ridge = F.array(*[F.var_pop(x) * RIDGE**2 + TINY for x in FEATURES]).alias("r")
+    scales = cut(rows.groupBy("__g").agg(F.array(*[half(F.col(x)) for x in FEATURES]).alias("m"), ridge), "mcd")
+    spread = [half(F.abs(F.col(x) - F.get("m", F.lit(i)))).alias(f"a{i}") for i, x in enumerate(FEATURES)]
+    spread = rows.join(scales.select("__g", "m"), "__g").groupBy("__g").agg(*spread).join(scales, "__g")
+    entry = lambda i, j: F.pow(F.col(f"a{i}") * 1.4826, 2) + F.get("r", F.lit(i)) if i == j else F.lit(0.0)
+    plain = _inverted(spread.select("__g", F.lit(0).alias("__s"), "m", _matrix(entry).alias("c")))
+    plain = cut(plain.withColumn("ld", F.lit(float("inf"))), "mcd")
+    weights = F.explode(F.array(F.struct(F.lit(1).alias("__s"), (1 / (1 + F.col("d2"))).alias("w")), F.struct(F.lit(2).alias("__s"), F.lit(1.0).alias("w"))))
+    weighted = rows.join(plain.select("__g", "m", "inv"), "__g").select("__g", *FEATURES, _distance().alias("d2")).select("__g", *FEATURES, weights.alias("x")).select("__g", *FEATURES, "x.*")
+    others = _factor(weighted.groupBy("__g", "__s").agg(*_moments()), scales)
+    state = cut(plain.unionByName(others.withColumn("ld", F.lit(float("inf")))).withColumn("moved", F.lit(True)), "mcd")
     discard(plain)
-    best = None
-    while best is None or not now.isEmpty():  # ends: a round goes on only where a determinant, bounded by the ridge, fell
-        stepped = cut(_step(rows, now, scales), "mcd")
-        if best is None:
-            best, before, now = stepped, now, stepped
-            discard(before)
-            continue
-        last = best.select("__g", "__s", F.col("__ld").alias("__was"))
-        fell = cut(stepped.join(last, ["__g", "__s"]).where(F.col("__ld") < F.col("__was") - SETTLED).drop("__was"), "mcd")
-        better = cut(best.join(fell.select("__g", "__s"), ["__g", "__s"], "left_anti").unionByName(fell), "mcd")
-        for done in {id(x): x for x in (best, now, stepped)}.values():
-            discard(done)
-        best, now = better, fell
-    least = best.select("__g", F.struct("__ld", "__s", *[c for c in best.columns if c[0] in "mcl"]).alias("x"))
-    params = cut(least.groupBy("__g").agg(F.min("x").alias("x")).select("__g", "x.*").drop("__s", "__ld"), "mcd")
+    while not state.where("moved").isEmpty():  # ends: a start goes on only where its determinant, bounded by the ridge, fell
+        stepped = _step(rows, state.where("moved"), scales)
+        new = stepped.select("__g", "__s", F.struct("m", "c", "inv", "ld").alias("new"))
+        fell = F.coalesce(F.col("new.ld") < F.col("ld") - SETTLED, F.lit(False))
+        took = [F.when(fell, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in ("m", "c", "inv", "ld")]
+        before, state = state, cut(state.join(new, ["__g", "__s"], "left").select("__g", "__s", *took, fell.alias("moved")), "mcd")
+        discard(before), discard(stepped)
+    best = F.min_by(F.struct("m", "c", "inv"), F.struct("ld", "__s"))
+    params = cut(state.groupBy("__g").agg(best.alias("x")).select("__g", "x.*"), "mcd")
+    scale = rows.join(params, "__g").select("__g", _distance().alias("d2")).groupBy("__g").agg((half(F.col("d2")) / CHI_MEDIAN).alias("__c"))
     # so that the median distance of a group is that of the normal; never narrower than estimated
-    scale = _distance(rows.join(params, "__g")).groupBy("__g").agg((half(F.col("__d2")) / CHI_MEDIAN).alias("__c"))
-    return cut(params.join(scale, "__g").withColumn("__c", F.greatest(F.col("__c"), F.lit(1.0))), "mcd")
+    out = cut(params.join(scale, "__g").select("__g", "m", "c", F.greatest("__c", F.lit(1.0)).alias("__c")), "mcd")
+    for done in (scales, state, params):
+        discard(done)
+    return out
 
 
 def _judged(docs: DataFrame, keep: list[str], cutoff: float, min_group: int) -> tuple[DataFrame, dict[str, str]]:
@@ -209,9 +220,14 @@ def _judged(docs: DataFrame, keep: list[str], cutoff: float, min_group: int) ->
     stats = cut(with_statistics(renamed, [*names, "lang", "source"]), "stats")
     rows = _with_groups(stats, min_group)
     params = estimate(rows.where(~F.col("base_failed") & F.col("__g").isNotNull()).select("__g", *FEATURES))
-    beside = rows.join(params.drop(*[c for c in params.columns if c[0] == "l"]), "__g", "left")
-    judged = _distance(_cholesky(beside, lambda i, j: F.col("__c") * F.col(f"c{i}{j}") + (F.col(NOISE[i]) if i == j else F.lit(0.0))))
-    d2 = F.when(~F.col("base_failed") & F.col("__c").isNotNull(), F.col("__d2"))
+    beside = rows.join(params, "__g", "left")
+    p = len(FEATURES)
+    off = [F.col(x) - F.get("m", F.lit(i)) for i, x in enumerate(FEATURES)]
+    entry = lambda i, j: F.col("__c") * F.get(F.get("c", F.lit(i)), F.lit(j)) + (F.col(NOISE[i]) if i == j else F.lit(0.0))
+    # the covariance with the vector beside it: sweeping the covariance leaves minus the distance in the corner
+    beside_it = F.array(*[F.array(*[entry(i, j) for j in range(p)], off[i]) for i in range(p)], F.array(*off, F.lit(0.0)))
+    judged = beside.withColumn("d2", F.when(~F.col("base_failed") & F.col("__c").isNotNull(), -F.get(F.get(_swept(beside_it, p)["a"], F.lit(p)), F.lit(p))))
+    d2 = F.col("d2")
     kept = ~F.col("base_failed") & F.coalesce(d2 <= cutoff, F.lit(True))
     return judged.select(*names, *BASE, "base_failed", d2.alias("d2"), kept.alias("kept")), names
 

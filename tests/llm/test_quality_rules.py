@@ -74,8 +74,62 @@ def test_steps_settle_at_the_core(spark):
     core, far = rng.normal(0, 0.05, (300, 6)) + 0.5, rng.normal(0, 0.01, (120, 6)) + 1.5
     df = spark.createDataFrame([("g", *map(float, x)) for x in np.concatenate([core, far])], "__g string, " + ", ".join(f"{x} double" for x in Q.FEATURES))
     r = Q.estimate(df).first()
-    assert all(abs(r[f"m{i}"] - 0.5) < 0.02 for i in range(6))
-    assert all(r[f"c{i}{i}"] < 0.05**2 + (Q.RIDGE * 0.5) ** 2 for i in range(6))
+    assert all(abs(m - 0.5) < 0.02 for m in r["m"])
+    assert all(r["c"][i][i] < 0.05**2 + (Q.RIDGE * 0.5) ** 2 for i in range(6))
+
+
+def plain_mcd(x, ridge, starts, rng):
+    """The least log determinant, ridge included, over halves reached from many random subsets by concentration."""
+    import numpy as np
+
+    best = (np.inf, None, None)
+    for _ in range(starts):
+        half = rng.choice(len(x), 10, replace=False)
+        last = np.inf
+        while True:
+            m, c = x[half].mean(axis=0), np.cov(x[half].T, bias=True) + np.diag(ridge)
+            ld = np.linalg.slogdet(c)[1]
+            if len(half) > 10:
+                best = min(best, (ld, tuple(m), c.tobytes()))
+                if ld > last - 1e-9:
+                    break
+                last = ld
+            d = x - m
+            half = np.argsort((d @ np.linalg.inv(c) * d).sum(axis=1))[: (len(x) + 1) // 2]
+    return best[0], np.array(best[1])
+
+
+def test_the_determinant_is_as_small_as_a_plain_search_finds(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    rows = []
+    data = {}
+    for g in range(3):
+        mix = rng.normal(0, 1, (6, 6))
+        data[f"g{g}"] = np.concatenate([rng.normal(0, 0.1, (400, 6)) @ mix + g, rng.normal(0, 0.3, (120, 6)) + 2 + g])
+        rows += [(f"g{g}", *map(float, v)) for v in data[f"g{g}"]]
+    df = spark.createDataFrame(rows, "__g string, " + ", ".join(f"{x} double" for x in Q.FEATURES))
+    for r in Q.estimate(df).collect():
+        x = data[r["__g"]]
+        least, centre = plain_mcd(x, x.var(axis=0) * Q.RIDGE**2 + Q.TINY, 60, rng)
+        assert abs(np.linalg.slogdet(np.array(r["c"]))[1] - least) < 0.2  # the half is exact to a step of the histogram
+        assert np.abs(np.array(r["m"]) - centre).max() < 0.05
+
+
+def test_distances_are_those_of_the_estimate(spark):
+    import numpy as np
+
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, prose(rng, rng.randint(25, 200)) + " #" * (i % 3), "en", "s") for i in range(150)], "doc_id long, text string, lang string, source string")
+    stats = [r.asDict() for r in Q.with_statistics(df, ["doc_id"]).collect()]
+    rows = spark.createDataFrame([("g", *[float(r[x]) for x in Q.FEATURES]) for r in stats if not r["base_failed"]], "__g string, " + ", ".join(f"{x} double" for x in Q.FEATURES))
+    e = Q.estimate(rows).first()
+    found = {r["doc_id"]: r["d2"] for r in Q.judge(df, ["doc_id"]).collect()}
+    for r in stats:
+        off = np.array([r[x] for x in Q.FEATURES]) - np.array(e["m"])
+        cov = e["__c"] * np.array(e["c"]) + np.diag([r[v] for v in Q.NOISE])
+        assert abs(found[r["doc_id"]] - off @ np.linalg.solve(cov, off)) < 1e-6 * max(1, found[r["doc_id"]])
 
 
 def test_small_groups_are_pooled(spark):
