@@ -50,12 +50,28 @@ def word_hashes(texts: list[str | None], plain: bool = False) -> tuple[np.ndarra
     lists = [split(t, plain) for t in texts]
     starts = np.zeros(len(lists) + 1, dtype=np.int64)
     np.cumsum([len(x) for x in lists], out=starts[1:])
-    flat = [w for x in lists for w in x]
-    if not flat:
-        return np.zeros(0, dtype=np.uint64), starts
-    array = np.empty(len(flat), dtype=object)
-    array[:] = flat
-    return pd.util.hash_array(array, categorize=True).astype(np.uint64), starts
+    return hashed([w for x in lists for w in x]), starts
+
+
+def hashed(words: list[bytes]) -> np.ndarray:
+    """The hash of each word."""
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    array = np.empty(len(words), dtype=object)
+    array[:] = words
+    return pd.util.hash_array(array, categorize=True).astype(np.uint64)
+
+
+def line_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_hashes(texts), and at which words lines begin that have any."""
+    words, starts, lines = [], [0], []
+    for t in texts:
+        for line in (t or "").encode().lower().split(b"\n"):
+            if found := line.split():
+                lines.append(len(words))
+                words += found
+        starts.append(len(words))
+    return hashed(words), np.array(starts, dtype=np.int64), np.array(lines, dtype=np.int64)
 
 
 def windows(hashes: np.ndarray, size: int = SIZE) -> np.ndarray:

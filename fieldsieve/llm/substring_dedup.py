@@ -1,52 +1,68 @@
 """Passages that repeat, by MinHash banding of paragraphs.
 
-A paragraph is the span between two anchors of the word sequence: words whose pair with the
-word before has the least hash within `REACH` words on either side. Anchors depend on nearby
-words only, so a passage is cut alike wherever it stands, also in the middle of a line.
-Paragraphs with equal words are one class. Classes that share one of `BANDS` minimal shingles
-(five words) are compared, exact Jaccard similarity confirms, components of classes are
-clusters, and every occurrence but the first of a cluster goes. Neighbouring paragraphs that
-repeat form a run; runs of fewer than `LEAST_WORDS` words stay.
-
-With four bands of one row, a pair at similarity 0.75 meets with probability 0.996. A list
-of up to `SHORT` classes gives all its pairs. Members of longer lists meet their centre, and
-again in lists of two, three and four shared minima, where the same holds. Members of a long
-list that are in different components after that are paired by an exact prefix filter on their
-full sets, so no link depends on the length of a list.
+A paragraph is a line; one of more than `LONG` words is cut at content anchors, words whose pair
+with the word before has the least hash within `REACH` words on either side. Anchors depend on
+nearby words only, so copies are cut alike. Paragraphs of equal words are one class. Classes that
+share one of the bands (`ROWS` minimal five-word shingles each, as many bands as `tuned` asks for)
+are compared, exact Jaccard similarity confirms, and components of classes are clusters. A list of
+up to `SHORT` classes gives all its pairs. Members of longer lists meet their centre; those still
+in different components after that are paired by an exact prefix filter on their full sets, so no
+link depends on the length of a list.
+
+A verbatim passage need not fill a line. So the spans between all anchors (some eleven words) are
+classes of equal words as well, wherever they stand. Every occurrence of a cluster but its first
+goes. Neighbouring and overlapping ones form a run, which is extended word by word as far as it
+agrees with the first occurrence (`CONTEXT` words on either side, beyond which another span would
+have matched); runs of fewer than `LEAST_WORDS` words stay.
 
 Defined results
-- null or empty text: no paragraph, no row. Spans under five words are not compared.
+- null or empty text: no paragraph, no row. Units under five words are not compared.
 - null doc_id: its document is left as it is.
-- repeated rows (one doc_id twice) count as one document: its spans come together.
+- repeated rows (one doc_id twice) count as one document: its units come together.
+- ties: the first occurrence is that of the least doc_id, then of the least place.
+- very long texts: they are cut into as many units as they need; work grows with their length.
+- an empty table: no rows. Further columns, whatever their names, are kept as they are.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import cut
+from .bitmaps import bitmap, hits, xxhash64
+from .common import cut, discard
 from .components import components
 from .near_dedup import _confirm, _ordered, _prefix_pairs
-from .shingles import MULTIPLIER, SIZE, mixed, slices, windows, word_hashes
+from .shingles import MULTIPLIER, SIZE, line_hashes, mixed, slices, windows
 
 REACH = 5
-BANDS = 4
+#: Lines over this many words are cut, at one anchor of `COARSE`.
+LONG, COARSE = 120, np.uint64(4)
+ROWS, RECALL = 2, 0.99
 SHORT = 16
-LEAST_WORDS = 16
-#: Keys that a task gathers before it hands on one packed row for each bucket.
-FLUSH = 1_000_000
+LEAST_WORDS = 24
+#: Runs that are looked at for an extension, and how far it goes in one direction.
+LEAST_SEED, CONTEXT = 8, 64
+SPAN, PARAGRAPH = 0, 1
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def spans(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first word in all words, words) of each span between anchors; starts: where documents begin."""
+def tuned(percent: int, rows: int = ROWS, recall: float = RECALL) -> int:
+    """How many bands of so many rows let a pair at the threshold meet with probability `recall`."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(0.999, (percent / 100) ** rows))))
+
+
+def anchors(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words are anchors, and the hash of each word's pair; a document's first word always is one."""
     n, docs = len(hashes), len(starts) - 1
     if not n:
-        return (np.zeros(0, np.int64),) * 3
+        return np.zeros(0, bool), np.zeros(0, np.uint64)
     lengths = np.diff(starts)
     doc_of = np.repeat(np.arange(docs), lengths)
     pair = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -61,113 +77,86 @@ def spans(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     view = view[at - REACH]  # of equal pairs the first counts, so that a word said over and over is one span
     anchor = (pair < view[:, :REACH].min(axis=1)) & (pair <= view[:, REACH:].min(axis=1))
     anchor[first] = True
-    begin = np.flatnonzero(anchor)
-    end = np.append(begin[1:], n)
-    return doc_of[begin], begin, end - begin
+    return anchor, pair
+
+
+def _between(begins: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first word, words) of the units that begin where `begins` says."""
+    begin = np.flatnonzero(begins)
+    return np.searchsorted(starts, begin, side="right") - 1, begin, np.diff(np.append(begin, len(begins)))
+
+
+def spans(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first word in all words, words) of each span between anchors; starts: where documents begin."""
+    return _between(anchors(hashes, starts)[0], starts)
+
+
+def paragraphs(anchor: np.ndarray, pair: np.ndarray, starts: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first word, words) of each line, and of the parts of long lines."""
+    begins = np.zeros(len(anchor), bool)
+    begins[lines] = True
+    long = np.repeat(words := np.diff(np.append(lines, len(anchor))), words) > LONG
+    return _between(begins | (long & anchor & (mixed(pair) % COARSE == 0)), starts)
 
 
 def _classes(hashes: np.ndarray, begin: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """A hash of all words of each span, in their order; spans are next to each other."""
+    """A hash of all words of each unit, in their order; units are next to each other."""
     place = np.arange(len(hashes), dtype=np.uint64) - np.repeat(begin, words).astype(np.uint64)
     return mixed(np.add.reduceat(mixed(hashes + place * MULTIPLIER), begin)) if len(begin) else np.zeros(0, np.uint64)
 
 
-def _cut_batch(batch: pa.RecordBatch):
-    hashes, starts = word_hashes(batch.column("text").to_pylist())
-    doc, begin, words = spans(hashes, starts)
-    kind = _classes(hashes, begin, words)
-    keep = words >= SIZE
-    return hashes, starts, doc[keep], begin[keep], words[keep], kind[keep]
+def _bands(every: np.ndarray, begin: np.ndarray, words: np.ndarray, bands: int) -> np.ndarray:
+    """The keys of each unit, a column for each band; every: the shingle at each word and one more."""
+    bounds = np.stack([begin, begin + words - SIZE + 1], axis=1).ravel()
+    out = np.empty((len(begin), bands), np.uint64)
+    for band in range(bands):
+        key = np.full(len(begin), np.uint64(band))
+        for row in range(ROWS):
+            least = np.minimum.reduceat(mixed(every ^ np.uint64((band * ROWS + row) * 0x5851F42D4C957F2D & (2**64 - 1))), bounds)[::2]
+            key = key * MULTIPLIER + least
+        out[:, band] = mixed(key)
+    return out
 
 
-def _keys(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed pairs of a minimal shingle and a class, for each bucket of minimal shingles."""
+def _units(docs: DataFrame, bands: int) -> DataFrame:
+    """(kind, doc_id, start, words, node, keys): every unit, start counted in words of its document, node its class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def flush() -> pa.RecordBatch:
-            key, kind = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            bucket, key, kind = _unique(key % np.uint64(buckets), key, kind)
-            edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
-            rows = [(int(bucket[a]), key[a:b].tobytes(), kind[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["bucket", "key", "kind"])
-
-        size = 0
         for batch in slices(batches):
-            hashes, _, _, begin, words, kind = _cut_batch(batch)
-            if not len(begin):
-                continue
+            hashes, starts, lines = line_hashes(batch.column("text").to_pylist())
+            anchor, pair = anchors(hashes, starts)
+            every = np.append(windows(hashes), np.zeros(min(len(hashes), SIZE), np.uint64))
+            for kind, (doc, begin, words) in ((SPAN, _between(anchor, starts)), (PARAGRAPH, paragraphs(anchor, pair, starts, lines))):
+                node, keep = _classes(hashes, begin, words), words >= SIZE
+                doc, begin, words, node = doc[keep], begin[keep], words[keep], node[keep]
+                ids = batch.column("doc_id").cast(pa.int64()).take(pa.array(doc))
+                if kind == SPAN or not len(begin):
+                    keys = pa.nulls(len(begin), pa.list_(pa.int64()))
+                else:  # sets of one or two shingles are equal or under the threshold, so their keys would find nothing
+                    flat = pa.array(_bands(every, begin, words, bands).ravel().view(np.int64))
+                    keys = pa.ListArray.from_arrays(pa.array(np.arange(len(begin) + 1, dtype=np.int32) * bands), flat)
+                columns = [pa.array(np.full(len(begin), kind, np.int32)), ids, pa.array((begin - starts[doc]).astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(node.view(np.int64)), keys]
+                yield pa.RecordBatch.from_arrays(columns, ["kind", "doc_id", "start", "words", "node", "keys"])
+
+    return docs.mapInArrow(run, "kind int, doc_id long, start int, words int, node long, keys array<long>")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, only: Broadcast) -> DataFrame:
+    """(node, set): the packed shingles of wanted classes (node, doc_id, start); only: a bitmap of what is wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            hashes, starts, lines = line_hashes(batch.column("text").to_pylist())
+            doc, begin, words = paragraphs(*anchors(hashes, starts), starts, lines)
+            node, keep = _classes(hashes, begin, words).view(np.int64), words >= SIZE
+            ids, place = batch.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)[doc], begin - starts[doc]
+            at = np.flatnonzero(keep & hits(only.value, xxhash64(node, ids, place)))
             every = windows(hashes)
-            bounds = np.stack([begin, begin + words - SIZE + 1], axis=1).ravel()
-            bounds = np.minimum(bounds, len(every))
-            every = np.append(every, np.uint64(0))
-            for seed in range(BANDS):
-                least = np.minimum.reduceat(mixed(every ^ np.uint64(seed * 0x5851F42D4C957F2D & (2**64 - 1))), bounds)[::2]
-                held.append((mixed(least + np.uint64(seed)), kind))
-                size += len(kind)
-            if size >= FLUSH:
-                yield flush()
-                size = 0
-        if held:
-            yield flush()
-
-    return docs.select("text").mapInArrow(run, "bucket int, key binary, kind binary")
-
-
-def _unique(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct rows of parallel columns, in order."""
-    order = np.lexsort(columns[::-1])
-    columns = tuple(c[order] for c in columns)
-    new = np.zeros(len(order), dtype=bool)
-    new[:1] = True
-    for c in columns:
-        new[1:] |= c[1:] != c[:-1]
-    return tuple(c[new] for c in columns)
-
-
-def _meet(packed: DataFrame) -> DataFrame:
-    """(a, b, key): class pairs of short lists with key null; members a of long lists with their centre b and the key."""
-
-    def run(table: pa.Table) -> pa.Table:
-        unpack = lambda c: np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=np.uint64)
-        key, kind = _unique(unpack("key"), unpack("kind"))
-        edges = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
-        count = np.diff(edges)
-        out: list[list[np.ndarray]] = [[], [], []]
-        for n in range(2, SHORT + 1):  # all lists of one length at once
-            at = edges[:-1][count == n]
-            if len(at):
-                lists = kind[at[:, None] + np.arange(n)]
-                for i, j in combinations(range(n), 2):
-                    out[0].append(lists[:, i]), out[1].append(lists[:, j]), out[2].append(np.zeros(len(at), np.uint64))
-        for i in np.flatnonzero(count > SHORT):
-            a, b = edges[i], edges[i + 1]
-            out[0].append(kind[a:b]), out[1].append(np.full(b - a, kind[a])), out[2].append(np.full(b - a, key[a]))
-        flat = [np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in out]
-        a, b, k = _unique(*flat)
-        return pa.table({"a": a, "b": b, "key": k})
-
-    return packed.groupBy("bucket").applyInArrow(run, "a long, b long, key long")
-
-
-def _long_lists(long: DataFrame) -> DataFrame:
-    """Pairs from lists over SHORT: members are listed again by every two, three and four of their long keys."""
-    found = long.select("a", "b")
-    sets = long.groupBy("a").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # at most BANDS keys
-    for size in range(2, BANDS + 1):
-        some = [F.xxhash64(F.lit(size), *[F.get("keys", F.lit(i)) for i in c]) for c in combinations(range(BANDS), size)]
-        fits = [F.size("keys") > max(c) for c in combinations(range(BANDS), size)]
-        combos = F.filter(F.array(*[F.when(f, x) for f, x in zip(fits, some, strict=True)]), lambda x: x.isNotNull())
-        lists = sets.select("a", F.explode(combos).alias("key"))
-        sizes = lists.groupBy("key").agg(F.count("*").alias("n"), F.min("a").alias("b")).where("n > 1")
-        lists = lists.join(sizes, "key")
-        short = lists.where(F.col("n") <= SHORT)
-        found = found.union(short.alias("x").join(short.alias("y"), "key").where("x.a < y.a").select("x.a", "y.a"))
-        found = found.union(lists.where(F.col("n") > SHORT).select("a", "b"))
-    return found
+            sets = [np.unique(every[begin[i] : begin[i] + words[i] - SIZE + 1]).tobytes() for i in at]
+            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(ids[at]), pa.array(place[at]), pa.array(sets, pa.binary())], ["node", "doc_id", "start", "set"])
+
+    found = docs.mapInArrow(run, "node long, doc_id long, start long, set binary")
+    return found.join(wanted, ["node", "doc_id", "start"], "left_semi").select("node", "set").dropDuplicates(["node"])
 
 
 def _apart_links(long: DataFrame, links: DataFrame, tried: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -182,33 +171,91 @@ def _apart_links(long: DataFrame, links: DataFrame, tried: DataFrame, sets: Data
     return cut(links.union(_confirm(more, sets, percent)), "links")
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, words, node): every span, start counted in words of its document, node its class."""
+def _near(docs: DataFrame, units: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the paragraph classes that are near to others."""
+    lines = units.where(F.col("kind") == PARAGRAPH)
+    keys = lines.select("node", F.explode("keys").alias("key"))
+    lists = cut(keys.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last"), "lists")
+    members = cut(keys.join(lists.select("key", "centre"), "key").distinct(), "members")
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    long = cut(members.join(sizes.where(F.col("n") > SHORT).select("key"), "key"), "long")
+    short = members.join(long.select("key").distinct(), "key", "left_anti")
+    pairs = short.alias("x").join(short.alias("y"), "key").where("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    pairs = cut(_ordered(pairs.union(long.select("node", "centre"))).distinct(), "pairs")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = lines.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "start")).alias("s"))
+    wanted = cut(wanted.select("node", "s.doc_id", F.col("s.start").cast("long").alias("start")), "wanted")
+    only = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, F.xxhash64("node", "doc_id", "start")))
+    sets = cut(_sets(docs, wanted, only), "sets")
+    links = cut(_confirm(pairs, sets, percent), "links")
+    if not long.isEmpty():
+        links = _apart_links(long.select("key", "node"), links, pairs, sets, percent)
+    out = components(links)
+    for done in (lists, members, long, pairs, wanted, sets):
+        discard(done)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            _, starts, doc, begin, words, kind = _cut_batch(batch)
-            ids = batch.column("doc_id").cast(pa.int64()).take(pa.array(doc))
-            yield pa.RecordBatch.from_arrays([ids, pa.array((begin - starts[doc]).astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(kind.view(np.int64))], ["doc_id", "start", "words", "node"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start int, words int, node long")
+def _runs(pieces: DataFrame) -> DataFrame:
+    """Pieces (doc_id, start, end, left, right, origin) that touch or overlap, as one each.
+
+    left and right say where the first and the last word's end stand in the first occurrence;
+    origin and weight are those of the longest piece.
+    """
+    by = Window.partitionBy("doc_id").orderBy("start", "end")
+    before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = pieces.withColumn("new", (before.isNull() | (F.col("start") > before)).cast("long")).withColumn("run", F.sum("new").over(by))
+    order = F.struct("end", -F.col("start"))
+    merged = numbered.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("left", F.struct("start", -F.col("end"))).alias("left"), F.max_by("right", order).alias("right"), F.max_by("origin", F.struct("weight", -F.col("start"))).alias("origin"), F.max("weight").alias("weight"))
+    return merged.drop("run")
 
 
-def _shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, set): the packed shingles of wanted classes; wanted has doc_id and starts, an array of (start, words, node)."""
+def _contexts(docs: DataFrame, only: Broadcast) -> DataFrame:
+    """(doc_id, at, before, after): hashes of the words on either side of the places that the bitmap has, nearest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            hashes, starts = word_hashes(batch.column("text").to_pylist())
-            every, node, sets = windows(hashes), [], []
-            for at, items in zip(starts[:-1], batch.column("starts").to_pylist(), strict=True):
-                for x in items:
-                    if at + x["start"] + x["words"] <= len(hashes):
-                        node.append(x["node"])
-                        sets.append(np.unique(every[at + x["start"] : at + x["start"] + x["words"] - SIZE + 1]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], ["node", "set"])
+            hashes, starts, _ = line_hashes(batch.column("text").to_pylist())
+            ids = batch.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(len(ids)), np.diff(starts) + 1)  # every word, and every document's end
+            place = np.arange(len(doc)) - (starts[:-1] + np.arange(len(ids)))[doc]
+            at = np.flatnonzero(hits(only.value, xxhash64(ids[doc], place)))
+            short, before, after = hashes.astype(np.uint32), [], []
+            for d, k in zip(doc[at].tolist(), place[at].tolist(), strict=True):
+                x = int(starts[d]) + k
+                before.append(short[max(starts[d], x - CONTEXT) : x][::-1].tobytes())
+                after.append(short[x : min(starts[d + 1], x + CONTEXT)].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[doc[at]]), pa.array(place[at]), pa.array(before, pa.binary()), pa.array(after, pa.binary())], ["doc_id", "at", "before", "after"])
+
+    return docs.mapInArrow(run, "doc_id long, at long, before binary, after binary").dropDuplicates(["doc_id", "at"])
+
+
+def _extended(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """runs, each as far as it agrees with its first occurrence in another document."""
+    side = lambda name, at, to: F.struct(F.lit(name).alias("side"), F.col(at).cast("long").alias("at"), F.col(f"{to}.doc_id").alias("other"), F.col(f"{to}.at").cast("long").alias("there"))
+    asked = runs.where(F.col("end") - F.col("start") >= LEAST_SEED).select("doc_id", F.col("start").alias("run"), F.explode(F.array(side("left", "start", "left"), side("right", "end", "right"))).alias("x"))
+    asked = cut(asked.select("doc_id", "run", "x.*").where(F.col("other") != F.col("doc_id")), "asked")
+    places = asked.select("doc_id", "at").union(asked.select("other", "there")).distinct()
+    only = docs.sparkSession.sparkContext.broadcast(bitmap(places, F.xxhash64("doc_id", "at")))
+    contexts = cut(_contexts(docs, only), "contexts")
 
-    return docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            more = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                n = min(len(x), len(y)) // 4
+                differ = np.flatnonzero(np.frombuffer(x, np.uint32, n) != np.frombuffer(y, np.uint32, n))
+                more.append(int(differ[0]) if len(differ) else n)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "run", "side")), pa.array(more, pa.int32())], ["doc_id", "run", "side", "more"])
+
+    near = lambda c: F.when(F.col("side") == "left", F.col(f"{c}.before")).otherwise(F.col(f"{c}.after"))
+    here, there = contexts.alias("h"), contexts.alias("t")
+    both = asked.alias("q").join(here, (F.col("q.doc_id") == F.col("h.doc_id")) & (F.col("q.at") == F.col("h.at"))).join(there, (F.col("q.other") == F.col("t.doc_id")) & (F.col("q.there") == F.col("t.at")))
+    both = both.select("q.doc_id", "q.run", "q.side", near("h").alias("x"), near("t").alias("y")).mapInArrow(run, "doc_id long, run int, side string, more int")
+    part = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("more"))), F.lit(0)).cast("int")
+    more = both.groupBy("doc_id", F.col("run").alias("start")).agg(part("left").alias("l"), part("right").alias("r"))
+    out = runs.join(more, ["doc_id", "start"], "left").withColumn("end", F.col("end") + F.coalesce("r", F.lit(0))).withColumn("start", F.col("start") - F.coalesce("l", F.lit(0)))
+    return out.select(*runs.columns)
 
 
 def repeated(docs: DataFrame, percent: int = 75, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -216,34 +263,24 @@ def repeated(docs: DataFrame, percent: int = 75, least_words: int = LEAST_WORDS)
 
     start counts words of the text from 0. removed is false at the first occurrence of what others repeat.
     """
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
-    buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = cut(_meet(_keys(docs, buckets)), "met")
-    pairs = _ordered(met.where("key = 0").select("a", "b").union(_long_lists(met.where("key <> 0")))).distinct()
-    pairs = cut(pairs, "pairs")
-    near = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "near")
-    all_spans = cut(_occurrences(docs), "spans")
-    many = all_spans.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
-    used = cut(all_spans.join(many.union(near).distinct(), "node", "left_semi"), "used")
-    one = used.join(near, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "start", "words")).alias("s"))
-    wanted = one.select("s.doc_id", F.struct("s.start", "s.words", "node").alias("x")).groupBy("doc_id").agg(F.collect_list("x").alias("starts"))
-    sets = cut(_shingles_of(docs, wanted), "sets")
-    links = cut(_confirm(pairs, sets, percent), "links")
-    linked = components(_apart_links(met.where("key <> 0").select("key", F.col("a").alias("node")), links, pairs, sets, percent))
-    used = used.join(linked, "node", "left").select("doc_id", "start", "words", F.coalesce("component", "node").alias("cluster")).distinct()
-    used = cut(used, "used")
-    first = used.groupBy("cluster").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("f")).where("n > 1")
-    again = used.join(first, "cluster").where((F.col("doc_id") != F.col("f.doc_id")) | (F.col("start") != F.col("f.start")))
-    again = again.select("doc_id", "start", "words", F.col("f.doc_id").alias("first_doc_id"), F.col("f.start").alias("first_start"))
-    by = Window.partitionBy("doc_id").orderBy("start")
-    follows = F.lag(F.col("start") + F.col("words")).over(by) == F.col("start")
-    runs = again.withColumn("new", F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1))
-    runs = runs.withColumn("run", F.sum("new").over(by)).groupBy("doc_id", "run")
-    runs = runs.agg(F.min("start").alias("start"), F.sum("words").alias("n_words"), F.max_by(F.struct("first_doc_id", "first_start"), F.struct("words", -F.col("start"))).alias("f"))
-    runs = runs.select("doc_id", "start", "n_words", "f.*")
-    runs = cut(runs.where(F.col("n_words") >= least_words), "runs")
-    back = runs.groupBy("first_doc_id", "first_start").agg(F.max("n_words").alias("n_words"))
-    return runs.select("doc_id", F.col("start").cast("long"), F.col("n_words").cast("long"), "first_doc_id", F.lit(True).alias("removed")).union(
+    docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
+    units = cut(_units(docs, tuned(percent)), "units")
+    near = _near(docs, units, percent)
+    places = units.select("kind", "doc_id", "start", "words", "node")
+    lines = places.where(F.col("kind") == PARAGRAPH).join(near, "node", "left").withColumn("node", F.coalesce("component", "node")).drop("component")
+    places = places.where(F.col("kind") == SPAN).unionByName(lines)
+    first = places.groupBy("kind", "node").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "words")).alias("f")).where("n > 1").drop("n")
+    first = cut(first, "first")
+    again = places.join(first, ["kind", "node"]).where((F.col("doc_id") != F.col("f.doc_id")) | (F.col("start") != F.col("f.start")))
+    at = lambda x: F.struct(F.col("f.doc_id"), x.alias("at"))
+    again = again.select("doc_id", "start", (F.col("start") + F.col("words")).alias("end"), at(F.col("f.start")).alias("left"), at(F.col("f.start") + F.col("f.words")).alias("right"), at(F.col("f.start")).alias("origin"), F.col("words").alias("weight"))
+    runs = cut(_runs(again), "runs")
+    longer = _runs(_extended(docs, runs)).withColumn("n_words", F.col("end") - F.col("start"))
+    found = cut(longer.where(F.col("n_words") >= least_words).select("doc_id", "start", "n_words", F.col("origin.doc_id").alias("first_doc_id"), F.col("origin.at").alias("first_start")), "found")
+    back = found.groupBy("first_doc_id", "first_start").agg(F.max("n_words").alias("n_words"))
+    for done in (units, first, runs):
+        discard(done)
+    return found.select("doc_id", F.col("start").cast("long"), F.col("n_words").cast("long"), "first_doc_id", F.lit(True).alias("removed")).union(
         back.select(F.col("first_doc_id").alias("doc_id"), F.col("first_start").cast("long"), F.col("n_words").cast("long"), "first_doc_id", F.lit(False))
     )
 
@@ -254,14 +291,11 @@ def without_repeats(docs: DataFrame, percent: int = 75, least_words: int = LEAST
     gone = gone.agg(F.sort_array(F.collect_list(F.struct("start", "n_words"))).alias("__gone")).withColumnRenamed("doc_id", "__doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        word = re.compile(r"[^\x20\x09-\x0D]+")
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for i, (text, cuts) in enumerate(zip(texts, batch.column("__gone").to_pylist(), strict=True)):
                 if text and cuts:
-                    ends = [(m.start(), m.end()) for m in word.finditer(text)]
+                    ends = [(m.start(), m.end()) for m in _WORD.finditer(text)]
                     out, at = [], 0
                     for x in cuts:
                         a, b = x["start"], min(x["start"] + x["n_words"], len(ends)) - 1

@@ -48,17 +48,79 @@ def test_passages(spark, monkeypatch, short):
     out = S.without_repeats(df)
     assert out.columns == df.columns
     left = {r["doc_id"]: r["text"] for r in out.collect()}
-    for i, t in enumerate(texts):
-        assert left[i] == t if i not in again else len(left[i].split()) <= len(t.split()) - 16
+    for i, t in enumerate(texts):  # runs reach the passage's true edges; a near paragraph goes with its few other words
+        own = set(passages[holds[i]].split()) if i in again else set()
+        assert not own & set(left[i].split())
+        assert len(t.split()) - len(left[i].split()) - len(own) <= 20 * bool(own)
     assert all(r["n_chars"] == len(r["text"]) for r in out.collect())
 
 
-def test_near_paragraphs(spark):
-    """A paragraph with few changed words at its edge is a repeat by Jaccard similarity, not only an equal one."""
+def edited(rng, text, changes):
+    words = text.split()
+    for _ in range(changes):
+        words[rng.randrange(len(words))] = f"e{rng.randrange(10**9)}"
+    return " ".join(words)
+
+
+def test_near_paragraphs_go(spark):
+    """A paragraph with one or two changed words in its middle is removed whole, not only its equal parts."""
     rng = random.Random(9)
-    line = unlike(rng, 3) + " " + " ".join(["same"] * 200)
-    docs = frame(spark, [line + " " + unlike(rng, 30), line + " " + unlike(rng, 30)])
-    assert {(r["doc_id"], r["first_doc_id"]) for r in S.repeated(docs).where("removed").collect()} <= {(0, 0), (1, 0)}
+    lines = [unlike(rng, 60) for _ in range(20)]
+    other = [edited(rng, x, 1 + i % 2) for i, x in enumerate(lines)]
+    docs = frame(spark, [unlike(rng, 30) + "\n" + x + "\n" + unlike(rng, 30) for x in lines + other])
+    rows = S.repeated(docs).where("removed").collect()
+    near = {i for i, (x, y) in enumerate(zip(lines, other, strict=True)) if jaccard(x, y) >= 0.75}
+    assert len(near) > 9
+    assert {(r["doc_id"], r["first_doc_id"], r["start"], r["n_words"]) for r in rows} >= {(i + 20, i, 30, 60) for i in near}
+
+
+def shingles(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def jaccard(x, y):
+    x, y = shingles(x), shingles(y)
+    return len(x & y) / len(x | y)
+
+
+def test_paragraph_classes_against_all_pairs(spark):
+    rng = random.Random(12)
+    lines = [unlike(rng, rng.randint(8, 110)) for _ in range(80)]
+    lines += [edited(rng, x, rng.randint(0, 6)) for x in lines for _ in range(3)]
+    near = {(i, j) for i in range(len(lines)) for j in range(i) if jaccard(lines[i], lines[j]) >= 0.75}
+    assert S.tuned(75) == 6
+    docs = frame(spark, lines).select("doc_id", "text")
+    units = S._units(docs, S.tuned(75))
+    node = {r["doc_id"]: r["node"] for r in units.where(units["kind"] == S.PARAGRAPH).collect()}
+    component = {r["node"]: r["component"] for r in S._near(docs, units, 75).collect()}
+    cluster = {i: component.get(node[i], node[i]) for i in node}
+    assert len(near) > 100
+    assert sum(cluster[i] == cluster[j] for i, j in near) >= 0.97 * len(near)
+    groups = {}
+    for i, j in near:  # nothing else is joined: clusters lie inside the components of all true pairs
+        groups.setdefault(i, {i}).add(j), groups.setdefault(j, {j}).add(i)
+    seen = {}
+    for i in range(len(lines)):
+        todo = [i]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen[x] = i
+                todo += groups.get(x, ())
+    for i in range(len(lines)):
+        assert all(seen[j] == seen[i] for j in range(len(lines)) if cluster[j] == cluster[i])
+
+
+def test_hash_is_that_of_spark(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from fieldsieve.llm.bitmaps import xxhash64
+
+    a, b = np.array([0, -1, 5, 2**62, -(2**63)]), np.array([1, 7, -3, 0, 2**63 - 1])
+    df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b, strict=True)], "a long, b long")
+    assert [r[0] for r in df.coalesce(1).select(F.xxhash64("a", "b")).collect()] == xxhash64(a, b).tolist()
 
 
 def test_long_lists_link_what_is_not_near_their_centre(spark):
