@@ -1,22 +1,22 @@
 """Passages that repeat, by MinHash banding of paragraphs.
 
-A paragraph is a line; one of more than `LONG` words is cut at content anchors, words whose pair
-with the word before has the least hash within `REACH` words on either side. Anchors depend on
-nearby words only, so copies are cut alike. Paragraphs of equal words are one class. Classes that
-share one of the bands (`ROWS` minimal five-word shingles each, as many bands as `tuned` asks for)
-are compared, exact Jaccard similarity confirms, and components of classes are clusters. A list of
-up to `SHORT` classes gives all its pairs. Members of longer lists meet their centre; those still
-in different components after that are paired by an exact prefix filter on their full sets, so no
-link depends on the length of a list.
-
-A verbatim passage need not fill a line. So the spans between all anchors (some eleven words) are
-classes of equal words as well, wherever they stand. Every occurrence of a cluster but its first
-goes. Neighbouring and overlapping ones form a run, which is extended word by word as far as it
-agrees with the first occurrence (`CONTEXT` words on either side, beyond which another span would
-have matched); runs of fewer than `LEAST_WORDS` words stay.
+A paragraph is a line; one of more than `LONG` words is cut at content marks (see below), which
+depend on nearby words only, so copies are cut alike. Paragraphs of equal words are one class.
+Classes that share one of the bands (`ROWS` minimal five-word shingles each, as many bands as
+`tuned` asks for) are compared, exact Jaccard similarity confirms, and components of classes are
+clusters. A list of up to `SHORT` classes gives all its pairs. Members of longer lists meet their
+centre; those still in different components after that are paired by an exact prefix filter on
+their full sets, so no link depends on the length of a list.
+
+A verbatim passage need not fill a line. So the least of every `REACH` neighbouring windows of
+`MARK` words is a class as well, wherever it stands: two texts that agree on MARK + REACH - 1
+words or more always share one. Every occurrence of a cluster but its first goes. Touching ones,
+and marks of one passage, form a run, which is extended word by word as far as it agrees with the
+first occurrence (up to `CONTEXT` words on either side; the next mark is nearer than that). Runs
+of fewer than `LEAST_WORDS` words stay.
 
 Defined results
-- null or empty text: no paragraph, no row. Units under five words are not compared.
+- null or empty text: no paragraph, no row. Lines under five words are not compared.
 - null doc_id: its document is left as it is.
 - repeated rows (one doc_id twice) count as one document: its units come together.
 - ties: the first occurrence is that of the least doc_id, then of the least place.
@@ -41,15 +41,16 @@ from .components import components
 from .near_dedup import _confirm, _ordered, _prefix_pairs
 from .shingles import MULTIPLIER, SIZE, line_hashes, mixed, slices, windows
 
-REACH = 5
-#: Lines over this many words are cut, at one anchor of `COARSE`.
-LONG, COARSE = 120, np.uint64(4)
+#: A mark covers so many words and is the least of so many.
+MARK, REACH = 16, 32
+#: Lines over this many words are cut, at one mark of `COARSE`.
+LONG, COARSE = 120, np.uint64(3)
 ROWS, RECALL = 2, 0.99
 SHORT = 16
 LEAST_WORDS = 24
 #: Runs that are looked at for an extension, and how far it goes in one direction.
 LEAST_SEED, CONTEXT = 8, 64
-SPAN, PARAGRAPH = 0, 1
+PASSAGE, PARAGRAPH = 0, 1
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -58,49 +59,41 @@ def tuned(percent: int, rows: int = ROWS, recall: float = RECALL) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(0.999, (percent / 100) ** rows))))
 
 
-def anchors(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which words are anchors, and the hash of each word's pair; a document's first word always is one."""
-    n, docs = len(hashes), len(starts) - 1
-    if not n:
-        return np.zeros(0, bool), np.zeros(0, np.uint64)
-    lengths = np.diff(starts)
-    doc_of = np.repeat(np.arange(docs), lengths)
-    pair = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
-    pair[1:] = mixed(hashes[:-1] * MULTIPLIER + hashes[1:])
-    first = starts[:-1][lengths > 0]
-    pair[first] = np.iinfo(np.uint64).max
-    # documents apart, so that no anchor depends on a neighbouring document
-    padded = np.full(n + (docs + 1) * REACH, np.iinfo(np.uint64).max, dtype=np.uint64)
-    at = np.arange(n) + (doc_of + 1) * REACH
-    padded[at] = pair
-    view = np.lib.stride_tricks.sliding_window_view(padded, 2 * REACH + 1)
-    view = view[at - REACH]  # of equal pairs the first counts, so that a word said over and over is one span
-    anchor = (pair < view[:, :REACH].min(axis=1)) & (pair <= view[:, REACH:].min(axis=1))
-    anchor[first] = True
-    return anchor, pair
-
-
-def _between(begins: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first word, words) of the units that begin where `begins` says."""
-    begin = np.flatnonzero(begins)
-    return np.searchsorted(starts, begin, side="right") - 1, begin, np.diff(np.append(begin, len(begins)))
-
-
-def spans(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first word in all words, words) of each span between anchors; starts: where documents begin."""
-    return _between(anchors(hashes, starts)[0], starts)
-
-
-def paragraphs(anchor: np.ndarray, pair: np.ndarray, starts: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def marks(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of the least window in every run of REACH windows of each document; of all its windows, if they are fewer."""
+    counts = np.maximum(np.diff(starts) - MARK + 1, 0)
+    if not counts.sum():
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    every = windows(hashes, MARK)
+    first = np.cumsum(counts + REACH) - counts - REACH  # documents apart, so that none depends on a neighbouring one
+    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    at, word = place + np.repeat(first, counts), place + np.repeat(starts[:-1], counts)
+    least = np.full(int((counts + REACH).sum()) + REACH, np.iinfo(np.uint64).max, np.uint64)
+    least[at] = every[word] & ~np.uint64(255) | (at & 255).astype(np.uint64)  # the place decides among equal ones and is read back
+    step = 1
+    while step < REACH:
+        least[:-step] = np.minimum(least[:-step], least[step:])
+        step *= 2
+    here = at[place <= np.repeat(np.maximum(counts - REACH, 0), counts)]
+    found = np.zeros(len(least), bool)
+    found[here + ((least[here] & np.uint64(255)).astype(np.int64) - here) % 256] = True
+    word = word[found[at]]
+    return word, every[word]
+
+
+def paragraphs(n: int, starts: np.ndarray, lines: np.ndarray, mark: np.ndarray, hash_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, first word, words) of each line, and of the parts of long lines."""
-    begins = np.zeros(len(anchor), bool)
+    words = np.diff(np.append(lines, n))
+    begins = np.zeros(n, bool)
+    begins[mark[mixed(hash_) % COARSE == 0]] = True
+    begins &= np.repeat(words, words) > LONG
     begins[lines] = True
-    long = np.repeat(words := np.diff(np.append(lines, len(anchor))), words) > LONG
-    return _between(begins | (long & anchor & (mixed(pair) % COARSE == 0)), starts)
+    begin = np.flatnonzero(begins)
+    return np.searchsorted(starts, begin, side="right") - 1, begin, np.diff(np.append(begin, n))
 
 
 def _classes(hashes: np.ndarray, begin: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """A hash of all words of each unit, in their order; units are next to each other."""
+    """A hash of all words of each paragraph, in their order; paragraphs are next to each other."""
     place = np.arange(len(hashes), dtype=np.uint64) - np.repeat(begin, words).astype(np.uint64)
     return mixed(np.add.reduceat(mixed(hashes + place * MULTIPLIER), begin)) if len(begin) else np.zeros(0, np.uint64)
 
@@ -109,6 +102,8 @@ def _bands(every: np.ndarray, begin: np.ndarray, words: np.ndarray, bands: int)
     """The keys of each unit, a column for each band; every: the shingle at each word and one more."""
     bounds = np.stack([begin, begin + words - SIZE + 1], axis=1).ravel()
     out = np.empty((len(begin), bands), np.uint64)
+    if not len(begin):
+        return out
     for band in range(bands):
         key = np.full(len(begin), np.uint64(band))
         for row in range(ROWS):
@@ -124,19 +119,21 @@ def _units(docs: DataFrame, bands: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             hashes, starts, lines = line_hashes(batch.column("text").to_pylist())
-            anchor, pair = anchors(hashes, starts)
+            word, hash_ = marks(hashes, starts)
+            doc, begin, words = paragraphs(len(hashes), starts, lines, word, hash_)
+            node, keep = _classes(hashes, begin, words), words >= SIZE
+            doc, begin, words, node = doc[keep], begin[keep], words[keep], node[keep]
             every = np.append(windows(hashes), np.zeros(min(len(hashes), SIZE), np.uint64))
-            for kind, (doc, begin, words) in ((SPAN, _between(anchor, starts)), (PARAGRAPH, paragraphs(anchor, pair, starts, lines))):
-                node, keep = _classes(hashes, begin, words), words >= SIZE
-                doc, begin, words, node = doc[keep], begin[keep], words[keep], node[keep]
-                ids = batch.column("doc_id").cast(pa.int64()).take(pa.array(doc))
-                if kind == SPAN or not len(begin):
-                    keys = pa.nulls(len(begin), pa.list_(pa.int64()))
-                else:  # sets of one or two shingles are equal or under the threshold, so their keys would find nothing
-                    flat = pa.array(_bands(every, begin, words, bands).ravel().view(np.int64))
-                    keys = pa.ListArray.from_arrays(pa.array(np.arange(len(begin) + 1, dtype=np.int32) * bands), flat)
-                columns = [pa.array(np.full(len(begin), kind, np.int32)), ids, pa.array((begin - starts[doc]).astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(node.view(np.int64)), keys]
-                yield pa.RecordBatch.from_arrays(columns, ["kind", "doc_id", "start", "words", "node", "keys"])
+            flat = pa.array(_bands(every, begin, words, bands).ravel().view(np.int64))
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(begin) + 1, dtype=np.int32) * bands), flat)
+            yield rows(batch, PARAGRAPH, doc, begin - starts[doc], words, node, keys)
+            doc = np.searchsorted(starts, word, side="right") - 1
+            yield rows(batch, PASSAGE, doc, word - starts[doc], np.full(len(word), MARK), mixed(hash_), pa.nulls(len(word), pa.list_(pa.int64())))
+
+    def rows(batch: pa.RecordBatch, kind: int, doc: np.ndarray, start: np.ndarray, words: np.ndarray, node: np.ndarray, keys: pa.Array) -> pa.RecordBatch:
+        ids = batch.column("doc_id").cast(pa.int64()).take(pa.array(doc))
+        columns = [pa.array(np.full(len(doc), kind, np.int32)), ids, pa.array(start.astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(node.view(np.int64)), keys]
+        return pa.RecordBatch.from_arrays(columns, ["kind", "doc_id", "start", "words", "node", "keys"])
 
     return docs.mapInArrow(run, "kind int, doc_id long, start int, words int, node long, keys array<long>")
 
@@ -147,7 +144,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, only: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             hashes, starts, lines = line_hashes(batch.column("text").to_pylist())
-            doc, begin, words = paragraphs(*anchors(hashes, starts), starts, lines)
+            doc, begin, words = paragraphs(len(hashes), starts, lines, *marks(hashes, starts))
             node, keep = _classes(hashes, begin, words).view(np.int64), words >= SIZE
             ids, place = batch.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)[doc], begin - starts[doc]
             at = np.flatnonzero(keep & hits(only.value, xxhash64(node, ids, place)))
@@ -197,14 +194,16 @@ def _near(docs: DataFrame, units: DataFrame, percent: int) -> DataFrame:
 
 
 def _runs(pieces: DataFrame) -> DataFrame:
-    """Pieces (doc_id, start, end, left, right, origin) that touch or overlap, as one each.
+    """Pieces (doc_id, start, end, left, right, origin) that touch or overlap or are near marks of one passage, as one each.
 
     left and right say where the first and the last word's end stand in the first occurrence;
     origin and weight are those of the longest piece.
     """
     by = Window.partitionBy("doc_id").orderBy("start", "end")
     before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    numbered = pieces.withColumn("new", (before.isNull() | (F.col("start") > before)).cast("long")).withColumn("run", F.sum("new").over(by))
+    shift = F.struct("left.doc_id", F.col("start") - F.col("left.at"))
+    gap = F.when(F.lag(shift).over(by) == shift, REACH).otherwise(0)
+    numbered = pieces.withColumn("new", (before.isNull() | (F.col("start") > before + gap)).cast("long")).withColumn("run", F.sum("new").over(by))
     order = F.struct("end", -F.col("start"))
     merged = numbered.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("left", F.struct("start", -F.col("end"))).alias("left"), F.max_by("right", order).alias("right"), F.max_by("origin", F.struct("weight", -F.col("start"))).alias("origin"), F.max("weight").alias("weight"))
     return merged.drop("run")
@@ -267,18 +266,19 @@ def repeated(docs: DataFrame, percent: int = 75, least_words: int = LEAST_WORDS)
     units = cut(_units(docs, tuned(percent)), "units")
     near = _near(docs, units, percent)
     places = units.select("kind", "doc_id", "start", "words", "node")
-    lines = places.where(F.col("kind") == PARAGRAPH).join(near, "node", "left").withColumn("node", F.coalesce("component", "node")).drop("component")
-    places = places.where(F.col("kind") == SPAN).unionByName(lines)
-    first = places.groupBy("kind", "node").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "words")).alias("f")).where("n > 1").drop("n")
-    first = cut(first, "first")
-    again = places.join(first, ["kind", "node"]).where((F.col("doc_id") != F.col("f.doc_id")) | (F.col("start") != F.col("f.start")))
+    lines = places.where(F.col("kind") == PARAGRAPH).join(near, "node", "left").withColumn("node", F.coalesce("component", "node"))
+    places = places.where(F.col("kind") == PASSAGE).drop("kind").unionByName(lines.drop("kind", "component"))
+    many = cut(places.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "many")
+    used = cut(places.join(many, "node"), "used")
+    first = used.groupBy("node").agg(F.min(F.struct("doc_id", "start", "words")).alias("f"))
+    again = used.join(first, "node").where((F.col("doc_id") != F.col("f.doc_id")) | (F.col("start") != F.col("f.start")))
     at = lambda x: F.struct(F.col("f.doc_id"), x.alias("at"))
     again = again.select("doc_id", "start", (F.col("start") + F.col("words")).alias("end"), at(F.col("f.start")).alias("left"), at(F.col("f.start") + F.col("f.words")).alias("right"), at(F.col("f.start")).alias("origin"), F.col("words").alias("weight"))
     runs = cut(_runs(again), "runs")
     longer = _runs(_extended(docs, runs)).withColumn("n_words", F.col("end") - F.col("start"))
     found = cut(longer.where(F.col("n_words") >= least_words).select("doc_id", "start", "n_words", F.col("origin.doc_id").alias("first_doc_id"), F.col("origin.at").alias("first_start")), "found")
     back = found.groupBy("first_doc_id", "first_start").agg(F.max("n_words").alias("n_words"))
-    for done in (units, first, runs):
+    for done in (units, many, used, runs):
         discard(done)
     return found.select("doc_id", F.col("start").cast("long"), F.col("n_words").cast("long"), "first_doc_id", F.lit(True).alias("removed")).union(
         back.select(F.col("first_doc_id").alias("doc_id"), F.col("first_start").cast("long"), F.col("n_words").cast("long"), "first_doc_id", F.lit(False))

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from fieldsieve.llm import substring_dedup as S
-from fieldsieve.llm.shingles import word_hashes
+from fieldsieve.llm.shingles import line_hashes
 
 from .conftest import frame, prose
 
@@ -12,16 +12,29 @@ def unlike(rng, n):
     return " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
 
 
-def test_spans_do_not_depend_on_neighbours():
+def test_marks_do_not_depend_on_neighbours():
     rng = random.Random(0)
-    texts = [prose(rng, n) for n in (0, 1, 3, 50, 400, 7)] + [None, "one " * 60]
-    hashes, starts = word_hashes(texts)
-    doc, begin, words = S.spans(hashes, starts)
+    texts = [prose(rng, n) for n in (0, 1, 3, 16, 17, 50, 400, 7)] + [None, "one " * 60]
+    hashes, starts, _ = line_hashes(texts)
+    word, _ = S.marks(hashes, starts)
     for i, t in enumerate(texts):
-        alone = S.spans(*word_hashes([t]))
-        own = doc == i
-        assert (begin[own] - starts[i]).tolist() == alone[1].tolist() and words[own].tolist() == alone[2].tolist()
-        assert words[own].sum() == len((t or "").split())
+        alone, own = S.marks(*line_hashes([t])[:2])[0], (word >= starts[i]) & (word < starts[i + 1])
+        every = S.windows(hashes[starts[i] : starts[i + 1]], S.MARK).tolist()
+        runs = [every[k : k + S.REACH] for k in range(max(1, len(every) - S.REACH + 1))] if every else []
+        if i != len(texts) - 1:  # in the last all windows are equal
+            assert (word[own] - starts[i]).tolist() == alone.tolist() == sorted({every.index(min(r)) for r in runs})
+        assert all(min(r) in {every[k] for k in alone} for r in runs)
+
+
+def test_a_passage_always_has_a_mark():
+    rng = random.Random(1)
+    passage = unlike(rng, S.MARK + S.REACH - 1)
+    for _ in range(30):
+        found = []
+        for _ in range(2):
+            hashes, starts, _ = line_hashes([unlike(rng, rng.randint(0, 60)) + " " + passage + " " + unlike(rng, rng.randint(0, 60))])
+            found.append(set(S.marks(hashes, starts)[1].tolist()))
+        assert found[0] & found[1]
 
 
 @pytest.mark.parametrize("short", [2, 16])
