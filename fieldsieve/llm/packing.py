@@ -9,7 +9,9 @@ its own rows: nothing is shuffled, and one sequence in a chunk is not full.
 
 Defined results
 - null or empty text: the end id alone. null doc_id: packed like any other. Repeated rows:
-  each is packed. Further columns don't matter here.
+  each is packed. Ties: of equal dot products the larger example goes first, of equal examples
+  the earlier. Very long texts fill whole sequences. An empty table: no rows.
+- further columns don't matter here, whatever their names; null prompts are empty.
 """
 
 from __future__ import annotations
@@ -20,36 +22,45 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .tokens import encoder, slices_of, vocabulary
 
 LENGTH = 2048
 MOST_SEGMENTS = 256
 END = 1
-#: Characters of text that make a chunk.
-CHUNK = 3_000_000
+#: Characters of text that make a chunk; a row counts as some, so that tiny ones don't make one endless.
+CHUNK, ROW = 3_000_000, 150
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def place(demand: np.ndarray, limits: np.ndarray) -> list[list[int]]:
     """Rows of demand in bins within limits, by the dot-product heuristic; a row over the limits is an error."""
-    share = demand / limits
-    if (share > 1).any():
+    if (demand > limits).any():
         raise ValueError("an example asks for more than a sequence holds")
-    order = np.lexsort((np.arange(len(share)), -share.sum(axis=1)))
-    share, left, bins = share[order], np.ones(len(order), dtype=bool), []
-    while left.any():
-        room, held = np.ones(share.shape[1]), []
+    if not len(demand):
+        return []
+    # equal demands are one class, so that a chunk of many small examples is quick
+    kinds, of, count = np.unique(demand, axis=0, return_inverse=True, return_counts=True)
+    members = np.split(np.argsort(of.ravel(), kind="stable"), np.cumsum(count)[:-1])
+    order = np.argsort(-(kinds / limits).sum(axis=1), kind="stable")
+    kinds, count, members = kinds[order], count[order], [members[i] for i in order]
+    share, at, bins = kinds / limits, np.zeros(len(kinds), np.int64), []
+    while (left := np.flatnonzero(at < count)).size:
+        room, held = limits.astype(float), []
+        rest = left
         while True:
-            rest = np.flatnonzero(left)
-            rest = rest[(share[rest] <= room + 1e-9).all(axis=1)]
+            rest = rest[(at[rest] < count[rest]) & (kinds[rest] <= room).all(axis=1)]
             if not len(rest):
                 break
-            best = rest[np.argmax(share[rest] @ room)]
-            held.append(int(order[best]))
-            left[best] = False
-            room = room - share[best]
+            best = rest[np.argmax(share[rest] @ (room / limits))]
+            take = 1
+            if len(rest) == 1:  # nothing else fits, now or later
+                fit = np.floor(room[kinds[best] > 0] / kinds[best][kinds[best] > 0]).min(initial=count[best])
+                take = int(min(fit, count[best] - at[best]))
+            held += members[best][at[best] : at[best] + take].tolist()
+            at[best] += take
+            room = room - take * kinds[best]
         bins.append(held)
     return bins
 
@@ -60,7 +71,7 @@ def cut_and_place(lengths: list[int], loss: list[int] | None = None, length: int
     loss: how many of an example's last tokens bear loss; all of them, if not given.
     """
     most_loss = most_loss or length
-    loss = loss or lengths
+    loss = lengths if loss is None else loss
     bears = lambda i, start, n: max(0, min(n, start + n - (lengths[i] - loss[i])))
     whole, rest = [], []
     step = min(length, most_loss)
@@ -93,22 +104,24 @@ def cut_and_place(lengths: list[int], loss: list[int] | None = None, length: int
     return whole + [b for b in bins if b]
 
 
-def packed(docs: DataFrame, path: str, spaced: bool, end: int = END, length: int = LENGTH, most_segments: int = MOST_SEGMENTS, with_ids: bool = False) -> DataFrame:
+def packed(docs: DataFrame, path: str, spaced: bool, end: int = END, length: int = LENGTH, most_segments: int = MOST_SEGMENTS, with_ids: bool = False, prompt: str | None = None, most_loss: int | None = None) -> DataFrame:
     """A row for each piece, as SCHEMA says; with_ids adds the piece's ids, packed as little-endian unsigned 32-bit.
 
-    path, spaced: the tokenizer's file, and whether its ids hold white space.
+    path, spaced: the tokenizer's file, and whether its ids hold white space. prompt: a column of
+    text before each text whose tokens bear no loss. most_loss: loss-bearing tokens in a sequence.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, sequence = encoder(path, spaced), TaskContext.get().partitionId() << 40
         held_ids: list = []
         held: list[np.ndarray] = []
+        loss: list[int] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal sequence
             columns: list[list] = [[] for _ in range(7 + with_ids)]
-            for pieces in cut_and_place([len(x) for x in held], None, length, most_segments):
+            for pieces in cut_and_place([len(x) for x in held], loss, length, most_segments, most_loss):
                 offset = 0
                 for i, at, n in pieces:
                     ids = held[i][at : at + n].astype("<u4").tobytes()
@@ -117,7 +130,7 @@ def packed(docs: DataFrame, path: str, spaced: bool, end: int = END, length: int
                         c.append(v)
                     offset += n
                 sequence += 1
-            held.clear(), held_ids.clear()
+            held.clear(), held_ids.clear(), loss.clear()
             names = [x.split()[0] for x in SCHEMA.split(", ")] + ["ids"] * with_ids
             return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for c, n in zip(columns, names, strict=True)], names)
 
@@ -125,16 +138,31 @@ def packed(docs: DataFrame, path: str, spaced: bool, end: int = END, length: int
             keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for a, b in slices_of(texts, CHUNK // 2):
                 ids, starts = encode(texts[a:b], end)
-                held += [ids[x:y] for x, y in zip(starts[:-1], starts[1:], strict=True)]
+                own = [ids[x:y] for x, y in zip(starts[:-1], starts[1:], strict=True)]
+                loss += map(len, own)
+                if prompt is not None:
+                    before = batch.column("__prompt").slice(a, b - a).to_pylist()
+                    ids, starts = encode(before)
+                    own = [np.concatenate([ids[x:y], t]) for x, y, t in zip(starts[:-1], starts[1:], own, strict=True)]
+                    size += sum(len(t) if t else 0 for t in before)
+                held += own
                 held_ids += keys[a:b]
-                size += sum(len(t) if t else 0 for t in texts[a:b]) + b - a
+                size += sum(len(t) if t else 0 for t in texts[a:b]) + ROW * (b - a)
                 if size >= CHUNK:
                     yield flush()
                     size = 0
         if held:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA + (", ids binary" if with_ids else ""))
+    before = [F.col(prompt).alias("__prompt")] if prompt is not None else []
+    return docs.select(F.col("doc_id").cast("long"), "text", *before).mapInArrow(run, SCHEMA + (", ids binary" if with_ids else ""))
+
+
+def exchanges(conversations: DataFrame) -> DataFrame:
+    """(doc_id, prompt, text): each assistant's turn with the turn before it, as instruction data; doc_id is conv_id."""
+    by = Window.partitionBy("conv_id").orderBy("turn")
+    rows = conversations.select(F.col("conv_id").alias("doc_id"), "role", "text", F.lag("text").over(by).alias("prompt"))
+    return rows.where("role = 'assistant'").select("doc_id", "prompt", "text")
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:
