@@ -1,149 +1,207 @@
-"""A context-mixing range coder for token ids below 65,536, many blocks in step.
-
-Each block has a model and a coder of its own, so blocks are reset independently; numpy works
-on the same place of all blocks of a group at once. For a place, the id last seen after the
-two ids before (order 2) and after the one before (order 1) are predictions. How sure each has
-been lately, and whether they agree, selects an adaptive distribution over {order 2 is right,
-order 1 is right, neither}: these are the mixing weights. If neither is right, the id follows
-from adaptive distributions of its four nibbles (order 0). All probabilities are 14-bit
-cumulative tables that move towards what was coded; the coder is a carryless range coder that
-puts out 16 bits at a time.
+"""An adaptive context-mixing range coder for blocks of token ids.
+
+A block is one model and many lanes: its ids are cut into equal stretches, and numpy works on the
+same place of all stretches at once. Three predictions are mixed linearly for each id: order 0,
+the frequencies of ids so far in the block; order 1, the id last seen after the one before; order
+2, the id last seen after the two before. How sure the last two have been lately and whether they
+agree selects a row of counts of which order was right, and these counts are the mixing weights.
+The distribution function of a mixture is the mixture of the distribution functions, so an id is
+coded in one step, and decoding inverts the three parts one after another. After each step the
+model learns the ids of all lanes; order-0 tables are made anew after 1, 2, 4, ... steps. The
+coder is a carryless range coder with 64 bits of state a lane that puts out 32 bits at a time.
+Nothing is carried from one block to the next. All arithmetic is on integers.
+
+Ids of 24 bits at most; a block without ids is no bytes.
 """
 
 from __future__ import annotations
 
-import numpy as np
-
-BITS = 14
-ONE = 1 << BITS
-TABLE = 1 << 11
-#: Lanes keep 48 bits; 16 leave at a time, once the range is under BOTTOM.
-MASK, BOTTOM, TOP = np.uint64((1 << 48) - 1), np.uint64(1 << 31), np.uint64(1 << 32)
-SIXTEEN, THIRTY_TWO, FOURTEEN = np.uint64(16), np.uint64(32), np.uint64(BITS)
-RATE = 4
-#: Nibble contexts: none, first nibble, first two, the first three hashed.
-CONTEXTS = (1, 16, 256, 256)
-
-
-def _aims(symbols: int) -> np.ndarray:
-    """For each symbol, where the inner bounds of the table move when it was coded; every symbol keeps some room."""
-    inner, least = np.arange(1, symbols), 16
-    return np.where(inner[None, :] > np.arange(symbols)[:, None], ONE - (symbols - inner) * least, inner * least).astype(np.int16)
+import struct
 
+import numpy as np
 
-AIMS = {3: _aims(3), 16: _aims(16)}
+#: Ids in a lane.
+STEPS = 256
+#: Contexts of two ids are told apart by so many bits.
+CONTEXT_BITS = 17
+MOST_IDS = 1 << 24
+HEAD = struct.Struct("<II")
+THIRTY_TWO = np.uint64(32)
+CELL = np.uint64(1 << 32)
+LOW = np.uint64((1 << 32) - 1)
 
 
 class _Model:
-    def __init__(self, lanes: int):
-        flat = np.minimum(np.arange(17) * (ONE // 16), ONE).astype(np.int16)
-        self.nibbles = [np.tile(flat, (lanes * n, 1)) for n in CONTEXTS]
-        self.way = np.tile(np.array([0, ONE // 3, 2 * ONE // 3, ONE], np.int16), (lanes * 32, 1))
-        self.next1, self.next2 = np.zeros(lanes * TABLE, np.uint16), np.zeros(lanes * TABLE, np.uint16)
-        self.sure1, self.sure2 = np.zeros(lanes * TABLE, np.int8), np.zeros(lanes * TABLE, np.int8)
-
-
-class _Coder:
-    """Range coders of all lanes; data is None to encode."""
-
-    def __init__(self, lanes: int, data: list[bytes] | None, room: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, MASK, np.uint64)
-        self.at = np.zeros(lanes, np.int64)
-        self.code = None
-        if data is None:
-            self.words = np.zeros((lanes, room), np.uint16)
+    """What a block's ids so far say about the next one. Shares are of `total`."""
+
+    def __init__(self, alphabet: int):
+        self.alphabet = alphabet
+        self.bits = max(12, alphabet.bit_length() + 2)
+        self.total = 1 << (self.bits + 6)
+        # guess << 2 | how sure
+        self.one = np.zeros(alphabet, np.int64)
+        self.two = np.zeros(1 << CONTEXT_BITS, np.int64)
+        self.seen = np.zeros(alphabet, np.int64)
+        self.hits = np.tile(np.array([1, 1, 4], np.int64), (32, 1))
+        self.weigh()
+        self.tables()
+
+    def weigh(self) -> None:
+        # order 0 keeps a 64th, so that every id has room
+        shares = self.hits * (self.total // 64 * 63) // self.hits.sum(axis=1, keepdims=True)
+        self.second, self.first = shares[:, 0].copy(), shares[:, 1].copy()
+
+    def tables(self) -> None:
+        slots, n = 1 << self.bits, int(self.seen.sum())
+        sizes = 1 + self.seen * (slots - self.alphabet) // max(n, 1)
+        sizes[0] += slots - int(sizes.sum())
+        self.upto = np.concatenate([[0], np.cumsum(sizes)])
+        self.id_of = np.repeat(np.arange(self.alphabet), sizes)
+
+    def predict(self, one: np.ndarray, two: np.ndarray):
+        """For the ids before and those before them: the guesses, their shares, what is left for order 0, and how to learn."""
+        at = (one * 0x9E3779B1 + two * 0x85EBCA77 >> 13) & ((1 << CONTEXT_BITS) - 1)
+        a, b = self.one.take(one), self.two.take(at)
+        g1, g2 = a >> 2, b >> 2
+        row = ((b & 3) << 3) + ((a & 3) << 1) + (g1 == g2)
+        p1, p2 = self.first.take(row), self.second.take(row)
+        return g1, g2, p1, p2, self.total - p1 - p2, (one, at, a, b, row)
+
+    def interval(self, x: np.ndarray, g1: np.ndarray, g2: np.ndarray, p1: np.ndarray, p2: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the share of each x."""
+        low, high = self.upto.take(x) * rest >> self.bits, self.upto.take(x + 1) * rest >> self.bits
+        return low + p1 * (g1 < x) + p2 * (g2 < x), high - low + p1 * (g1 == x) + p2 * (g2 == x)
+
+    def invert(self, v: np.ndarray, g1: np.ndarray, g2: np.ndarray, p1: np.ndarray, p2: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """The id whose share holds each v: the later guess's part is taken out, then the earlier one's, then order 0 is looked up."""
+        swap = g1 > g2
+        near, p = np.where(swap, g2, g1), np.where(swap, p2, p1)
+        far, q = np.where(swap, g1, g2), np.where(swap, p1, p2)
+        edge = (self.upto.take(far + 1) * rest >> self.bits) + p
+        v = np.where(v < edge, v, np.maximum(v - q, edge - 1))
+        edge = self.upto.take(near + 1) * rest >> self.bits
+        v = np.where(v < edge, v, np.maximum(v - p, edge - 1))
+        slot = (((v + 1) << self.bits) - 1).view(np.uint64) // rest.view(np.uint64)
+        return self.id_of.take(slot.view(np.int64))
+
+    def learn(self, x: np.ndarray, g1: np.ndarray, g2: np.ndarray, how) -> None:
+        one, at, a, b, row = how
+        hit1, hit2 = g1 == x, g2 == x
+        right = np.where(hit2, 0, 2 - hit1)
+        self.hits += np.bincount(row * 3 + right, minlength=96).reshape(32, 3)
+        self.weigh()
+        new = x << 2
+        self.one[one] = np.where(hit1, a + ((a & 3) < 3), np.where((a & 3) > 1, a - 2, new))
+        self.two[at] = np.where(hit2, b + ((b & 3) < 3), np.where((b & 3) > 1, b - 2, new))
+
+
+class _Lanes:
+    """A range coder for each lane. words: to decode, a row of words for each."""
+
+    def __init__(self, lanes: int, total_bits: int, words: np.ndarray | None):
+        self.shift = np.uint64(total_bits)
+        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+        self.most = np.uint64((1 << total_bits) - 1)
+        if words is None:
+            self.words, self.at = np.zeros((lanes, STEPS + 1), np.uint32), np.zeros(lanes, np.int64)
+            self.code = None
         else:
-            self.words = np.zeros((lanes, max(map(len, data)) // 2 + 8), np.uint16)
-            for i, x in enumerate(data):
-                self.words[i, : len(x) // 2] = np.frombuffer(x, "<u2")
-            self.code = np.zeros(lanes, np.uint64)
-            for i in range(3):
-                self.code = self.code << SIXTEEN | self.words[:, i]
-            self.at += 3
-
-    def symbol(self, lane: np.ndarray, table: np.ndarray, row: np.ndarray, symbols: int, known: np.ndarray | None) -> np.ndarray:
-        """Code one symbol in each of some lanes by their rows of a cumulative table, and move the rows; known: to encode."""
-        rows = table.take(row, axis=0)
-        low, step = self.low.take(lane), self.range.take(lane) >> FOURTEEN
-        if known is None:
-            value = np.minimum((self.code.take(lane) - low) // step, np.uint64(ONE - 1)).astype(np.int16)
-            known = np.add.reduce((rows[:, 1:symbols] <= value[:, None]).view(np.int8), axis=1, dtype=np.int8).astype(np.int64)
-        flat, at = rows.ravel(), np.arange(0, rows.size, symbols + 1) + known
-        start, end = flat.take(at).astype(np.uint64), flat.take(at + 1).astype(np.uint64)
-        low, size = low + start * step, (end - start) * step
-        self.low[lane], self.range[lane] = low, size
-        inner = rows[:, 1:symbols]
-        inner += (AIMS[symbols].take(known, axis=0) - inner) >> RATE
-        table[row] = rows
-        few = np.flatnonzero(size < BOTTOM)
-        while len(few):
-            some, low, size = lane[few], low[few], size[few]
-            # a range across a boundary of the upper 16 bits ends there, so that no carry comes later
-            across = ((low ^ (low + size - np.uint64(1))) >> THIRTY_TWO) != 0
-            size = np.where(across, TOP - (low & (TOP - np.uint64(1))), size)
+            self.words, self.at = words, np.full(lanes, 2)
+            self.code = words[:, 0].astype(np.uint64) << THIRTY_TWO | words[:, 1]
+
+    def value(self, n: int) -> np.ndarray:
+        return np.minimum((self.code[:n] - self.low[:n]) // (self.range[:n] >> self.shift), self.most).view(np.int64)
+
+    def narrow(self, start: np.ndarray, size: np.ndarray) -> None:
+        n = len(start)
+        step = self.range[:n] >> self.shift
+        low, span = self.low[:n], self.range[:n]
+        low += step * start.view(np.uint64)
+        np.multiply(step, size.view(np.uint64), out=span)
+        few = np.flatnonzero(span < CELL)
+        if len(few):
+            a, s = low[few], span[few]
+            # a range over a boundary of the upper half gives up its smaller side, so that no carry comes later
+            inside = CELL - (a & LOW)
+            over = s > inside
+            after = over & (s - inside > inside)
+            s = np.where(after, s - inside, np.where(over, inside, s))
+            a = np.where(after, a + inside, a)
             if self.code is None:
-                self.words[some, self.at[some]] = (low >> THIRTY_TWO).astype(np.uint16)
+                self.words[few, self.at[few]] = (a >> THIRTY_TWO).astype(np.uint32)
             else:
-                self.code[some] = (self.code[some] << SIXTEEN | self.words[some, self.at[some]]) & MASK
-            self.at[some] += 1
-            low, size = (low << SIXTEEN) & MASK, size << SIXTEEN
-            self.low[some], self.range[some] = low, size
-            lane, few = some, np.flatnonzero(size < BOTTOM)
-        return known
-
-    def finish(self) -> list[bytes]:
+                self.code[few] = self.code[few] << THIRTY_TWO | self.words[few, self.at[few]]
+            self.at[few] += 1
+            low[few], span[few] = a << THIRTY_TWO, s << THIRTY_TWO
+
+    def finish(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words of all lanes and how many each has; a last one says where in its range a lane ends."""
         lanes = np.arange(len(self.low))
-        for shift in (32, 16, 0):
-            self.words[lanes, self.at] = (self.low >> np.uint64(shift)).astype(np.uint16)
-            self.at += 1
-        return [self.words[i, : self.at[i]].astype("<u2").tobytes() for i in lanes]
-
-
-def _run(lengths: np.ndarray, ids: np.ndarray | None, data: list[bytes] | None) -> np.ndarray | list[bytes]:
-    lanes, longest = len(lengths), int(lengths.max(initial=0))
-    model, coder = _Model(lanes), _Coder(lanes, data, 4 * longest + 16)
-    out = np.zeros((longest, lanes), np.int64) if ids is None else ids
-    one, two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    for t in range(longest):
-        lane = np.flatnonzero(lengths > t)
-        a, b = one[lane], two[lane]
-        base = lane * TABLE
-        h1, h2 = base + ((a * 40503 >> 3) & (TABLE - 1)), base + (((a * 2654435761 + b * 39571431) >> 7) & (TABLE - 1))
-        p1, p2, s1, s2 = model.next1.take(h1), model.next2.take(h2), model.sure1.take(h1), model.sure2.take(h2)
-        x = None if ids is None else ids[t, lane]
-        row = lane * 32 + s2 * 8 + s1 * 2 + (p1 == p2)
-        way = coder.symbol(lane, model.way, row, 3, None if x is None else np.where(x == p2, 0, np.where(x == p1, 1, 2)))
-        now = np.where(way == 0, p2, p1).astype(np.int64)
-        miss = np.flatnonzero(way == 2)
-        if len(miss):
-            own, value, known = lane[miss], np.zeros(len(miss), np.int64), None if x is None else x[miss]
-            for k, contexts in enumerate(CONTEXTS):
-                row = own * contexts + (value if k < 3 else (value * 97) & (contexts - 1))
-                value = value * 16 + coder.symbol(own, model.nibbles[k], row, 16, None if known is None else (known >> (12 - 4 * k)) & 15)
-            now[miss] = value
-        for guess, sure, at, was, s in ((model.next1, model.sure1, h1, p1, s1), (model.next2, model.sure2, h2, p2, s2)):
-            right = was == now
-            guess[at] = np.where(right | (s > 1), was, now)
-            sure[at] = np.where(right, np.minimum(s + 1, 3), np.maximum(s - 2, 0))
-        out[t, lane] = now
-        two[lane], one[lane] = a, now
-    return out if ids is None else coder.finish()
-
-
-def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block of ids as bytes."""
-    lengths = np.array([len(b) for b in blocks], np.int64)
-    ids = np.zeros((int(lengths.max(initial=0)), len(blocks)), np.int64)
-    for i, b in enumerate(blocks):
-        ids[: len(b), i] = b
-    if ids.size and ids.max() >= 1 << 16:
-        raise ValueError("ids of 65,536 and over are beyond this format")
-    return _run(lengths, ids, None)
-
-
-def decode(data: list[bytes], lengths: list[int]) -> list[np.ndarray]:
-    """The blocks that encode() made into data."""
+        self.words[lanes, self.at] = ((self.low + LOW) >> THIRTY_TWO).astype(np.uint32)
+        self.at += 1
+        return self.words[np.arange(self.words.shape[1]) < self.at[:, None]], self.at
+
+
+def _lanes(n: int) -> tuple[int, np.ndarray]:
+    """How many lanes a block of n ids has, and how many of them each step reaches: only the last one may be shorter."""
+    lanes = -(-n // STEPS)
+    last = n - (lanes - 1) * STEPS
+    return lanes, np.where(np.arange(STEPS) < last, lanes, lanes - 1)
+
+
+def encode(ids: np.ndarray) -> bytes:
+    """A block of ids as bytes."""
+    if not len(ids):
+        return b""
+    most = int(ids.max())
+    if most >= MOST_IDS:
+        raise ValueError(f"an id of {MOST_IDS} or more is beyond this format")
+    lanes, reached = _lanes(len(ids))
+    grid = np.zeros(lanes * STEPS, np.int64)
+    grid[: len(ids)] = ids
+    grid = np.ascontiguousarray(grid.reshape(lanes, STEPS).T)
+    model = _Model(most + 1)
+    coder = _Lanes(lanes, model.bits + 6, None)
+    nothing = np.zeros(lanes, np.int64)
+    for t, n in enumerate(reached.tolist()):
+        if not n:
+            break
+        x = grid[t, :n]
+        g1, g2, p1, p2, rest, how = model.predict(grid[t - 1, :n] if t else nothing[:n], grid[t - 2, :n] if t > 1 else nothing[:n])
+        coder.narrow(*model.interval(x, g1, g2, p1, p2, rest))
+        model.learn(x, g1, g2, how)
+        if t & (t + 1) == 0:  # after 1, 2, 4, ... steps
+            model.seen = np.bincount(grid[: t + 1, :n].ravel(), minlength=model.alphabet)
+            model.tables()
+    words, counts = coder.finish()
+    return HEAD.pack(len(ids), most + 1) + counts.astype("<u2").tobytes() + words.astype("<u4").tobytes()
+
+
+def decode(data: bytes) -> np.ndarray:
+    """The ids that encode() made into data."""
     if not data:
-        return []
-    ids = _run(np.array(lengths, np.int64), None, data)
-    return [ids[:n, i].astype(np.uint32) for i, n in enumerate(lengths)]
+        return np.zeros(0, np.uint32)
+    size, alphabet = HEAD.unpack_from(data)
+    lanes, reached = _lanes(size)
+    counts = np.frombuffer(data, "<u2", lanes, HEAD.size).astype(np.int64)
+    flat = np.frombuffer(data, "<u4", int(counts.sum()), HEAD.size + 2 * lanes)
+    words = np.zeros((lanes, STEPS + 4), np.uint32)
+    if lanes and counts.max() > STEPS + 1:
+        raise ValueError("not a block of this format")
+    words[np.arange(words.shape[1]) < counts[:, None]] = flat
+    grid = np.zeros((STEPS, lanes), np.int64)
+    model = _Model(alphabet)
+    coder = _Lanes(lanes, model.bits + 6, words)
+    nothing = np.zeros(lanes, np.int64)
+    for t, n in enumerate(reached.tolist()):
+        if not n:
+            break
+        g1, g2, p1, p2, rest, how = model.predict(grid[t - 1, :n] if t else nothing[:n], grid[t - 2, :n] if t > 1 else nothing[:n])
+        x = model.invert(coder.value(n), g1, g2, p1, p2, rest)
+        coder.narrow(*model.interval(x, g1, g2, p1, p2, rest))
+        model.learn(x, g1, g2, how)
+        grid[t, :n] = x
+        if t & (t + 1) == 0:
+            model.seen = np.bincount(grid[: t + 1, :n].ravel(), minlength=alphabet)
+            model.tables()
+    return grid.T.ravel()[:size].astype(np.uint32)

@@ -22,24 +22,44 @@ def put(folder: str, name: str, data: bytes) -> None:
     hidden = f"{path}/_{name}-{uuid.uuid4().hex}"
     with store.open_output_stream(hidden) as out:
         out.write(data)
-    store.move(hidden, f"{path}/{name}")
+    try:
+        store.move(hidden, f"{path}/{name}")
+    except OSError:  # some stores don't replace what another run of the task has put there
+        if store.get_file_info(f"{path}/{name}").type != fs.FileType.File:
+            raise
+        store.delete_file(hidden)
 
 
-def write_sorted(df: DataFrame, by: str, name: str, make: Callable[[Iterator[pa.RecordBatch]], bytes]) -> str:
-    """The folder of files made of the rows of df in ascending order of `by`, one file for each range of it."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
     folder = scratch_path(spark, name)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)  # an empty table has no files
+    return folder
+
+
+def file_name(part: int, serial: int) -> str:
+    """Names in the order of partitions and, inside them, of files."""
+    return f"part-{part:08d}-{serial:06d}.bin"
+
+
+def write_sorted(docs: DataFrame, name: str, make: Callable[[Iterator[pa.RecordBatch]], Iterator[bytes]]) -> str:
+    """The folder of files that make() yields from (doc_id, text) in ascending order; equal ids by a hash of the text, then the text.
+
+    A task writes as many files as make() yields, one after another, so none is held for longer than it is made.
+    """
+    spark = docs.sparkSession
+    folder = new_folder(spark, name)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        put(folder, f"part-{part:08d}.bin", make(batches))
-        yield pa.RecordBatch.from_arrays([pa.array([part])], ["part"])
+        part, serial = TaskContext.get().partitionId(), -1
+        for serial, data in enumerate(make(batches)):
+            put(folder, file_name(part, serial), data)
+        yield pa.RecordBatch.from_arrays([pa.array([serial + 1])], ["files"])
 
-    done = df.repartitionByRange(parts, F.col(by).asc_nulls_first()).sortWithinPartitions(F.col(by).asc_nulls_first())
-    done.mapInArrow(run, "part long").agg(F.count("*")).first()
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    done = docs.select("doc_id", "text").repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
+    done.mapInArrow(run, "files long").agg(F.sum("files")).first()
     return folder
 
 

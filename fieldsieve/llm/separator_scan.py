@@ -9,7 +9,10 @@ document that is open at its start began.
 Defined results
 - ids after the last end id of all files: a last document without an end, n_tokens counts them.
 - an end id right after another: a document of that one id. No files or empty files: no rows.
-- null or empty text, when files are written: the end id alone; null doc_id: first in order.
+- null or empty text, when files are written: the end id alone. null doc_id and repeated rows:
+  documents like any other. Order is that of the table's partitions, so nothing is shuffled.
+- very long texts: a document may cover many blocks; it lies in one file when it is written here.
+- further columns don't matter here, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,41 +21,69 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import cut
-from .files import offsets, read_files, write_sorted
+from .files import file_name, new_folder, offsets, put, read_files
 from .tokens import encoder, slices_of, vocabulary
 
 END = 50256
 #: Ids in a block.
 BLOCK = 1 << 16
+#: Ids after which a task starts a new file.
+FILE_IDS = 1 << 25
 
 
-def write_flat(docs: DataFrame, path: str, spaced: bool = True, end: int = END) -> str:
-    """Little-endian unsigned 32-bit ids of all texts in ascending doc_id order, and nothing else; the files' folder."""
+def width(path: str, spaced: bool) -> str:
+    """How ids of a tokenizer are stored: 16 bits, where all of them fit."""
+    return "<u2" if encoder(path, spaced).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def write_flat(docs: DataFrame, path: str, spaced: bool = True, end: int = END) -> tuple[str, DataFrame]:
+    """The folder of files of little-endian ids and nothing else, and (file, place, doc_id) of each document in them.
+
+    If a task runs again, it must get its rows in the same order, as it does from files.
+    """
+    folder, kind = new_folder(docs.sparkSession, "flat"), width(path, spaced)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, part, serial = encoder(path, spaced), TaskContext.get().partitionId(), 0
+        parts, keys, size = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            name = file_name(part, serial)
+            put(folder, name, b"".join(parts))
+            out = pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(np.arange(len(keys))), pa.array(keys, pa.int64())], ["file", "place", "doc_id"])
+            parts.clear(), keys.clear()
+            return out
 
-    def make(batches: Iterator[pa.RecordBatch]) -> bytes:
-        encode, parts = encoder(path, spaced), []
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts, own = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             for a, b in slices_of(texts, 2_000_000):
-                parts.append(encode(texts[a:b], end)[0].astype("<u4").tobytes())
-        return b"".join(parts)
+                ids = encode(texts[a:b], end)[0]
+                parts.append(ids.astype(kind).tobytes())
+                keys += own[a:b]
+                size += len(ids)
+                if size >= FILE_IDS:
+                    yield flush()
+                    serial, size = serial + 1, 0
+        if keys:
+            yield flush()
 
-    return write_sorted(docs.select("doc_id", "text"), "doc_id", "flat", make)
+    return folder, cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "file string, place long, doc_id long"), "places")
 
 
-def scan(spark: SparkSession, folder: str, end: int = END) -> DataFrame:
+def scan(spark: SparkSession, folder: str, end: int = END, kind: str = "<u4") -> DataFrame:
     """(ordinal, start, n_tokens) of every document in the files, in the order of the files' names.
 
-    start counts ids of all files; n_tokens holds the end id.
+    start counts ids of all files; n_tokens holds the end id. kind: numpy's name of how ids are stored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                ids = np.frombuffer(content.as_buffer(), "<u4")
+                ids = np.frombuffer(content.as_buffer(), kind)
                 rows = [(path, at // BLOCK, len(x := ids[at : at + BLOCK]), np.flatnonzero(x == end)) for at in range(0, len(ids), BLOCK)]
                 columns = list(zip(*rows, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array([x.astype(np.int32) for x in columns[3]], pa.list_(pa.int32()))], ["path", "block", "size", "ends"])
@@ -84,13 +115,8 @@ def scan(spark: SparkSession, folder: str, end: int = END) -> DataFrame:
 
 def op2_separator_scan(spark, sf_dir: str) -> DataFrame:
     """(ordinal, start, n_tokens, doc_id): the scan's documents, named by the order in which they were written."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = scan(spark, write_flat(docs, vocabulary("byte_bpe_50k.json")))
-    parts = 4096
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, high = low or 0, high or 0
-    ids = docs.select("doc_id", F.coalesce(F.floor((F.col("doc_id") - low) * F.lit(parts) / F.lit(high - low + 1)), F.lit(-1)).cast("int").alias("part"))
-    sizes = offsets(ids, "part", F.lit(1))
-    inside = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first())
-    named = ids.withColumn("r", F.row_number().over(inside) - 1).join(sizes, "part").select("doc_id", (F.col("r") + F.col("before")).cast("long").alias("ordinal"))
+    path = vocabulary("byte_bpe_50k.json")
+    folder, places = write_flat(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
+    found = scan(spark, folder, kind=width(path, True))
+    named = places.join(offsets(places, "file", F.lit(1)), "file").select("doc_id", (F.col("place") + F.col("before")).alias("ordinal"))
     return found.join(named, "ordinal").select("doc_id", "ordinal", "start", "n_tokens")

@@ -1,14 +1,16 @@
 """Token ids of a corpus in compressed binary files, and back.
 
-A file holds the documents of one range of doc_id in ascending order:
-magic "FSCM" and version 1; document count; for each document a flag (doc_id is null), doc_id and
+A file holds some documents of one range of doc_id in ascending order:
+magic "FSCM" and version 2; document count; for each document a flag (doc_id is null), doc_id and
 its id count; block count; for each block its id count, byte count and the CRC-32 of its ids;
 then the blocks' bytes (see coder.py). Numbers are little-endian. Every block is coded and
-checked independently of the others.
+checked independently of the others. A task starts a new file after `FILE_IDS` ids.
 
 Defined results
 - null or empty text: the end id alone. null doc_id: first in order. Repeated rows: each is
-  written. Text order among equal doc_ids is by the text itself.
+  written. Order among equal doc_ids is by xxhash64 of the text, then by the text itself.
+- very long texts: a document is in one file, in as many blocks as it needs.
+- an empty table: no files, no rows. Further columns don't matter here, whatever their names.
 - a block whose checksum differs raises ValueError with the file's name.
 """
 
@@ -27,30 +29,28 @@ from .common import cut
 from .files import offsets, read_files, write_sorted
 from .tokens import encoder, slices_of, vocabulary
 
-BLOCK, LEAST_BLOCK = 4096, 512
-#: Blocks coded in step; bounds a task's memory.
-LANES = 1024
+#: Ids in a block and, about, in a file.
+BLOCK, FILE_IDS = 1 << 20, 1 << 24
 END = 0
+#: Characters of text that are encoded at once.
+SLICE = 2_000_000
 HEAD = struct.Struct("<4sII")
 
 
 def to_bytes(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """One file of the ids of some documents, one after another."""
-    size = min(BLOCK, max(LEAST_BLOCK, len(ids) // LANES))  # a small file gets smaller blocks, so that many are coded in step
-    blocks = [ids[i : i + size] for i in range(0, len(ids), size)]
-    coded: list[bytes] = []
-    for i in range(0, len(blocks), LANES):
-        coded += encode(blocks[i : i + LANES])
+    blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
+    coded = [encode(b) for b in blocks]
     table = np.array([(len(b), len(c), zlib.crc32(b.astype("<u4").tobytes())) for b, c in zip(blocks, coded, strict=True)], "<u4").reshape(-1, 3)
     null = np.array([d is None for d in doc_ids], np.uint8)
     numbers = np.array([d or 0 for d in doc_ids], "<i8")
-    return b"".join([HEAD.pack(b"FSCM", 1, len(doc_ids)), null.tobytes(), numbers.tobytes(), lengths.astype("<u4").tobytes(), struct.pack("<I", len(blocks)), table.tobytes(), *coded])
+    return b"".join([HEAD.pack(b"FSCM", 2, len(doc_ids)), null.tobytes(), numbers.tobytes(), lengths.astype("<u4").tobytes(), struct.pack("<I", len(blocks)), table.tobytes(), *coded])
 
 
 def from_bytes(data: bytes, name: str = "") -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """What to_bytes() was given."""
     magic, version, n = HEAD.unpack_from(data)
-    if magic != b"FSCM" or version != 1:
+    if magic != b"FSCM" or version != 2:
         raise ValueError(f"not a file of this format: {name}")
     at = HEAD.size
     null = np.frombuffer(data, np.uint8, n, at)
@@ -59,10 +59,7 @@ def from_bytes(data: bytes, name: str = "") -> tuple[list[int | None], np.ndarra
     (count,) = struct.unpack_from("<I", data, at := at + 4 * n)
     table = np.frombuffer(data, "<u4", 3 * count, at := at + 4).reshape(-1, 3)
     ends = at + 12 * count + np.cumsum(table[:, 1].astype(np.int64))
-    blocks: list[np.ndarray] = []
-    for i in range(0, count, LANES):
-        some = range(i, min(count, i + LANES))
-        blocks += decode([data[ends[j] - int(table[j, 1]) : ends[j]] for j in some], [int(table[j, 0]) for j in some])
+    blocks = [decode(data[e - int(n) : e]) for e, n in zip(ends, table[:, 1], strict=True)]
     for b, (_, _, crc) in zip(blocks, table, strict=True):
         if zlib.crc32(b.astype("<u4").tobytes()) != crc:
             raise ValueError(f"a block differs from its checksum: {name}")
@@ -73,19 +70,30 @@ def from_bytes(data: bytes, name: str = "") -> tuple[list[int | None], np.ndarra
 def write(docs: DataFrame, path: str, spaced: bool = True, end: int = END) -> str:
     """Files of all documents' ids in ascending doc_id order; the folder they are in."""
 
-    def make(batches: Iterator[pa.RecordBatch]) -> bytes:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         encode_texts = encoder(path, spaced)
         doc_ids: list[int | None] = []
-        parts, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        parts, lengths, size = [], [], 0
+
+        def flush() -> bytes:
+            out = to_bytes(doc_ids, np.concatenate(lengths), np.concatenate(parts))
+            doc_ids.clear(), parts.clear(), lengths.clear()
+            return out
+
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            doc_ids += batch.column("doc_id").to_pylist()
-            for a, b in slices_of(texts, 2_000_000):
+            texts, keys = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
+            for a, b in slices_of(texts, SLICE):
                 ids, starts = encode_texts(texts[a:b], end)
+                doc_ids += keys[a:b]
                 parts.append(ids.astype(np.uint32)), lengths.append(np.diff(starts))
-        return to_bytes(doc_ids, np.concatenate(lengths), np.concatenate(parts))
-
-    return write_sorted(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", "tokens", make)
+                size += len(ids)
+                if size >= FILE_IDS:
+                    yield flush()
+                    size = 0
+        if doc_ids:
+            yield flush()
+
+    return write_sorted(docs.select(F.col("doc_id").cast("long"), "text"), "tokens", make)
 
 
 def read(spark, folder: str, with_ids: bool = False) -> DataFrame:

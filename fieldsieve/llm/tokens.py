@@ -1,9 +1,10 @@
 """Token ids of whole texts by a public tokenizer, each distinct word encoded once in a while.
 
 Both tokenizers used here cut a text at white space before anything else, so that a word's
-ids don't depend on its neighbours. A task cuts texts into such units, encodes those that it
-has not met, many in one call, and puts the ids of a text together from the units'. A text
-with white space beyond ASCII is encoded whole. The ids equal those of encoding each text.
+ids don't depend on its neighbours. A task cuts texts into such units in numpy, finds the
+distinct ones in Arrow, encodes those that it has not met, many in one call, and puts the ids of
+a text together from the units'. A text with white space beyond ASCII is encoded whole. The ids
+equal those of encoding each text.
 """
 
 from __future__ import annotations
@@ -14,12 +15,17 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
-#: A unit: a word with the space before it; all but the last of a run of white space; or its last, if it is no space.
-_SPACED = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]")
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+_SPACE, _MAYBE_ODD = np.zeros(256, bool), np.zeros(256, bool)
+_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: The bytes that a character of _ODD can begin with.
+_MAYBE_ODD[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 #: Units that a task remembers; it forgets all when they are more.
 MOST_UNITS = 800_000
+#: New units that are encoded in one call.
+CHUNK = 2000
 
 
 class _Units(dict):
@@ -27,9 +33,9 @@ class _Units(dict):
 
     def __init__(self):
         super().__init__()
-        self.new: list[str] = []
+        self.new: list[bytes] = []
 
-    def __missing__(self, unit: str) -> int:
+    def __missing__(self, unit: bytes) -> int:
         number = self[unit] = len(self)
         self.new.append(unit)
         return number
@@ -45,35 +51,102 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
+        #: Put between units it is one id of its own.
+        self.between = "\n" if spaced else " ~ "
+        self.apart = self._plain([self.between])[0]
         self._forget()
 
+    def _plain(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
     def _forget(self) -> None:
         self.units = _Units()
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
 
+    def _together(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """All ids of some units and how many each has, from one call; None where they can't be told apart."""
+        ids = np.array(self.tokenizer.encode(self.between.join(texts), add_special_tokens=False).ids, np.uint32)
+        cuts = np.flatnonzero(ids == self.apart[0]) if len(self.apart) == 1 else []
+        if len(cuts) != len(texts) - 1:
+            return None
+        return np.delete(ids, cuts), np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+
     def _learn(self) -> None:
         new, self.units.new = self.units.new, []
-        got = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        more = np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths)])
+        texts = [u.decode() for u in new]
+        mark = self.between.strip(" ")
+        joined = [i for i, t in enumerate(texts) if mark not in t and not t.isspace()]
+        alone = sorted(set(range(len(texts))) - set(joined))
+        found: list[tuple[list[int], np.ndarray, np.ndarray]] = []
+        for at in range(0, len(joined), CHUNK):
+            some = joined[at : at + CHUNK]
+            got = self._together([texts[i] for i in some])
+            if got is None:
+                alone += some
+            else:
+                found.append((some, *got))
+        if alone:
+            got = self._plain([texts[i] for i in alone])
+            lengths = np.fromiter(map(len, got), np.int64, len(got))
+            found.append((alone, np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum())), lengths))
+        counts, first = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        size = 0
+        for some, ids, lengths in found:
+            counts[some], first[some] = lengths, size + np.cumsum(lengths) - lengths
+            size += len(ids)
+        every = np.concatenate([ids for _, ids, _ in found])
+        upto = np.cumsum(counts)
+        more = every[np.arange(size) + np.repeat(first - (upto - counts), counts)]
+        self.starts = np.concatenate([self.starts, len(self.ids) + upto])
         self.ids = np.concatenate([self.ids, more])
 
+    def _cut(self, body: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Where units begin in the bytes of texts that begin at `begins` (none of them empty).
+
+        A unit is a word with the space before it; all but the last of a run of white space; or its
+        last, if it is no space. Where white space does not count, a unit is a word and what follows it.
+        """
+        space = _SPACE[body]
+        before = np.empty_like(space)
+        before[1:] = space[:-1]
+        before[begins] = True
+        if not self.spaced:
+            unit = before & ~space
+        else:
+            ends = np.zeros(len(body), bool)  # white space before a word
+            ends[:-1] = space[:-1] & ~space[1:]
+            ends[begins[1:] - 1] = False
+            unit = space & (~before | ends)
+            unit[1:] |= ~space[1:] & space[:-1] & (body[:-1] != 0x20)
+        unit[begins] = True
+        return np.flatnonzero(unit)
+
     def __call__(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and where each begins (one more at the end); end: put after each."""
         if len(self.units) > MOST_UNITS:
             self._forget()
-        lists: list[list[str]] = []
-        for text in texts:
-            if not text:
-                lists.append([])
-            elif _ODD.search(text):
-                lists.append([text])
-            else:
-                lists.append(_SPACED.findall(text) if self.spaced else text.split())
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        index = np.fromiter(map(self.units.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
+        bodies = [t.encode() if t else b"" for t in texts]
+        sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
+        data = b"".join(bodies)
+        body, begins = np.frombuffer(data, np.uint8), np.cumsum(sizes) - sizes
+        counts = np.zeros(len(texts), np.int64)
+        index = np.zeros(0, np.int64)
+        if len(body):
+            some = np.flatnonzero(sizes)
+            at = self._cut(body, begins[some])
+            maybe = np.unique(np.searchsorted(begins[some], np.flatnonzero(_MAYBE_ODD[body]), side="right") - 1)
+            whole = [i for i in some[maybe].tolist() if _ODD.search(texts[i])]
+            if whole:  # such a text is one unit
+                odd = np.zeros(len(texts), bool)
+                odd[whole] = True
+                owner = some[np.searchsorted(begins[some], at, side="right") - 1]
+                at = at[~odd[owner] | (at == begins[owner])]
+            counts[some] = np.diff(np.append(np.searchsorted(at, begins[some]), len(at)))
+            offsets = np.append(at, len(body)).astype(np.int32)
+            coded = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            index = np.fromiter(map(self.units.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         if self.units.new:
             self._learn()
         first, lengths = self.starts[index], self.starts[index + 1] - self.starts[index]
