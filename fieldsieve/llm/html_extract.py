@@ -5,12 +5,20 @@ its odds of being content; the costs of either label are capacities from the sou
 sink. Neighbours in page order, and next blocks of one container, are tied by smoothness
 capacities. The source's side of a minimum cut is the content.
 
+The classifier's weights of a block's own text (length, share of links, end of a sentence, heading)
+are fitted by logistic regression on the blocks of some `SAMPLE` pages that their elements label:
+inside article or main, or inside nav, footer, aside and the like. No labelled pages are given, so
+this is weak supervision; what such elements and names say comes on top as fixed prior odds, and
+with fewer than `LEAST_BLOCKS` labelled blocks of either kind `TEXT_WEIGHTS` stand.
+
 Defined results
 - null or empty html, or none but boilerplate: empty text. Null page_id or url: kept as it is.
 - a tag that the page's end cuts off is dropped; unclosed and stray tags are tolerated.
 - `br` counts as white space; white space is Unicode's, so no-break spaces are one as well.
 - head is no element of its own, as its end may be left out: what it may hold is skipped one by one.
 - scripts, styles, templates, form controls and comments in the markup are never text.
+- ties: a block that either side of the cut could take is boilerplate.
+- further columns don't matter here, whatever their names; an empty table: no rows.
 - very long pages: blocks and work grow with their length. Repeated rows: each its own row.
 """
 
@@ -23,6 +31,7 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -30,6 +39,8 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]
 _BROKEN = re.compile(r"<[a-zA-Z/!?][^<]*\Z", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
+#: Before a name in a token they say that it is elsewhere: "has-sidebar".
+_ELSEWHERE = frozenset("has with no without".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn del em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 #: Their insides are not text of the page.
 SKIPPED = frozenset("script style noscript template svg math title iframe object canvas audio video textarea select option datalist button".split())
@@ -43,9 +54,18 @@ CONTAINERS = frozenset("article main section div nav header footer aside form ul
 MAIN_TAGS, SIDE_TAGS = frozenset(["article", "main"]), frozenset("nav footer aside form menu dialog fieldset".split())
 MAIN_NAMES = frozenset("article main content post entry story body text".split())
 SIDE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget cookie cookies consent gdpr notice notification alert popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login search form comment comments discussion replies disqus pagination pager toolbar copyright legal disclaimer skip".split())
+#: Not beside the content when they stand in it.
+OWN_HEADER = frozenset(["header", "masthead"])
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
-#: The classifier: weights of the block's log-odds of being content.
-BIAS, IN_MAIN, IN_SIDE, PAGE_HEADER, LENGTH, LINKS, SENTENCE, HEADING = -1.5, 3.0, -8.0, -4.0, 0.8, -4.0, 1.0, 0.5
+#: The classifier: prior odds of elements and names, and the weights of text where none can be fitted.
+IN_MAIN, IN_SIDE, PAGE_HEADER = 3.0, -8.0, -4.0
+TEXT_WEIGHTS = (-1.5, 0.8, -4.0, 1.0, 0.5)
+#: Inside the content links count for less: an article has lists of links of its own.
+LINKS_IN_MAIN = 0.4
+#: Fitted weights are used within these bounds, so that the prior odds keep their say.
+BOUNDS = ((-3.0, 0.0), (0.3, 1.5), (-6.0, -2.0), (0.2, 2.0), (0.0, 2.0))
+#: Pages that the weights are fitted on (about; taken by a hash), and the fewest blocks of either kind.
+SAMPLE, LEAST_BLOCKS = 2000, 200
 MOST_ODDS = 8.0
 #: Smoothness: neighbours in one container, neighbours apart, and next blocks of one container.
 NEAR, APART, SIBLING = 0.6, 0.15, 0.3
@@ -62,14 +82,32 @@ class Block:
     linked: int = 0
     text: str = ""
 
-    def odds(self) -> float:
-        words = self.text.count(" ") + 1
-        z = BIAS + LENGTH * math.log1p(words) + LINKS * min(1.0, self.linked / max(1, len(self.text)))
-        z += IN_MAIN * self.main + IN_SIDE * self.side + SENTENCE * (self.text[-1] in ".!?…:;\"'»”") + HEADING * self.heading
-        z += PAGE_HEADER * (self.header and not self.main)
+    def features(self) -> tuple[float, float, float, float, float]:
+        """What the text itself says: a constant, words, share of links, end of a sentence, heading."""
+        return 1.0, math.log1p(self.text.count(" ") + 1), min(1.0, self.linked / max(1, len(self.text))), float(self.text[-1] in ".!?…:;\"'»”"), float(self.heading)
+
+    def odds(self, weights: tuple[float, ...] = TEXT_WEIGHTS) -> float:
+        x = self.features()
+        z = sum(w * v for w, v in zip(weights, x, strict=True))
+        if self.main:
+            z -= (1 - LINKS_IN_MAIN) * weights[2] * x[2]
+        z += IN_MAIN * self.main + IN_SIDE * self.side + PAGE_HEADER * (self.header and not self.main)
         return max(-MOST_ODDS, min(MOST_ODDS, z))
 
 
+def _named(tokens: list[str], within: bool) -> tuple[bool, bool]:
+    """Whether an element's names say that it is content, or beside it; within: it stands in content."""
+    main = side = plain = False
+    for token in tokens:
+        words = _WORD.findall(token)
+        beside = {w for before, w in zip(["", *words], words) if w in SIDE_NAMES and before not in _ELSEWHERE}
+        beside -= OWN_HEADER if within else set()
+        side = side or bool(beside)
+        plain = plain or bool(beside) and len(words) == 1  # "sidebar", not "cookies-recipe"
+        main = main or not beside and not MAIN_NAMES.isdisjoint(words) and _ELSEWHERE.isdisjoint(words)
+    return main and not plain, plain or (side and not main)
+
+
 def blocks_of(page: str) -> list[Block]:
     """The blocks with text, in page order."""
     out: list[Block] = []
@@ -146,15 +184,17 @@ def blocks_of(page: str) -> list[Block]:
                     del stack[i:]
                     break
             continue
-        names = {w for x in _NAMES.findall(m[3]) for w in _WORD.findall("".join(x).lower())} if m[3] else ()
         _, container, main, side, header = stack[-1]
-        own_side = name in SIDE_TAGS or not SIDE_NAMES.isdisjoint(names)
-        own_main = name in MAIN_TAGS or not MAIN_NAMES.isdisjoint(names)
+        own_main, own_side = _named([t for x in _NAMES.findall(m[3]) for t in "".join(x).lower().split()], main) if m[3] else (False, False)
+        if name in MAIN_TAGS:  # whatever its names are
+            own_main, own_side = True, False
+        elif name in SIDE_TAGS:
+            own_main, own_side = False, True
         if name in CONTAINERS:
             number, container = number + 1, number + 1
         elif not (own_side or own_main):
             continue
-        stack.append((name, container, main or (own_main and not own_side), side or own_side, header or name == "header"))
+        stack.append((name, container, main or (own_main and not own_side), side or own_side, header or (name == "header" and not main)))
     rest = page[at:]
     text(rest[: m.start()] if (m := _BROKEN.search(rest)) else rest)
     close()
@@ -202,7 +242,7 @@ def cut_labels(odds: list[float], edges: list[tuple[int, int, float]]) -> list[b
     return inside
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, weights: tuple[float, ...] = TEXT_WEIGHTS) -> str:
     """The content blocks of a page, joined by line feeds."""
     blocks = blocks_of(page) if page else []
     last: dict[int, int] = {}
@@ -213,16 +253,56 @@ def main_text(page: str | None) -> str:
         if b.container in last and last[b.container] < i - 1:
             edges.append((last[b.container], i, SIBLING))
         last[b.container] = i
-    labels = cut_labels([b.odds() for b in blocks], edges)
+    labels = cut_labels([b.odds(weights) for b in blocks], edges)
     return "\n".join(b.text for b, content in zip(blocks, labels, strict=True) if content)
 
 
-def extracted(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars), a row for each of pages."""
+def fitted(cells: list[tuple[float, ...]]) -> tuple[float, ...]:
+    """Weights by logistic regression over counted cells (words, links, sentence, heading, label, blocks), by Newton's steps."""
+    data = np.array(cells, float).reshape(-1, 6)
+    label, count = data[:, 4], data[:, 5]
+    if min(count[label > 0].sum(), count[label == 0].sum()) < LEAST_BLOCKS:
+        return TEXT_WEIGHTS
+    x = np.concatenate([np.ones((len(data), 1)), data[:, :4]], axis=1)
+    w, prior = np.array(TEXT_WEIGHTS), np.array(TEXT_WEIGHTS)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (count * (label - p)) - (w - prior)
+        step = np.linalg.solve(x.T @ (x * (count * p * (1 - p))[:, None]) + np.eye(5), slope)
+        w = w + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return tuple(float(np.clip(v, lo, hi)) for v, (lo, hi) in zip(w, BOUNDS, strict=True))
+
+
+def weights_of(pages: DataFrame, sample: int = SAMPLE) -> tuple[float, ...]:
+    """The classifier's weights for these pages."""
+    share = 1_000_000 * sample // max(1, sample, pages.count())
+    some = pages.select("html", F.xxhash64("page_id", "url").alias("h")).where(F.col("html").isNotNull() & (F.pmod("h", F.lit(1_000_000)) < share))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for page in batch.column("html"):
+                for b in blocks_of(page.as_py()):
+                    if b.side or b.main or b.header:
+                        _, words, links, sentence, heading = b.features()
+                        rows.append((round(words, 1), round(links, 1), sentence, heading, float(b.main and not b.side)))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in columns], ["words", "links", "sentence", "heading", "label"])
+
+    kind = "words double, links double, sentence double, heading double, label double"
+    cells = some.select("html").mapInArrow(run, kind).groupBy("words", "links", "sentence", "heading", "label").agg(F.count("*").alias("n"))
+    return fitted([tuple(r) for r in cells.orderBy(*cells.columns).collect()])  # as many cells as there are steps, whatever the pages
+
+
+def extracted(pages: DataFrame, weights: tuple[float, ...] | None = None) -> DataFrame:
+    """(page_id, url, text, n_chars), a row for each of pages; weights: those of the classifier, fitted on pages if not given."""
+    weights = weights_of(pages) if weights is None else weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x.as_py()) for x in batch.column("html")]
+            texts = [main_text(x.as_py(), weights) for x in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

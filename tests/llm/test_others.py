@@ -47,6 +47,38 @@ def test_shards(spark, odd, empty):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_propagation_cuts_fewer_edges_each_round(spark, seed):
+    """Against the least cut that quotas allow, over all ways to deal out the groups' members."""
+    import itertools
+
+    rng = random.Random(seed)
+    sizes = [rng.randint(2, 6) for _ in range(6)]
+    total = sum(sizes) + 6  # and six rows without links
+    quota = B._quotas(total, 2)
+    cells = []
+    for g, n in enumerate(sizes):
+        m = n // 2 + g % 2 * (n % 2)
+        cells += [(f"g{g}", s, k) for s, k in ((0, m), (1, n - m)) if k]
+    trace = []
+    out = B.propagated(spark.createDataFrame(cells, "group string, shard int, m long"), quota, trace)
+    rows = [tuple(r) for r in out.collect()]
+    assert {g: sum(m for x, _, m in rows if x == g) for g, _, _ in rows} == {f"g{g}": n for g, n in enumerate(sizes)}
+    assert all(sum(m for _, s, m in rows if s == t) <= quota[t] for t in range(2))
+    assert all(b <= a for a, b in zip(trace, trace[1:])) and trace[-1] == B.cut_edges(out)
+    ways = itertools.product(*[range(n + 1) for n in sizes])
+    best = min(sum(k * (n - k) for k, n in zip(w, sizes, strict=True)) for w in ways if sum(w) <= quota[0] and sum(sizes) - sum(w) <= quota[1])
+    assert trace[0] > 0 and trace[-1] <= best + max(0.35 * trace[0], 6)
+
+
+def test_hashed_start_leaves_the_work_to_propagation(spark):
+    cells = [(f"g{g}", s, m) for g in range(200) for s, m in collections.Counter(random.Random(g).choices(range(8), k=2 + g % 9)).items()]
+    total = sum(m for *_, m in cells)
+    trace = []
+    B.propagated(spark.createDataFrame(cells, "group string, shard int, m long"), B._quotas(total + 200, 8), trace)
+    assert trace[0] > 4 * max(1, trace[-1]) and len(trace) > 3 and all(b <= a for a, b in zip(trace, trace[1:]))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>if (a<b) "</p>"</script></head><body>
 <header><a href="/">Site</a> Slogan of the site.</header><nav class='menu'><ul><li><a href="/a>b">Home</a><li><a>News</a></ul></nav>
 <div class="cookie-notice">We use cookies on this site. Accept them all, please, now.</div><!-- <p>hidden words</p> -->
@@ -93,6 +125,48 @@ def test_names_of_all_blocks(inner):
 
 
 
+TEXT = "The first sentence of the article has a number of words. And the second one has about as many."
+
+
+@pytest.mark.parametrize(
+    ("page", "lines"),
+    [
+        (f"<main class='content has-sidebar'><p>{TEXT}</p></main>", [TEXT]),
+        (f"<article id='search-engines-explained'><p>{TEXT}</p></article>", [TEXT]),
+        (f"<div class='article' id='cookies-recipe'><p>{TEXT}</p></div>", [TEXT]),
+        (f"<article><header class='entry-header'><h1>A heading</h1></header><p>{TEXT}</p></article>", ["A heading", TEXT]),
+        (f"<article><div class='post-header'><h2>A heading</h2></div><p>{TEXT}</p></article>", ["A heading", TEXT]),
+        (f"<article><p>{TEXT}</p><ul><li><a href=x>The linked item</a></li><li><a href=y>Another one</a></li></ul><p>{TEXT}</p></article>", [TEXT, "The linked item", "Another one", TEXT]),
+        (f"<html><head><title>T</title><meta charset=utf-8><body><article><p>{TEXT}</p></article>", [TEXT]),
+        (f"<header><h1>Site</h1></header><div class='sidebar content'><a>x</a></div><article><p>{TEXT}</p><div class='comments-body'><p>I like it a lot, thank you very much.</p></div></article>", [TEXT]),
+        ("<article>" + "<div>" * 3000 + f"<p>{TEXT}</p>" + "</div>" * 3000 + "</article>", [TEXT]),
+    ],
+)
+def test_names_are_a_weak_sign(page, lines):
+    assert H.main_text(page).split("\n") == lines
+
+
+def test_weights_are_fitted():
+    rng = random.Random(2)
+    cells = []
+    for _ in range(4000):
+        label = rng.random() < 0.5
+        cells.append((round(rng.uniform(2, 4.5) if label else rng.uniform(0.6, 2.5), 1), 0.0 if label else rng.choice([0.0, 1.0]), float(label or rng.random() < 0.3), 0.0, float(label), 1))
+    w = H.fitted(cells)
+    assert w != H.TEXT_WEIGHTS and all(lo <= v <= hi for v, (lo, hi) in zip(w, H.BOUNDS, strict=True))
+    right = sum((sum(a * b for a, b in zip(w, (1, *c[:4]), strict=True)) > 0) == bool(c[4]) for c in cells)
+    assert right > 0.85 * len(cells)
+    assert H.fitted([]) == H.fitted(cells[:20]) == H.TEXT_WEIGHTS
+
+
+def test_pages_of_the_table(spark, sf):
+    """Fitted weights and those that stand without a fit agree on every page; nothing is empty."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    rows = H.op8_html_extract(spark, sf).collect()
+    plain = {r["page_id"]: H.main_text(r["html"]) for r in pages.collect()}
+    assert len(rows) == len(plain) and all(r["text"] and r["text"] == plain[r["page_id"]] for r in rows)
+
+
 @pytest.mark.parametrize("seed", range(25))
 def test_minimum_cut(seed):
     rng = random.Random(seed)
