@@ -91,7 +91,15 @@ SEAGRASS = {
     "Tin Mass g (Epibionts)": "tin_mass_g_epibionts",
     "Tin Mass g (Blades)": "tin_mass_g_blades",
 }
+OYSTER_DEPLOYMENT = {
+    "Water Present Y N": "water_present",
+    "Logger Deployed Y N": "logger_deployed",
+    "Spat Stick PVC or biobox": "spat_stick",
+    "Sampling Personnel": "personnel",
+    "Site Notes (including recent perturbations and weather conditions)": "notes",
+}
 SPECS: dict[str, Spec] = {
+    "oyster-deployment": Spec(rename=OYSTER_DEPLOYMENT),
     "seagrass": Spec(drop=("ID",), rename=SEAGRASS),
     "reef-survey": Spec(required=("Total", "Method", "Site No.", "P-Qs", "Block", "Species"), header_column="Method", trim_column="Total", strict_rename={"Site No.": "site_code", "P-Qs": "photoquadrats"}, numbers=("Method", "Block"), taxonomy="Species"),
     "reef-survey-plain": Spec(required=("Total", "Method", "Site No.", "P-Qs"), header_column="Method", trim_column="Total", strict_rename={"Site No.": "site_code", "P-Qs": "photoquadrats"}),
@@ -99,9 +107,46 @@ SPECS: dict[str, Spec] = {
 }
 
 
+#: The tables that can be loaded, and the family of each.
+FAMILIES = {
+    "seagrass-biomass-monitoring-v1": "seagrass",
+    "seagrass-cover-monitoring-v1": "seagrass",
+    "seagrass-macroinvertebrates-monitoring-v1": "seagrass",
+    "shoot-count-monitoring-v1": "seagrass",
+    "seagrass-metadata-monitoring-v1": "seagrass",
+    "seagrass-macrophyte-monitoring-v1": "seagrass",
+    "seagrass-epifauna-monitoring-v1": "seagrass",
+    "seagrass-macroalgae-monitoring-v1": "seagrass",
+    "seagrass-blades-monitoring-v1": "seagrass",
+    "sheath-and-epibiont-monitoring-v1": "seagrass",
+    "oyster-2025-reef-metadata-deployment": "oyster-deployment",
+    "oyster-2025-rugosity": "plain",
+}
+#: Of the reef survey's id only the beginning counts.
+REEF_TABLE = "reef-life-survey-data-"
+
+
+def family_of(table: str) -> str:
+    if table.startswith(REEF_TABLE):
+        return "reef-survey"
+    if table not in FAMILIES:
+        raise ValueError(f"no such table: {table}; known are {REEF_TABLE}..., {', '.join(FAMILIES)}")
+    return FAMILIES[table]
+
+
+def load(df: DataFrame, table: str, filename: str, ids: DataFrame | None = None, classes: DataFrame | None = None) -> DataFrame:
+    """A typed sheet with a row number as the table of this id. Runs a job to warn if nothing is left."""
+    out = ingest(df, SPECS[family_of(table)], filename, ids=ids, classes=classes)
+    if out.isEmpty():
+        warnings.warn(f"{os.path.basename(filename)} has no rows for {table}", stacklevel=2)
+    return out
+
+
 def ingest(df: DataFrame, spec: Spec, filename: str, rowid: str = "rowid", ids: DataFrame | None = None, classes: DataFrame | None = None) -> DataFrame:
     """A typed sheet with a row number as a table with canonical names and the column input_filename."""
     require_columns(df, [*spec.required, rowid])
+    if spec.taxonomy and (ids is None or classes is None):
+        raise ValueError("this table needs the taxonomy: ids and classes")
     if any(c in df.columns for c in spec.drop):
         values = [qcol(c) for c in df.columns if c not in (*spec.drop, rowid)]
         df = df.drop(*spec.drop).where(~_all_null(values))
@@ -111,7 +156,7 @@ def ingest(df: DataFrame, spec: Spec, filename: str, rowid: str = "rowid", ids:
         df = trim_trailing_zeros(df, spec.trim_column, rowid)
     df = rename_strict(rename_lenient(df, spec.rename), spec.strict_rename)
     df = df.withColumns({c: to_number(qcol(c).cast("string")) for c in spec.numbers})
-    if spec.taxonomy and ids is not None and classes is not None:
+    if spec.taxonomy:
         df = join_taxonomy(df, ids, classes, spec.taxonomy, ["phylum"])
         df = move_after(df, "taxonomic_id", spec.taxonomy)
     return canonical_names(df.withColumn("input_filename", F.lit(os.path.basename(filename))))

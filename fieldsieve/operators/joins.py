@@ -35,10 +35,15 @@ def natural_left_join(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, common, "left")
 
 
-def taxonomy_lookup(names: DataFrame, ids: DataFrame, classes: DataFrame, levels: list[str] | None = None) -> DataFrame:
-    """Rows (scientific_name, taxonomic_id, level columns) for the names that are known. levels: only those, where there are such columns."""
-    require_columns(names, ["scientific_name"])
-    known = semi_on(ids, names, "scientific_name").join(classes, "taxonomic_id", "left")
+def taxonomy_lookup(names: DataFrame | None, ids: DataFrame, classes: DataFrame, levels: list[str] | None = None) -> DataFrame:
+    """Rows (scientific_name, taxonomic_id, level columns) for the names that are known; all of them, if names is None.
+
+    levels: only those, where there are such columns.
+    """
+    if names is not None:
+        require_columns(names, ["scientific_name"])
+        ids = semi_on(ids, names, "scientific_name")
+    known = ids.join(classes, "taxonomic_id", "left")
     if levels is None:
         return known
     unknown = [x for x in levels if x not in classes.columns]
@@ -53,10 +58,9 @@ def unmatched(names: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def join_taxonomy(df: DataFrame, ids: DataFrame, classes: DataFrame, name: str = "scientific_name", levels: list[str] | None = None) -> DataFrame:
-    """df with the taxonomy of its names. A name that the lookup has twice multiplies rows."""
+    """df with the taxonomy of its names, df being read once. A name that the lookup has twice multiplies rows."""
     require_columns(df, [name])
-    names = df.select(qcol(name).alias("scientific_name")).distinct()
-    return left_join_suffixed(df, taxonomy_lookup(names, ids, classes, levels), name, "scientific_name")
+    return left_join_suffixed(df, taxonomy_lookup(None, ids, classes, levels), name, "scientific_name")
 
 
 def resolve_names(names: DataFrame, resolver: DataFrame, legacy: bool = False) -> DataFrame:

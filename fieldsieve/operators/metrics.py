@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fieldsieve.functions.nulls import count_distinct_na, qcol, sum_na
+from fieldsieve.functions.nulls import count_distinct_na, qcol, row_sum, sum_na
 
 
 def column_range(df: DataFrame, first: str, last: str) -> list[str]:
@@ -19,9 +19,8 @@ def longer(df: DataFrame, ids: list[str], values: list[str], name: str = "name",
 
 
 def abundance_richness(df: DataFrame, keys: list[str], counts: list[str], taxon: str) -> DataFrame:
-    """For the keys: the sum of all count columns, and how many taxa there are, a missing one included."""
-    tall = longer(df, [*keys, taxon], counts)
-    return tall.groupBy(*[qcol(k) for k in keys]).agg(sum_na(F.col("value")).alias("abundance"), count_distinct_na(qcol(taxon)).alias("richness"))
+    """For the keys: the sum of all count columns, and how many taxa there are, a missing one included. Each row is read once."""
+    return df.groupBy(*[qcol(k) for k in keys]).agg(sum_na(row_sum(df, counts)).alias("abundance"), count_distinct_na(qcol(taxon)).alias("richness"))
 
 
 def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -95,11 +95,28 @@ def first_flag(found: DataFrame) -> DataFrame:
     return found.groupBy("row_num").agg(F.min("test_id").alias("test_id"))
 
 
+def least_flag(df: DataFrame, rules: list[Rule]) -> Column:
+    """The least id of the rules that hold for a row, null if none does: an expression, so nothing is shuffled or joined."""
+    hits = [F.when(r.on(df), F.lit(r.id)) for r in sorted(rules, key=lambda r: r.id)]
+    return F.coalesce(*hits) if hits else F.lit(None).cast("int")
+
+
+def flag_priority(df: DataFrame, rules: list[Rule], rowid: str = "rowid") -> DataFrame:
+    """(row_num, test_id): first_flag(flags(df, rules)) straight from the rows."""
+    return df.select(qcol(rowid).cast("long").alias("row_num"), least_flag(df, rules).alias("test_id")).where("test_id is not null")
+
+
+def flagged(df: DataFrame, rules: list[Rule], flagged_only: bool = False) -> DataFrame:
+    """df with the test_id of its row; null where there is none. What with_flags() gives for flags of df itself."""
+    out = df.withColumn("test_id", least_flag(df, rules))
+    return out.where("test_id is not null") if flagged_only else out
+
+
 def one_rule(found: DataFrame, name: str) -> DataFrame:
     return found.where(F.col("test_name") == name)
 
 
 def with_flags(df: DataFrame, one_a_row: DataFrame, rowid: str = "rowid", flagged_only: bool = False) -> DataFrame:
-    """df with the test_id of its row; null where there is none."""
+    """df with the test_id of its row from a table of flags made elsewhere; null where there is none."""
     out = df.join(one_a_row.withColumnRenamed("row_num", rowid), rowid, "left")
     return out.where(F.col("test_id").isNotNull()) if flagged_only else out

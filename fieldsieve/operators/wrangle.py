@@ -8,10 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from fieldsieve.functions.nulls import qcol
+from fieldsieve.operators.events import event_id
+from fieldsieve.operators.joins import fill_metadata
 
 Cells = list[tuple[int, str]]
 #: Named transforms, each a function of one table; text is never evaluated.
 TRANSFORMS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+#: Branches of one generated expression.
+MOST_BRANCHES = 1000
 
 
 def transform(name: str):
@@ -31,6 +35,18 @@ def apply(df: DataFrame, *names: str) -> DataFrame:
     return reduce(lambda out, n: out.transform(TRANSFORMS[n]), names, df)
 
 
+@transform("event_id")
+def with_event_id(df: DataFrame) -> DataFrame:
+    """Adds sample_event_id, made of site, date and depth."""
+    return df.withColumn("sample_event_id", event_id(F.col("site_code"), F.col("date"), F.col("depth")))
+
+
+@transform("fill_metadata")
+def with_filled_metadata(df: DataFrame) -> DataFrame:
+    """Missing metadata from other rows of the same event."""
+    return fill_metadata(df, df)
+
+
 def _literal(value) -> str:
     return str(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else "'" + str("NA" if value is None else value).replace("'", "''") + "'"
 
@@ -58,10 +74,15 @@ def cells_filter(rows: dict[int, Row], cells: Cells) -> tuple[Column, str]:
     return reduce(lambda a, b: a & b, [p[0] for p in parts]), " AND ".join(p[1] for p in parts)
 
 
-def cells_case_when(rows: dict[int, Row], cells: Cells, replacement: dict) -> tuple[Column, str]:
-    """The first selected column with a branch for each of its selected values, under the tests of the other columns."""
+def cells_case_when(rows: dict[int, Row], cells: Cells, replacement: dict, every: DataFrame | None = None) -> tuple[Column, str]:
+    """The first selected column with a branch for each of its selected values, under the tests of the other columns.
+
+    every: a table; there is a branch for each value that the first column has in it.
+    """
     values = _values(rows, cells)
     first, *others = values
+    if every is not None:
+        values[first] = [r[0] for r in combinations(every, first, [])]
     tests = [_one(c, values[c]) for c in others]
     out, texts = None, []
     for v in values[first]:
@@ -74,6 +95,26 @@ def cells_case_when(rows: dict[int, Row], cells: Cells, replacement: dict) -> tu
     return out.otherwise(qcol(first)), f"CASE {' '.join(texts)} ELSE `{first}` END"
 
 
+def combinations(df: DataFrame, x: str, ys: list[str], values: list | None = None) -> list[tuple]:
+    """The distinct (x, ys...) of df, sorted, nulls first; values: only where x is one of them.
+
+    Each becomes a branch of an expression, so more than MOST_BRANCHES raise an error rather than being cut off.
+    """
+    columns = [x, *ys]
+    if values is not None:
+        df = df.where(reduce(lambda a, b: a | b, [qcol(x).eqNullSafe(F.lit(v)) for v in values], F.lit(False)))
+    found = df.select(*[qcol(c) for c in columns]).distinct().limit(MOST_BRANCHES + 1).collect()
+    if len(found) > MOST_BRANCHES:
+        raise ValueError(f"more than {MOST_BRANCHES} combinations of {', '.join(columns)}")
+    return sorted(map(tuple, found), key=lambda r: [(v is not None, str(v)) for v in r])
+
+
+def x_for_values(df: DataFrame, x: str, ys: list[str], replacement: dict) -> tuple[Column, str]:
+    """Column x with a branch for each combination with ys that df has for the values that replacement (old: new) names."""
+    found = combinations(df, x, ys, list(replacement))
+    return x_for_all_y(df, x, ys, {key: replacement[key[0]] for key in found})
+
+
 def x_for_all_y(df: DataFrame, x: str, ys: list[str], replacement: dict[tuple, object]) -> tuple[Column, str]:
     """Column x with a branch for each distinct (x, ys...) of df that replacement names; nulls are tested as nulls.
 

@@ -54,7 +54,7 @@ def qc_flag_table(spark, d):
 
 @query(survey_sql(f"SELECT row_num, min(test_id) AS test_id FROM ({FLAGS}) GROUP BY row_num"))
 def qc_flag_priority(spark, d):
-    return Q.first_flag(Q.flags(survey(spark, d), RULES))
+    return Q.flag_priority(survey(spark, d), RULES)
 
 
 @query(survey_sql(f"SELECT * FROM ({FLAGS}) WHERE test_name = 'total_zero'"))
@@ -65,13 +65,12 @@ def qc_flag_one_rule(spark, d):
 @query(survey_sql(f"SELECT s.rowid, s.site_code, s.total, f.test_id FROM survey s JOIN (SELECT row_num, min(test_id) AS test_id FROM ({FLAGS}) GROUP BY row_num) f ON f.row_num = s.rowid"))
 def qc_flagged_rows(spark, d):
     rows = survey(spark, d)
-    return Q.with_flags(rows.select("rowid", "site_code", "total"), Q.first_flag(Q.flags(rows, RULES)), flagged_only=True)
+    return Q.flagged(rows, RULES, flagged_only=True).select("rowid", "site_code", "total", "test_id")
 
 
 @query(survey_sql(f"SELECT s.rowid, s.phylum, f.test_id FROM survey s LEFT JOIN (SELECT row_num, min(test_id) AS test_id FROM ({FLAGS}) GROUP BY row_num) f ON f.row_num = s.rowid"))
 def qc_rows_with_flags(spark, d):
-    rows = survey(spark, d)
-    return Q.with_flags(rows.select("rowid", "phylum"), Q.first_flag(Q.flags(rows, RULES)))
+    return Q.flagged(survey(spark, d), RULES).select("rowid", "phylum", "test_id")
 
 
 # joins
@@ -146,13 +145,13 @@ def name_suffix_strip_legacy(spark, d):
 
 @query("""WITH e AS (SELECT event_id, user_id, CASE WHEN event_id % 4 = 0 THEN 'BLANK' WHEN event_id % 4 = 1 THEN NULL ELSE event_type END AS vis, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(event_id % 5 AS VARCHAR) END AS direction FROM events),
 c AS (SELECT event_id, user_id, nullif(vis, 'BLANK') AS vis, nullif(direction, 'BLANK') AS direction FROM e),
-p AS (SELECT user_id, vis, direction, row_number() OVER (PARTITION BY user_id ORDER BY vis IS NULL, vis, direction IS NULL, direction) AS k FROM (SELECT DISTINCT user_id, vis, direction FROM c WHERE event_id % 2 = 0))
+p AS (SELECT user_id, vis, direction, row_number() OVER (PARTITION BY user_id ORDER BY vis IS NULL, vis, direction IS NULL, direction) AS k FROM (SELECT DISTINCT user_id, vis, direction FROM c))
 SELECT c.event_id, c.user_id, coalesce(c.vis, p.vis) AS vis, coalesce(c.direction, p.direction) AS direction FROM c LEFT JOIN p ON p.user_id = c.user_id AND p.k = 1""")
 def patch_nulls(spark, d):
     e = read(spark, d, "events")
     vis = F.when(F.col("event_id") % 4 == 0, "BLANK").when(F.col("event_id") % 4 == 1, None).otherwise(F.col("event_type"))
     e = e.select("event_id", "user_id", vis.alias("vis"), F.when(F.col("event_id") % 3 != 0, (F.col("event_id") % 5).cast("string")).alias("direction"))
-    return J.fill_metadata(e, e.where("event_id % 2 = 0"), "user_id", ["vis", "direction"])
+    return J.fill_metadata(e, e, "user_id", ["vis", "direction"])
 
 
 @query("SELECT o_orderkey, nullif(CASE WHEN o_orderkey % 3 = 0 THEN 'BLANK' ELSE o_orderstatus END, 'BLANK') AS status, o_totalprice FROM orders")
@@ -173,9 +172,9 @@ def event_summary(spark, d):
     return E.event_summary(survey(spark, d, False))
 
 
-@query("""SELECT e.o_custkey, e.o_orderstatus, r.c_mktsegment FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders) e LEFT JOIN (SELECT c_custkey AS o_custkey, 'F' AS o_orderstatus, c_mktsegment FROM customer WHERE c_custkey % 2 = 0) r ON e.o_custkey = r.o_custkey AND e.o_orderstatus = r.o_orderstatus""")
+@query("""SELECT e.o_custkey, e.o_orderstatus, r.c_mktsegment FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders) e LEFT JOIN (SELECT c_custkey AS o_custkey, 'F' AS o_orderstatus, c_mktsegment FROM customer) r ON e.o_custkey = r.o_custkey AND e.o_orderstatus = r.o_orderstatus""")
 def event_roster_join(spark, d):
-    roster = read(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"), F.lit("F").alias("o_orderstatus"), "c_mktsegment")
+    roster = read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.lit("F").alias("o_orderstatus"), "c_mktsegment")
     return E.roster_check(read(spark, d, "orders"), roster, ["o_custkey", "o_orderstatus"])
 
 
@@ -204,10 +203,10 @@ def roster_string_agg(spark, d):
     return E.joined_text(rows, ["n_name"], "c_name", ["c_custkey"])
 
 
-@query("WITH e AS (SELECT s_name AS diver, s_nationkey AS site, NULL::VARCHAR AS note FROM supplier UNION ALL SELECT c_name, c_nationkey, c_mktsegment FROM customer WHERE c_custkey < 40) SELECT site, string_agg(diver, ', ' ORDER BY diver) AS diver FROM (SELECT DISTINCT diver, site FROM e) GROUP BY site")
+@query("WITH e AS (SELECT s_name AS diver, s_nationkey AS site, NULL::VARCHAR AS note FROM supplier UNION ALL SELECT c_name, c_nationkey, c_mktsegment FROM customer) SELECT site, string_agg(diver, ', ' ORDER BY diver) AS diver FROM (SELECT DISTINCT diver, site FROM e) GROUP BY site")
 def roster_of_divers(spark, d):
     a = read(spark, d, "supplier").select(F.col("s_name").alias("diver"), F.col("s_nationkey").alias("site"))
-    b = read(spark, d, "customer").where("c_custkey < 40").select(F.col("c_nationkey").alias("site"), F.col("c_name").alias("diver"), F.col("c_mktsegment").alias("note"))
+    b = read(spark, d, "customer").select(F.col("c_nationkey").alias("site"), F.col("c_name").alias("diver"), F.col("c_mktsegment").alias("note"))
     return E.diver_roster([a, b], "site", "diver", ["diver"], [])
 
 
@@ -357,10 +356,10 @@ def drop_empty_rows(spark, d):
     return I.drop_empty_rows(read(spark, d, "events").select(F.when(F.col("event_id") % 6 != 0, F.col("event_id")).alias("event_id"), F.when(F.col("event_id") % 4 != 0, F.col("event_type")).alias("kind")))
 
 
-@query("SELECT DISTINCT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey < 4)")
+@query("SELECT DISTINCT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey IN (SELECT n_regionkey FROM nation WHERE n_name LIKE '%A')")
 def catalog_resolve(spark, d):
     nation, region = read(spark, d, "nation"), read(spark, d, "region")
-    wanted = J.semi_on(region, nation.where("n_nationkey < 4"), "r_regionkey", "n_regionkey")
+    wanted = J.semi_on(region, nation.where("n_name LIKE '%A'"), "r_regionkey", "n_regionkey")
     return nation.join(wanted, F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name").distinct()
 
 
@@ -392,6 +391,50 @@ def gen_x_for_all_y(spark, d):
     return o.select("o_orderkey", W.x_for_all_y(o, "s", ["p"], {(None, "5-LOW"): "none", ("P", "5-LOW"): "low"})[0].alias("s"))
 
 
+@query("WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS s, o_orderpriority AS p FROM orders) SELECT o_orderkey, CASE WHEN s IS NULL THEN 'none' WHEN s = 'P' THEN 'partial' ELSE s END AS s FROM o")
+def gen_x_for_all_combinations(spark, d):
+    o = read(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderstatus")).alias("s"), F.col("o_orderpriority").alias("p"))
+    return o.select("o_orderkey", W.x_for_values(o, "s", ["p"], {None: "none", "P": "partial"})[0].alias("s"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority = '3-MEDIUM' AND o_orderstatus = 'F' THEN 'final' WHEN o_orderpriority = '3-MEDIUM' THEN '' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def gen_case_when_every_value(spark, d):
+    o = read(spark, d, "orders")
+    return o.select("o_orderkey", W.cells_case_when(_selected(), [(1, "o_orderstatus"), (1, "o_orderpriority")], {"F": "final"}, every=o)[0].alias("o_orderstatus"))
+
+
+@query("SELECT o_orderkey AS rowid, o_orderstatus AS water_present, o_orderpriority AS personnel, CAST(o_totalprice AS VARCHAR) IS NULL AS site_name, 'deployment.xlsx' AS input_filename FROM orders")
+def ingest_oyster(spark, d):
+    sheet = read(spark, d, "orders").select(F.col("o_orderkey").alias("rowid"), F.col("o_orderstatus").alias("Water Present Y N"), F.col("o_orderpriority").alias("Sampling Personnel"), F.col("o_totalprice").isNull().alias("Site Name"))
+    return I.load(sheet, "oyster-2025-reef-metadata-deployment", "/data/deployment.xlsx")
+
+
+@query("SELECT p_partkey AS rowid, CASE WHEN p_size % 4 <> 0 THEN p_name END AS transect, CASE WHEN p_size % 8 <> 0 THEN p_size END AS shoot_count, 'seagrass.xlsx' AS input_filename FROM part WHERE p_size % 8 <> 0")
+def ingest_seagrass(spark, d):
+    size = F.col("p_size")
+    sheet = read(spark, d, "part").select(F.col("p_partkey").alias("rowid"), F.col("p_brand").alias("ID"), F.when(size % 4 != 0, F.col("p_name")).alias("Transect ID"), F.when(size % 8 != 0, size).alias("Shoots Count"))
+    return I.load(sheet, "shoot-count-monitoring-v1", "seagrass.xlsx")
+
+
+@query(f"""WITH {IDS}, s AS (SELECT o_orderkey AS rowid, CASE WHEN o_custkey % 5 = 0 THEN 0 ELSE o_totalprice END AS total, CASE WHEN o_custkey % 50 = 1 THEN '0, 1, 2' WHEN o_custkey % 49 <> 0 THEN CAST(o_custkey % 3 AS VARCHAR) END AS method, concat('S', CAST(o_custkey % 9 AS VARCHAR)) AS site_code, o_orderstatus AS photoquadrats, CASE WHEN o_custkey % 7 = 0 THEN 'x' ELSE CAST(o_custkey % 3 AS VARCHAR) END AS block, concat('sp', CAST(o_custkey % 40 AS VARCHAR)) AS species FROM orders)
+SELECT s.rowid, total, CAST(method AS DOUBLE) AS method, site_code, photoquadrats, try_cast(block AS DOUBLE) AS block, species, i.taxonomic_id, c.phylum, 'reef.xlsx' AS input_filename FROM s LEFT JOIN ids i ON i.scientific_name = s.species LEFT JOIN classes c ON c.taxonomic_id = i.taxonomic_id
+WHERE method <> '0, 1, 2' AND s.rowid <= (SELECT max(rowid) FROM s WHERE total <> 0 AND method <> '0, 1, 2')""")
+def ingest_reef(spark, d):
+    key = F.col("o_custkey")
+    method = F.when(key % 50 == 1, I.HEADER_MARK).when(key % 49 != 0, (key % 3).cast("string"))
+    sheet = read(spark, d, "orders").select(
+        F.col("o_orderkey").alias("rowid"), F.when(key % 5 == 0, 0).otherwise(F.col("o_totalprice")).alias("Total"), method.alias("Method"), F.concat(F.lit("S"), (key % 9).cast("string")).alias("Site No."), F.col("o_orderstatus").alias("P-Qs"), F.when(key % 7 == 0, "x").otherwise((key % 3).cast("string")).alias("Block"), F.concat(F.lit("sp"), (key % 40).cast("string")).alias("Species")
+    )
+    return I.load(sheet, "reef-life-survey-data-v1", "/x/reef.xlsx", _ids(spark, d), _classes(spark, d))
+
+
+@query("SELECT event_type, event_id, CAST(user_id AS VARCHAR) AS who, 'e.xlsx' AS input_filename FROM events")
+def column_plumbing(spark, d):
+    e = I.select_strict(read(spark, d, "events"), ["event_id", "user_id", "event_type", "value"])
+    e = I.to_front(I.rename_strict(e.drop("value"), {"user_id": "who"}), ["event_type"])
+    return I.move_after(e.withColumn("who", F.col("who").cast("string")).withColumn("input_filename", F.lit("e.xlsx")), "who", "event_id")
+
+
 @query("SELECT event_id, row_number() OVER (ORDER BY event_id) AS rowid FROM events")
 def rowid(spark, d):
     return with_rowid(read(spark, d, "events").select("event_id"), ["event_id"])

@@ -136,6 +136,13 @@ def read_sheet(spark: SparkSession, path: str, sheet: str, schema: T.StructType
     return raw.select(*typed, "rowid").where(~_nothing(header)) if header else raw
 
 
+def load_workbook(spark: SparkSession, path: str, table: str, sheet: str, ids: DataFrame | None = None, classes: DataFrame | None = None) -> DataFrame:
+    """From a workbook's sheet to the table of this id: typed, cleaned, renamed, with its lineage column."""
+    from fieldsieve.operators.ingest import load
+
+    return load(read_sheet(spark, path, sheet), table, path, ids, classes)
+
+
 def _nothing(header: list[str]):
     """Rows without any cell, as trailing blank rows of a sheet are."""
     out = F.lit(True)

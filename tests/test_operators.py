@@ -151,3 +151,33 @@ def test_generated_conditions(spark):
     with pytest.raises(ValueError, match="nothing"):
         W.apply(df, "nothing")
     compile(W.template("reef", ["a", "2.5"]), "script", "exec")
+
+
+def test_load_by_table_id(spark):
+    df = spark.createDataFrame([(1, "Y", "a note")], "rowid long, `Water Present Y N` string, `Site Notes (including recent perturbations and weather conditions)` string")
+    out = I.load(df, "oyster-2025-reef-metadata-deployment", "/x/d.xlsx")
+    assert out.columns == ["rowid", "water_present", "notes", "input_filename"] and out.first()["input_filename"] == "d.xlsx"
+    with pytest.warns(UserWarning, match="no rows"):
+        I.load(df.where("false"), "oyster-2025-rugosity", "d.xlsx")
+    with pytest.raises(ValueError, match="no such table"):
+        I.load(df, "other", "d.xlsx")
+    with pytest.raises(ValueError, match="taxonomy"):
+        I.load(spark.createDataFrame([(1, 1.0, "1", "s", "p", "0", "x")], "rowid long, Total double, Method string, `Site No.` string, `P-Qs` string, Block string, Species string"), "reef-life-survey-data-v1", "d.xlsx")
+
+
+def test_combinations(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), (None, 1), ("b", None)], "x string, y int")
+    assert W.combinations(df, "x", ["y"]) == [(None, 1), ("a", 1), ("a", 2), ("b", None)]
+    assert W.combinations(df, "x", ["y"], ["a", None]) == [(None, 1), ("a", 1), ("a", 2)]
+    column, text = W.x_for_values(df, "x", ["y"], {"a": "A", None: "none"})
+    assert [r[0] for r in df.select(column).collect()] == ["A", "A", "A", "none", "b"] and text.count("WHEN") == 3
+    many = spark.range(W.MOST_BRANCHES + 1)
+    with pytest.raises(ValueError, match="more than"):
+        W.combinations(many, "id", [])
+
+
+def test_registered_transforms(spark):
+    df = spark.createDataFrame([("S1", "2024-01-02", 3.0), (None, None, 4.5)], "site_code string, date string, depth double")
+    assert [r["sample_event_id"] for r in W.apply(df, "event_id").collect()] == ["S1_RLS_2024-01-02_3", "NA_RLS_NA_4.5"]
+    df = spark.createDataFrame([("e", "5", "N", None, "1"), ("e", "BLANK", None, "10:00", None)], "sample_event_id string, vis string, direction string, time string, photoquadrats string")
+    assert {r["vis"] for r in W.apply(df, "fill_metadata").collect()} == {"5"}

@@ -4,7 +4,7 @@ import pytest
 
 from fieldsieve.operators import quality as Q
 
-PHYLA = ["Invert", "Invert", "Chordata", "Invert", "Chordata"]
+FISH, OTHER = "Chordata", "Echinodermata"
 
 
 def frame(spark, schema, *columns):
@@ -15,30 +15,41 @@ def rows(df, rule):
     return sorted(r["rowid"] for r in Q.rows_flagged(df, rule).collect())
 
 
-@pytest.mark.parametrize(
-    ("total", "phylum", "expected"),
-    [([4, 5, 2, 10, 14], PHYLA, []), ([4, 25, 22, 22, 105], PHYLA, [5]), ([4, 5, 2, 10, 14], ["Invert"] * 5, []), ([None, 5, float("nan"), 10, 101], ["Chordata"] * 5, [5]), ([500] * 5, [None] * 5, [])],
-)
-def test_fish_over(spark, total, phylum, expected):
-    total = [None if t is None else float(t) for t in total]
-    assert rows(frame(spark, "total double, phylum string", total, phylum), Q.fish_over()) == expected
+def test_fish_over(spark):
+    total = [100.0, 100.5, 101.0, None, float("nan"), 1e6, 0.0, -3.0]
+    limit = lambda phylum, **k: rows(frame(spark, "total double, phylum string", total, phylum), Q.fish_over(**k))
+    assert limit([FISH] * 8) == [2, 3, 6]
+    assert limit([OTHER] * 8) == limit([None] * 8) == []
+    assert limit([FISH, OTHER] * 4) == [3]
+    assert limit([FISH] * 8, limit=-1) == [1, 2, 3, 6, 7]
 
 
 def test_total_zero(spark):
-    assert rows(frame(spark, "total double", [4.0, 5.0, 2.0]), Q.total_zero()) == []
-    assert rows(frame(spark, "total double", [4.0, 0.0, 22.0, 0.0, None]), Q.total_zero()) == [2, 4]
+    assert rows(frame(spark, "total double", [0.5, 7.25]), Q.total_zero()) == []
+    assert rows(frame(spark, "total double", [0.0, -0.0, 1e-9, None, float("nan"), 3.0]), Q.total_zero()) == [1, 2]
 
 
 def test_inverts(spark):
-    phylum = ["invert", "invert", "Chordata", "invert", "Chordata"]
-    df = frame(spark, "inverts double, phylum string", [4.0, 25.0, 0.0, 22.0, 0.0], phylum)
-    assert rows(df, Q.inverts_over()) == [2, 4]
-    df = frame(spark, "inverts double, phylum string", [4.0, 25.0, 22.0, 22.0, 24.0], phylum)
-    assert rows(df, Q.vertebrate_with_invertebrate_count()) == [3, 5]
-    df = frame(spark, "inverts string, phylum string", ["9", "25", "x", None, "21"], ["invert"] * 5)
+    phylum = [OTHER, OTHER, OTHER, FISH, None, FISH]
+    df = frame(spark, "inverts double, phylum string", [20.0, 20.5, None, 0.0, 90.0, 0.25], phylum)
+    assert rows(df, Q.inverts_over()) == [2]
+    assert rows(df, Q.vertebrate_with_invertebrate_count()) == [6]
+    df = frame(spark, "inverts string, phylum string", ["9", "20.01", "many", None, "  21", "21"], [OTHER] * 5 + [FISH])
     assert rows(df, Q.inverts_over()) == [2, 5]  # text is compared as numbers
 
 
+def test_least_flag_needs_no_shuffle(spark):
+    df = frame(spark, "total double, inverts double, phylum string", [0.0, 150.0, 5.0, None, 0.0], [30.0, 1.0, 0.0, 25.0, 0.0], [OTHER, FISH, FISH, OTHER, None])
+    rules = [Q.total_zero(), Q.inverts_over(), Q.fish_over(), Q.vertebrate_with_invertebrate_count()]
+    one = Q.flag_priority(df, rules)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, Q.first_flag(Q.flags(df, rules)).collect())) == [(1, 5), (2, 3), (4, 7), (5, 5)]
+    assert sorted(map(tuple, Q.flagged(df, rules).collect()), key=str) == sorted(map(tuple, Q.with_flags(df, one).collect()), key=str)
+    for out in (one, Q.flagged(df, rules, flagged_only=True)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+    assert [r["test_id"] for r in Q.flagged(df, []).collect()] == [None] * 5
+
+
 def test_sizes_with_dots(spark):
     df = frame(spark, "phylum string, `2.5` int, `5` int, `125` int", ["Mollusca", "Mollusca", "Chordata", None], [None, 1, 1, 1], [0, 0, 1, 1], [4, 0, 0, 0])
     assert rows(df, Q.invertebrate_with_sizes(["2.5", "5"])) == [2]
