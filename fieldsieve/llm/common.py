@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -23,9 +24,11 @@ def let(value: Column, body) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; where it names none (tests), one of our own."""
+    """The shared folder that the cluster names; in local mode (tests), where none is named, one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

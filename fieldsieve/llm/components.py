@@ -30,14 +30,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     now = cut(edges.where(F.col("a") != F.col("b")).select(high.alias("a"), low.alias("b")).distinct(), "edges")
-    state = None
+    state, settled = None, False
     for _ in range(MOST_ROUNDS):
         before = now
         now = cut(_star(_star(now, True), False), "edges")
         discard(before)
         sums = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if sums == state:
+        if settled := sums == state:
             break
         state = sums
+    if not settled:
+        raise RuntimeError(f"components have not settled after {MOST_ROUNDS} rounds")
     roots = now.select(F.col("b").alias("node")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", F.col("node").alias("component")))

@@ -11,6 +11,9 @@ Defined results
 - null or empty text of a document or item: matches nothing.
 - items of fewer than `MIN_MATCH` words are not searched for.
 - null doc_id: compared like any other; its row in the result has doc_id null.
+- ties: of matches of equal length the one that begins first in the document becomes a tile first.
+- very long texts: searched whole; work grows with their length. An empty table, or a benchmark
+  without items, gives no rows. Further columns, whatever their names, are kept as they are.
 - repeated rows (one doc_id, equal text) give one row for each item; equal doc_id with other
   text gives rows of its own.
 """
@@ -140,8 +143,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = MIN_MATCH) -> DataFrame:
     """The documents that reach the threshold for no item, with all their columns."""
-    gone = contaminated(docs, benchmark, coverage, least).select(F.col("__key").alias("__gone")).distinct()
-    return docs.join(gone, F.xxhash64(docs["doc_id"], docs["text"]) == gone["__gone"], "left_anti")
+    gone = contaminated(docs, benchmark, coverage, least).select(F.col("__key").alias("__gone"), F.col("doc_id").alias("__doc")).distinct()
+    # by the id as well, so that one hash of two rows takes no innocent one
+    same = (F.xxhash64(docs["doc_id"], docs["text"]) == gone["__gone"]) & docs["doc_id"].cast("long").eqNullSafe(gone["__doc"])
+    return docs.join(gone, same, "left_anti")
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

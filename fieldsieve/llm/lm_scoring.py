@@ -11,6 +11,8 @@ summed over all blocks and the sums go back to the block. So nothing but packed
 shuffled, a frequent pair comes once from each block, and no count table meets in one place.
 
 Defined results
+- very long texts: a block is at least one document, however long. Ties and further columns,
+  whatever their names, don't matter here. An empty table: no rows.
 - null or empty text: the end token alone. null doc_id: its text as a number is empty, so it trains.
 - repeated rows: each is trained on and scored. No training documents: N = V = 0, scores are the
   uniform ones. Words are told apart by 64-bit hashes.

@@ -16,7 +16,9 @@ Defined results
 - fewer than five words: one shingle of all of them.
 - null doc_id: takes the component of its class if another row of it has a doc_id, else null;
   kept if null. Rows with one doc_id are one document, so they are linked with each other's.
-- repeated rows: each gets its row. Further columns don't matter here.
+- repeated rows: each gets its row. Further columns don't matter here, whatever their names.
+- ties: the least doc_id stands for its class and its component. An empty table: no rows.
+- very long texts: all of their shingles count; a set is one row.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ Defined results
 - null text: no words, so base_failed and not kept; null lang or source: a group of its own.
 - groups under `min_group` documents are pooled by language, then all together; a pool still
   under it rejects nothing beyond the base rule.
-- repeated rows each get their own, equal verdict; further columns are passed through.
+- repeated rows each get their own, equal verdict; further columns, whatever their names, are passed through.
+- ties: rows at the edge of a half belong to it; of starts with equal determinants the first counts.
+- very long texts: counted whole, a row at a time. An empty table: no rows.
 """
 
 from __future__ import annotations
@@ -219,7 +221,10 @@ def _judged(docs: DataFrame, keep: list[str], cutoff: float, min_group: int) ->
     renamed = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in names.items()], *[F.col(c) for c in ("text", "lang", "source")])
     stats = cut(with_statistics(renamed, [*names, "lang", "source"]), "stats")
     rows = _with_groups(stats, min_group)
-    params = estimate(rows.where(~F.col("base_failed") & F.col("__g").isNotNull()).select("__g", *FEATURES))
+    # the vectors alone are read again and again, so they are a small table of their own
+    core = cut(rows.where(~F.col("base_failed") & F.col("__g").isNotNull()).select("__g", *FEATURES), "core")
+    params = estimate(core)
+    discard(core)
     beside = rows.join(params, "__g", "left")
     p = len(FEATURES)
     off = [F.col(x) - F.get("m", F.lit(i)) for i, x in enumerate(FEATURES)]
