@@ -246,6 +246,26 @@ def test_pipeline(spark, sf):
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.collect()}
 
 
+@pytest.mark.parametrize("rows", ["none", "odd"])
+def test_pipeline_on_odd_tables(spark, odd, rows, tmp_path):
+    """An empty table gives no rows; odd rows go through all stages, and the kept ones are whole."""
+    import corpus_pipeline
+
+    df = odd.where("false") if rows == "none" else odd
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, None), (2, ""), (3, "x y")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    if rows == "none":
+        assert not out
+    else:
+        kept = {r["doc_id"] for r in out}
+        assert 6 in kept and not kept & {0, 1, 2, 3, 7, 8}  # without words, base rules, copies
+        whole = {}
+        for r in out:
+            whole[r["doc_id"], r["doc_tokens"]] = whole.get((r["doc_id"], r["doc_tokens"]), 0) + r["length"]
+        assert all(n % tokens == 0 for (_, tokens), n in whole.items())
+
+
 def test_registered():
     numbers = sorted(int(n.split("_")[0][2:]) for n in QUERIES)
     assert numbers == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
