@@ -1,4 +1,14 @@
-"""A corpus pipeline of the operators in fieldsieve.llm, each stage written as Parquet and read again."""
+"""A corpus pipeline of the operators in fieldsieve.llm, each stage written as Parquet and read again.
+
+Defined results, stage by stage (the operators' docstrings have the details)
+- null and empty texts fail the base rules of the first stage, so no later stage sees one of them
+  from the input; a text that the third stage empties is packed as its end id alone.
+- null doc_id: judged like any other row, kept by near dedup unless a copy has an id, left as it is
+  by substring dedup, compared with the benchmark, packed.
+- repeated rows: near dedup keeps one. Ties: the least doc_id stays.
+- very long texts go through whole. An empty table gives no rows. Further columns, whatever their
+  names, are kept as they are up to the last stage, which has columns of its own.
+"""
 
 from __future__ import annotations
 
