@@ -38,13 +38,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/fieldsieve-{name}-{uuid.uuid4().hex}"
 
 
+#: Tables that cut() has written since the last release().
+_WRITTEN: list[str] = []
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """df as a written table in the shared folder: lineage ends here, and lost executors lose nothing."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all tables that cut() wrote so far. What came of them must have been written or collected before."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that cut() wrote and nothing needs any more."""
     spark = df.sparkSession
