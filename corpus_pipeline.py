@@ -8,6 +8,8 @@ Defined results, stage by stage (the operators' docstrings have the details)
 - repeated rows: near dedup keeps one. Ties: the least doc_id stays.
 - very long texts go through whole. An empty table gives no rows. Further columns, whatever their
   names, are kept as they are up to the last stage, which has columns of its own.
+A stage's result must be written before the next stage is called, which deletes what the one before
+left in the shared folder.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldsieve.llm import decontamination, near_dedup, packing, quality_rules, substring_dedup
-from fieldsieve.llm.common import scratch_path
+from fieldsieve.llm.common import release, scratch_path
 from fieldsieve.llm.tokens import vocabulary
 
 
@@ -26,21 +28,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
+    release(spark)
     return near_dedup.deduplicated(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat are cut from all documents but the first that has them."""
+    release(spark)
     return substring_dedup.without_repeats(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold half of a benchmark item or more go."""
+    release(spark)
     return decontamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, packed into sequences of 2048 tokens; one row for each piece, with its ids."""
+    release(spark)
     return packing.packed(docs, vocabulary("word_bpe_49k.json"), False, with_ids=True)
 
 
