@@ -1,14 +1,16 @@
 """Token ids of whole texts by a public tokenizer, each distinct word encoded once in a while.
 
-Both tokenizers used here cut a text at white space before anything else, so that a word's
-ids don't depend on its neighbours. A task cuts texts into such units in numpy, finds the
-distinct ones in Arrow, encodes those that it has not met, many in one call, and puts the ids of
-a text together from the units'. A text with white space beyond ASCII is encoded whole. The ids
-equal those of encoding each text.
+Both tokenizers used here cut a text at white space and where letters end before anything else, so
+that a word's ids don't depend on its neighbours. A task cuts texts into such units in numpy, finds
+the distinct ones in Arrow, encodes those that it has not met (a word of Latin letters, which stays
+in one piece, by the tokenizer's model, others many in one call), and puts the ids of a text
+together from the units'. A text with white space beyond ASCII is encoded whole. The ids equal those
+of encoding each text.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -22,12 +24,25 @@ _SPACE, _MAYBE_ODD = np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: The bytes that a character of _ODD can begin with.
 _MAYBE_ODD[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
+_LETTER, _OTHER = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_OTHER[0x21:0x7F] = ~_LETTER[0x21:0x7F]
+#: What a tokenizer of bytes neither cuts nor normalises, but for white space around it and case.
+_WORD = re.compile("[ \t-\r]*[A-Za-zÀ-ÖØ-öø-ÿ]+[ \t-\r]*")
+_SPACED_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Units that a task remembers; it forgets all when they are more.
 MOST_UNITS = 800_000
 #: New units that are encoded in one call.
 CHUNK = 2000
 
 
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it prints, else the next one from 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class _Units(dict):
     """Numbers units as they are first asked for; new holds those without ids yet."""
 
@@ -54,8 +69,28 @@ class Encoder:
         #: Put between units it is one id of its own.
         self.between = "\n" if spaced else " ~ "
         self.apart = self._plain([self.between])[0]
+        self.letters = byte_letters()
+        self.model = self.tokenizer.model if self._of_bytes() else None
         self._forget()
 
+    def _of_bytes(self) -> bool:
+        """Is a word of letters one piece of bytes for the model, in lower case if white space does not count?"""
+        told = json.loads(self.tokenizer.to_str())
+        if any(not t["special"] for t in told["added_tokens"]):
+            return False
+        cuts, normal = told["pre_tokenizer"] or {}, told["normalizer"]
+        if self.spaced:
+            return normal is None and cuts.get("type") == "ByteLevel" and cuts["use_regex"] and not cuts["add_prefix_space"]
+        steps = cuts.get("pretokenizers", [])
+        kinds = [n["type"] for n in (normal or {}).get("normalizers", [])]
+        return (
+            kinds == ["NFC", "Replace", "Lowercase"]
+            and [x["type"] for x in steps] == ["Split", "ByteLevel"]
+            and r"|[\p{L}]+|" in steps[0]["pattern"].get("Regex", "")
+            and steps[0]["invert"]
+            and not steps[1]["add_prefix_space"]
+        )
+
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
@@ -72,33 +107,46 @@ class Encoder:
             return None
         return np.delete(ids, cuts), np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
 
+    def _word(self, unit: bytes, text: str) -> list[int] | None:
+        """The ids of a word of Latin letters; None if the unit is anything else."""
+        if self.spaced:
+            if not _SPACED_WORD.fullmatch(text):
+                return None
+        else:
+            if not _WORD.fullmatch(text):
+                return None
+            text = text.strip(" \t\n\v\f\r").lower()
+            unit = text.encode()
+        if text.isascii():
+            piece = text.replace(" ", self.letters[0x20])
+        else:
+            piece = unit.decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(piece)]
+
     def _learn(self) -> None:
         new, self.units.new = self.units.new, []
         texts = [u.decode() for u in new]
+        got: list[list[int] | None] = [None] * len(new)
+        if self.model is not None:
+            got = list(map(self._word, new, texts))
         mark = self.between.strip(" ")
-        joined = [i for i, t in enumerate(texts) if mark not in t and not t.isspace()]
-        alone = sorted(set(range(len(texts))) - set(joined))
-        found: list[tuple[list[int], np.ndarray, np.ndarray]] = []
+        others = [i for i, x in enumerate(got) if x is None]
+        joined = [i for i in others if mark not in texts[i] and not texts[i].isspace()]
+        alone = sorted(set(others) - set(joined))
         for at in range(0, len(joined), CHUNK):
             some = joined[at : at + CHUNK]
-            got = self._together([texts[i] for i in some])
-            if got is None:
+            together = self._together([texts[i] for i in some])
+            if together is None:
                 alone += some
             else:
-                found.append((some, *got))
-        if alone:
-            got = self._plain([texts[i] for i in alone])
-            lengths = np.fromiter(map(len, got), np.int64, len(got))
-            found.append((alone, np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum())), lengths))
-        counts, first = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
-        size = 0
-        for some, ids, lengths in found:
-            counts[some], first[some] = lengths, size + np.cumsum(lengths) - lengths
-            size += len(ids)
-        every = np.concatenate([ids for _, ids, _ in found])
-        upto = np.cumsum(counts)
-        more = every[np.arange(size) + np.repeat(first - (upto - counts), counts)]
-        self.starts = np.concatenate([self.starts, len(self.ids) + upto])
+                ids, lengths = together
+                for i, ids_of in zip(some, np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
+                    got[i] = ids_of.tolist()
+        for i, ids_of in zip(alone, self._plain([texts[i] for i in alone]), strict=True):
+            got[i] = ids_of
+        counts = np.fromiter(map(len, got), np.int64, len(got))
+        more = np.fromiter(chain.from_iterable(got), np.uint32, int(counts.sum()))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts)])
         self.ids = np.concatenate([self.ids, more])
 
     def _cut(self, body: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -106,6 +154,7 @@ class Encoder:
 
         A unit is a word with the space before it; all but the last of a run of white space; or its
         last, if it is no space. Where white space does not count, a unit is a word and what follows it.
+        What is no letter after an ASCII letter begins another unit.
         """
         space = _SPACE[body]
         before = np.empty_like(space)
@@ -119,6 +168,7 @@ class Encoder:
             ends[begins[1:] - 1] = False
             unit = space & (~before | ends)
             unit[1:] |= ~space[1:] & space[:-1] & (body[:-1] != 0x20)
+        unit[1:] |= _OTHER[body[1:]] & _LETTER[body[:-1]]
         unit[begins] = True
         return np.flatnonzero(unit)
 
@@ -149,18 +199,13 @@ class Encoder:
             index = np.fromiter(map(self.units.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         if self.units.new:
             self._learn()
-        first, lengths = self.starts[index], self.starts[index + 1] - self.starts[index]
+        starts, ids = self.starts, self.ids
         if end is not None:  # the end id as one more unit after each text
-            where = np.cumsum(counts)
-            first, lengths, counts = np.insert(first, where, -1), np.insert(lengths, where, 1), counts + 1
-        upto = np.cumsum(lengths)
-        total = int(upto[-1]) if len(upto) else 0
-        source = np.arange(total) - np.repeat(upto - lengths - first, lengths)
-        ids = self.ids[np.maximum(source, 0)] if len(self.ids) else np.zeros(total, np.uint32)
-        if end is not None:
-            ids[upto[first == -1] - 1] = end
-        starts = np.concatenate([[0], np.concatenate([[0], upto])[np.cumsum(counts)]]) if len(counts) else np.zeros(1, np.int64)
-        return ids, starts.astype(np.int64)
+            index, counts = np.insert(index, np.cumsum(counts), len(starts) - 1), counts + 1
+            starts, ids = np.append(starts, len(ids) + 1), np.append(ids, np.uint32(end))
+        taken = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids)).take(pa.array(index))
+        upto = taken.offsets.to_numpy()
+        return taken.flatten().to_numpy(), upto[np.concatenate([[0], np.cumsum(counts)])].astype(np.int64)
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
