@@ -30,7 +30,7 @@ LENGTH = 2048
 MOST_SEGMENTS = 256
 END = 1
 #: Characters of text that make a chunk; a row counts as some, so that tiny ones don't make one endless.
-CHUNK, ROW = 3_000_000, 150
+CHUNK, ROW = 6_000_000, 150
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -136,7 +136,7 @@ def packed(docs: DataFrame, path: str, spaced: bool, end: int = END, length: int
 
         for batch in batches:
             keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, b in slices_of(texts, CHUNK // 2):
+            for a, b in slices_of(texts, CHUNK):
                 ids, starts = encode(texts[a:b], end)
                 own = [ids[x:y] for x, y in zip(starts[:-1], starts[1:], strict=True)]
                 loss += map(len, own)

@@ -33,7 +33,7 @@ from .tokens import encoder, slices_of, vocabulary
 BLOCK, FILE_IDS = 1 << 20, 1 << 24
 END = 0
 #: Characters of text that are encoded at once.
-SLICE = 2_000_000
+SLICE = 6_000_000
 HEAD = struct.Struct("<4sII")
 
 

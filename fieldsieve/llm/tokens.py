@@ -48,9 +48,9 @@ class _Units(dict):
 
     def __init__(self):
         super().__init__()
-        self.new: list[bytes] = []
+        self.new: list[str] = []
 
-    def __missing__(self, unit: bytes) -> int:
+    def __missing__(self, unit: str) -> int:
         number = self[unit] = len(self)
         self.new.append(unit)
         return number
@@ -107,7 +107,7 @@ class Encoder:
             return None
         return np.delete(ids, cuts), np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
 
-    def _word(self, unit: bytes, text: str) -> list[int] | None:
+    def _word(self, text: str) -> list[int] | None:
         """The ids of a word of Latin letters; None if the unit is anything else."""
         if self.spaced:
             if not _SPACED_WORD.fullmatch(text):
@@ -116,19 +116,17 @@ class Encoder:
             if not _WORD.fullmatch(text):
                 return None
             text = text.strip(" \t\n\v\f\r").lower()
-            unit = text.encode()
         if text.isascii():
             piece = text.replace(" ", self.letters[0x20])
         else:
-            piece = unit.decode("latin-1").translate(self.letters)
+            piece = text.encode().decode("latin-1").translate(self.letters)
         return [t.id for t in self.model.tokenize(piece)]
 
     def _learn(self) -> None:
-        new, self.units.new = self.units.new, []
-        texts = [u.decode() for u in new]
-        got: list[list[int] | None] = [None] * len(new)
+        texts, self.units.new = self.units.new, []
+        got: list[list[int] | None] = [None] * len(texts)
         if self.model is not None:
-            got = list(map(self._word, new, texts))
+            got = list(map(self._word, texts))
         mark = self.between.strip(" ")
         others = [i for i, x in enumerate(got) if x is None]
         joined = [i for i in others if mark not in texts[i] and not texts[i].isspace()]
@@ -194,8 +192,8 @@ class Encoder:
                 at = at[~odd[owner] | (at == begins[owner])]
             counts[some] = np.diff(np.append(np.searchsorted(at, begins[some]), len(at)))
             offsets = np.append(at, len(body)).astype(np.int32)
-            coded = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-            distinct = coded.dictionary.to_pylist()
+            coded = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+            distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
             index = np.fromiter(map(self.units.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         if self.units.new:
             self._learn()

@@ -33,6 +33,16 @@ def test_ids(encoder):
             assert ids[a:b].tolist() == plain(encoder, t, end), repr(t)
 
 
+def test_ids_where_letters_meet_other_characters(encoder):
+    assert encoder.model is not None
+    parts = ["a", "B", "re", "I", "'s", "'LL", "don't", "'", "é", "É", "ß", "×", "e\u0301", "a\u0338", "<", "\u0338", "\u212a", "İ", "Σ", "ς", "1", "²", "½", "ª", "_", "###", " ", "  ", "\n", "\t", "\xa0", "\u200b", "漢", "ﬁ", "<|endoftext|>", "</s>", "~", "\x7f", "\x00"]
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(4000)]
+    ids, starts = encoder(texts)
+    for text, a, b in zip(texts, starts[:-1], starts[1:], strict=True):
+        assert ids[a:b].tolist() == plain(encoder, text, None), repr(text)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 70_000) | st.integers(0, 5), max_size=1500))
 def test_coder_round_trip(ids):
