@@ -38,9 +38,9 @@ class _Model:
         self.alphabet = alphabet
         self.bits = max(12, alphabet.bit_length() + 2)
         self.total = 1 << (self.bits + 6)
-        # guess << 2 | how sure
-        self.one = np.zeros(alphabet, np.int64)
-        self.two = np.zeros(1 << CONTEXT_BITS, np.int64)
+        # guess << 2 | how sure; tables are of 32 bits, so that they stay in a core's cache
+        self.one = np.zeros(alphabet, np.int32)
+        self.two = np.zeros(1 << CONTEXT_BITS, np.int32)
         self.seen = np.zeros(alphabet, np.int64)
         self.hits = np.tile(np.array([1, 1, 4], np.int64), (32, 1))
         self.weigh()
@@ -55,44 +55,52 @@ class _Model:
         slots, n = 1 << self.bits, int(self.seen.sum())
         sizes = 1 + self.seen * (slots - self.alphabet) // max(n, 1)
         sizes[0] += slots - int(sizes.sum())
-        self.upto = np.concatenate([[0], np.cumsum(sizes)])
-        self.id_of = np.repeat(np.arange(self.alphabet), sizes)
+        self.upto = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        self.id_of = np.repeat(np.arange(self.alphabet, dtype=np.int32), sizes)
+
+    def before(self, x: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """What order 0 gives to all ids below each x, of `rest`."""
+        return self.upto.take(x, mode="clip").astype(np.int64) * rest >> self.bits
 
     def predict(self, one: np.ndarray, two: np.ndarray):
         """For the ids before and those before them: the guesses, their shares, what is left for order 0, and how to learn."""
+        one, two = one.astype(np.int64), two.astype(np.int64)
         at = (one * 0x9E3779B1 + two * 0x85EBCA77 >> 13) & ((1 << CONTEXT_BITS) - 1)
-        a, b = self.one.take(one), self.two.take(at)
-        g1, g2 = a >> 2, b >> 2
-        row = ((b & 3) << 3) + ((a & 3) << 1) + (g1 == g2)
-        p1, p2 = self.first.take(row), self.second.take(row)
-        return g1, g2, p1, p2, self.total - p1 - p2, (one, at, a, b, row)
+        a, b = self.one.take(one, mode="clip"), self.two.take(at, mode="clip")
+        g1, g2, sure1, sure2 = a >> 2, b >> 2, a & 3, b & 3
+        row = (sure2 << 3) + (sure1 << 1) + (g1 == g2)
+        p1, p2 = self.first.take(row, mode="clip"), self.second.take(row, mode="clip")
+        return g1, g2, p1, p2, self.total - p1 - p2, (one, at, a, b, sure1, sure2, row)
 
     def interval(self, x: np.ndarray, g1: np.ndarray, g2: np.ndarray, p1: np.ndarray, p2: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of the share of each x."""
-        low, high = self.upto.take(x) * rest >> self.bits, self.upto.take(x + 1) * rest >> self.bits
+        low, high = self.before(x, rest), self.before(x + 1, rest)
         return low + p1 * (g1 < x) + p2 * (g2 < x), high - low + p1 * (g1 == x) + p2 * (g2 == x)
 
     def invert(self, v: np.ndarray, g1: np.ndarray, g2: np.ndarray, p1: np.ndarray, p2: np.ndarray, rest: np.ndarray) -> np.ndarray:
         """The id whose share holds each v: the later guess's part is taken out, then the earlier one's, then order 0 is looked up."""
         swap = g1 > g2
-        near, p = np.where(swap, g2, g1), np.where(swap, p2, p1)
-        far, q = np.where(swap, g1, g2), np.where(swap, p1, p2)
-        edge = (self.upto.take(far + 1) * rest >> self.bits) + p
+        near, far = np.minimum(g1, g2), np.maximum(g1, g2)
+        p = np.where(swap, p2, p1)
+        q = p1 + p2 - p
+        edge = self.before(far + 1, rest) + p
         v = np.where(v < edge, v, np.maximum(v - q, edge - 1))
-        edge = self.upto.take(near + 1) * rest >> self.bits
+        edge = self.before(near + 1, rest)
         v = np.where(v < edge, v, np.maximum(v - p, edge - 1))
-        slot = (((v + 1) << self.bits) - 1).view(np.uint64) // rest.view(np.uint64)
-        return self.id_of.take(slot.view(np.int64))
+        v = ((v + 1) << self.bits) - 1
+        # below 2^53 a quotient of doubles never rounds up to the next whole number
+        slot = (v / rest).astype(np.int64) if 2 * self.bits + 6 < 53 else v // rest
+        return self.id_of.take(slot, mode="clip")
 
     def learn(self, x: np.ndarray, g1: np.ndarray, g2: np.ndarray, how) -> None:
-        one, at, a, b, row = how
+        one, at, a, b, sure1, sure2, row = how
         hit1, hit2 = g1 == x, g2 == x
         right = np.where(hit2, 0, 2 - hit1)
         self.hits += np.bincount(row * 3 + right, minlength=96).reshape(32, 3)
         self.weigh()
         new = x << 2
-        self.one[one] = np.where(hit1, a + ((a & 3) < 3), np.where((a & 3) > 1, a - 2, new))
-        self.two[at] = np.where(hit2, b + ((b & 3) < 3), np.where((b & 3) > 1, b - 2, new))
+        self.one[one] = np.where(hit1 | (sure1 > 1), a + np.where(hit1, sure1 < 3, np.int32(-2)), new)
+        self.two[at] = np.where(hit2 | (sure2 > 1), b + np.where(hit2, sure2 < 3, np.int32(-2)), new)
 
 
 class _Lanes:
@@ -157,12 +165,12 @@ def encode(ids: np.ndarray) -> bytes:
     if most >= MOST_IDS:
         raise ValueError(f"an id of {MOST_IDS} or more is beyond this format")
     lanes, reached = _lanes(len(ids))
-    grid = np.zeros(lanes * STEPS, np.int64)
+    grid = np.zeros(lanes * STEPS, np.int32)
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, STEPS).T)
     model = _Model(most + 1)
     coder = _Lanes(lanes, model.bits + 6, None)
-    nothing = np.zeros(lanes, np.int64)
+    nothing = np.zeros(lanes, np.int32)
     for t, n in enumerate(reached.tolist()):
         if not n:
             break
@@ -189,10 +197,10 @@ def decode(data: bytes) -> np.ndarray:
     if lanes and counts.max() > STEPS + 1:
         raise ValueError("not a block of this format")
     words[np.arange(words.shape[1]) < counts[:, None]] = flat
-    grid = np.zeros((STEPS, lanes), np.int64)
+    grid = np.zeros((STEPS, lanes), np.int32)
     model = _Model(alphabet)
     coder = _Lanes(lanes, model.bits + 6, words)
-    nothing = np.zeros(lanes, np.int64)
+    nothing = np.zeros(lanes, np.int32)
     for t, n in enumerate(reached.tolist()):
         if not n:
             break
