@@ -4,6 +4,7 @@ from .decontamination import op5_decontamination
 from .html_extract import op8_html_extract
 from .lm_scoring import op9_lm_scoring
 from .near_dedup import OP7_SQL, op7_near_dedup
+from .ngram_join import OP11_SQL, op11_ngram_join
 from .packing import op3_packing
 from .quality_rules import op1_quality_rules
 from .separator_scan import op2_separator_scan
@@ -22,8 +23,10 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_token_output": op10_token_output,
+    "op11_ngram_join": op11_ngram_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_near_dedup": OP7_SQL,
+    "op11_ngram_join": OP11_SQL,
 }
