@@ -10,6 +10,7 @@ from .quality_rules import op1_quality_rules
 from .separator_scan import op2_separator_scan
 from .sharding import op4_sharding
 from .substring_dedup import op6_substring_dedup
+from .token_alignment import op12_token_alignment
 from .token_output import op10_token_output
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_token_output": op10_token_output,
     "op11_ngram_join": op11_ngram_join,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
