@@ -1,6 +1,7 @@
 """The queries of this subpackage and, where SQL expresses them, the SQL of their results."""
 
 from .decontamination import op5_decontamination
+from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .html_extract import op8_html_extract
 from .lm_scoring import op9_lm_scoring
 from .near_dedup import OP7_SQL, op7_near_dedup
@@ -26,9 +27,11 @@ QUERIES = {
     "op10_token_output": op10_token_output,
     "op11_ngram_join": op11_ngram_join,
     "op12_token_alignment": op12_token_alignment,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_near_dedup": OP7_SQL,
     "op11_ngram_join": OP11_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
