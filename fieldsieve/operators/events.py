@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fieldsieve.functions.nulls import any3, fmt_num, paste_na, qcol, require_columns
 from fieldsieve.functions.text import date_of
 from fieldsieve.operators.joins import natural_left_join
+from fieldsieve.operators.rowid import ordered_join
 
 
 def event_id(site: Column, date: Column, depth: Column) -> Column:
@@ -42,9 +43,8 @@ def events_across_files(stored: DataFrame, current: DataFrame, file: str, key: s
 
 
 def joined_text(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
-    """One row for the keys with the values of a column in a stated order, with commas."""
-    held = F.sort_array(F.collect_list(F.struct(*[qcol(c).alias(f"o{i}") for i, c in enumerate(order)], qcol(value).cast("string").alias("v"))))
-    return df.groupBy(*keys).agg(F.array_join(F.transform(held, lambda x: x["v"]), ", ").alias(value))
+    """One row for the keys with the values of a column in a stated order, with commas. Runs jobs."""
+    return ordered_join(df, keys, value, order)
 
 
 def two_transect_roster(roster: DataFrame, site: str = "Site Code", fields: tuple[str, ...] = ("Initials", "Depth", "Year", "Month", "Day"), transects: tuple[str, ...] = ("T1", "T2")) -> DataFrame:

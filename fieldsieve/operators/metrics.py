@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldsieve.functions.nulls import count_distinct_na, qcol, row_sum, sum_na
+from fieldsieve.operators.rowid import run_lengths
 
 
 def column_range(df: DataFrame, first: str, last: str) -> list[str]:
@@ -72,10 +73,5 @@ def wider(df: DataFrame, ids: list[str], name: str, value: str, names: list[str]
 
 
 def runs(df: DataFrame, condition: Column, order: str, within: list[str]) -> DataFrame:
-    """Run-length encoding: (within, value, run_start, run_end, run_length) of equal neighbours in a stated order."""
-    by = Window.partitionBy(*within).orderBy(order)
-    marked = df.withColumn("__v", condition)
-    new = F.when(F.lag("__v").over(by).eqNullSafe(F.col("__v")) & (F.row_number().over(by) > 1), 0).otherwise(1)
-    numbered = marked.withColumn("__new", new).withColumn("__run", F.sum("__new").over(by))
-    out = numbered.groupBy(*within, "__run", F.col("__v").alias("value"))
-    return out.agg(F.min(order).alias("run_start"), F.max(order).alias("run_end"), F.count("*").alias("run_length")).drop("__run")
+    """Run-length encoding: (within, value, run_start, run_end, run_length) of equal neighbours in a stated order. Runs jobs."""
+    return run_lengths(df, condition, order, within)

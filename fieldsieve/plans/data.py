@@ -34,7 +34,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def survey(spark: SparkSession, sf_dir: str, rowid: bool = True) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem")
+    lines = read(spark, sf_dir, "lineitem").select(*LINE_ORDER, "l_quantity", "l_returnflag")
     lines = with_rowid(lines, LINE_ORDER) if rowid else lines
     return lines.select(*["rowid"] * rowid, *[F.expr(e).alias(n) for n, e in SURVEY.items()])
 
