@@ -9,13 +9,17 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldsieve.functions.nulls import qcol, require_columns, to_number
-from fieldsieve.functions.text import canonical_names
+from fieldsieve.functions.text import base_name, canonical_names
 from fieldsieve.operators.joins import join_taxonomy
 
 #: Fixed value: what the method column holds in a header row that was typed again among the data.
 HEADER_MARK = "0, 1, 2"
 
 
+#: The column that says which file a row is from.
+LINEAGE = "input_filename"
+
+
 def drop_header_rows(df: DataFrame, column: str = "Method", mark: str = HEADER_MARK) -> DataFrame:
     """Without repeated header rows, and without rows whose method is null."""
     return df.where(qcol(column).cast("string") != mark)
@@ -25,9 +29,16 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
     return df.na.drop("all")
 
 
-def trim_trailing_zeros(df: DataFrame, total: str = "Total", rowid: str = "rowid") -> DataFrame:
-    """Without the last run of rows whose total is 0; zeros before stay. All rows stay if all are 0. A null total is not 0."""
-    last = df.agg(F.max(F.when(qcol(total).isNull() | (to_number(qcol(total).cast("string")) != 0), qcol(rowid))).alias("__last"))
+def trim_trailing_zeros(df: DataFrame, total: str = "Total", rowid: str = "rowid", per: str | None = None) -> DataFrame:
+    """Without the last run of rows whose total is 0; zeros before stay. All rows stay if all are 0. A null total is not 0.
+
+    per: a column that tells files apart, each of which has an end of its own.
+    """
+    last = F.max(F.when(qcol(total).isNull() | (to_number(qcol(total).cast("string")) != 0), qcol(rowid))).alias("__last")
+    if per:
+        ends = df.groupBy(qcol(per).alias("__file")).agg(last)  # a row for each file
+        return df.join(ends, qcol(per).eqNullSafe(F.col("__file")), "left").where(F.col("__last").isNull() | (qcol(rowid) <= F.col("__last"))).drop("__last", "__file")
+    last = df.agg(last)
     return df.join(F.broadcast(last), F.col("__last").isNull() | (qcol(rowid) <= F.col("__last"))).drop("__last")
 
 
@@ -134,32 +145,35 @@ def family_of(table: str) -> str:
     return FAMILIES[table]
 
 
-def load(df: DataFrame, table: str, filename: str, ids: DataFrame | None = None, classes: DataFrame | None = None) -> DataFrame:
-    """A typed sheet with a row number as the table of this id. Runs a job to warn if nothing is left."""
+def load(df: DataFrame, table: str, filename: str | Column, ids: DataFrame | None = None, classes: DataFrame | None = None) -> DataFrame:
+    """A typed sheet with a row number as the table of this id. Runs a job to warn if nothing is left.
+
+    filename: the file that all rows are from, or the column input_filename, which names it for each row.
+    """
     out = ingest(df, SPECS[family_of(table)], filename, ids=ids, classes=classes)
     if out.isEmpty():
-        warnings.warn(f"{os.path.basename(filename)} has no rows for {table}", stacklevel=2)
+        warnings.warn(f"{os.path.basename(filename) if isinstance(filename, str) else "the sheet"} has no rows for {table}", stacklevel=2)
     return out
 
 
-def ingest(df: DataFrame, spec: Spec, filename: str, rowid: str = "rowid", ids: DataFrame | None = None, classes: DataFrame | None = None) -> DataFrame:
+def ingest(df: DataFrame, spec: Spec, filename: str | Column, rowid: str = "rowid", ids: DataFrame | None = None, classes: DataFrame | None = None) -> DataFrame:
     """A typed sheet with a row number as a table with canonical names and the column input_filename."""
     require_columns(df, [*spec.required, rowid])
     if spec.taxonomy and (ids is None or classes is None):
         raise ValueError("this table needs the taxonomy: ids and classes")
     if any(c in df.columns for c in spec.drop):
-        values = [qcol(c) for c in df.columns if c not in (*spec.drop, rowid)]
+        values = [qcol(c) for c in df.columns if c not in (*spec.drop, rowid, LINEAGE)]
         df = df.drop(*spec.drop).where(~_all_null(values))
     if spec.header_column:
         df = drop_header_rows(df, spec.header_column)
     if spec.trim_column:
-        df = trim_trailing_zeros(df, spec.trim_column, rowid)
+        df = trim_trailing_zeros(df, spec.trim_column, rowid, None if isinstance(filename, str) else LINEAGE)
     df = rename_strict(rename_lenient(df, spec.rename), spec.strict_rename)
     df = df.withColumns({c: to_number(qcol(c).cast("string")) for c in spec.numbers})
     if spec.taxonomy:
         df = join_taxonomy(df, ids, classes, spec.taxonomy, ["phylum"])
         df = move_after(df, "taxonomic_id", spec.taxonomy)
-    return canonical_names(df.withColumn("input_filename", F.lit(os.path.basename(filename))))
+    return canonical_names(df.withColumn(LINEAGE, F.lit(os.path.basename(filename)) if isinstance(filename, str) else base_name(filename)))
 
 
 def _all_null(values: list[Column]) -> Column:

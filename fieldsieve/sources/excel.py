@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
@@ -20,15 +21,29 @@ LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 DATE_FORMATS = {*range(14, 23), 45, 46, 47}
 
 
-def _parts(data: bytes):
-    book = zipfile.ZipFile(io.BytesIO(data))
+@contextmanager
+def open_book(source: str | bytes) -> Iterator[zipfile.ZipFile]:
+    """The archive of a workbook, by URI in any store that Arrow opens, or from its bytes."""
+    if isinstance(source, bytes):
+        yield zipfile.ZipFile(io.BytesIO(source))
+        return
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(source)
+    with store.open_input_file(path) as file, zipfile.ZipFile(file) as book:
+        yield book
+
+
+def sheet_parts(book: zipfile.ZipFile) -> dict[str, str]:
+    """The name of each sheet and its part of the archive."""
     links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
     sheets = {s.get("name"): links[s.get(LINK)] for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{MAIN}sheet")}
-    return book, {n: t.lstrip("/") if t.startswith("/") else f"xl/{t}" for n, t in sheets.items()}
+    return {n: t.lstrip("/") if t.startswith("/") else f"xl/{t}" for n, t in sheets.items()}
 
 
 def sheet_names_of(data: bytes) -> list[str]:
-    return list(_parts(data)[1])
+    with open_book(data) as book:
+        return list(sheet_parts(book))
 
 
 def _column(ref: str) -> int:
@@ -38,25 +53,46 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def cells_of(data: bytes, sheet: str) -> list[list[str | float | datetime | bool | None]]:
-    """The rows of a sheet: text, numbers, dates, truth values, or None."""
-    book, sheets = _parts(data)
-    if sheet not in sheets:
-        raise ValueError(f"the workbook has no sheet {sheet}; it has {', '.join(sheets)}")
-    names = set(book.namelist())
-    shared = ["".join(t.text or "" for t in s.iter(f"{MAIN}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-    dated: list[bool] = []
-    if "xl/styles.xml" in names:
+def _pulled(book: zipfile.ZipFile, part: str, tag: str) -> Iterator[ElementTree.Element]:
+    """The elements of a tag, one after another; what has been passed is forgotten."""
+    with book.open(part) as f:
+        events = ElementTree.iterparse(f, events=("start", "end"))
+        _, root = next(events)
+        above: list[ElementTree.Element] = [root]
+        for event, element in events:
+            if event == "start":
+                above.append(element)
+                continue
+            above.pop()
+            if element.tag == f"{MAIN}{tag}":
+                yield element
+                above[-1].clear()
+
+
+def _dated(book: zipfile.ZipFile) -> list[bool]:
+    """Whether each cell style shows a date or time."""
+    out: list[bool] = []
+    if "xl/styles.xml" in book.namelist():
         styles = ElementTree.fromstring(book.read("xl/styles.xml"))
         own = {int(f.get("numFmtId")): f.get("formatCode") or "" for f in styles.iter(f"{MAIN}numFmt")}
         for group in styles.iter(f"{MAIN}cellXfs"):
             for x in group:
                 code = int(x.get("numFmtId") or 0)
-                dated.append(code in DATE_FORMATS or bool(re.search(r"[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", own.get(code, "")), re.I)))
-    out = []
-    for row in ElementTree.fromstring(book.read(sheets[sheet])).iter(f"{MAIN}row"):
-        while len(out) < int(row.get("r") or len(out) + 1) - 1:
-            out.append([])
+                out.append(code in DATE_FORMATS or bool(re.search(r"[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", own.get(code, "")), re.I)))
+    return out
+
+
+def rows_of(book: zipfile.ZipFile, sheet: str) -> Iterator[list[str | float | datetime | bool | None]]:
+    """The rows of a sheet, one after another: text, numbers, dates, truth values, or None."""
+    sheets = sheet_parts(book)
+    if sheet not in sheets:
+        raise ValueError(f"the workbook has no sheet {sheet}; it has {', '.join(sheets)}")
+    shared = ["".join(t.text or "" for t in s.iter(f"{MAIN}t")) for s in _pulled(book, "xl/sharedStrings.xml", "si")] if "xl/sharedStrings.xml" in book.namelist() else []
+    dated, done = _dated(book), 0
+    for row in _pulled(book, sheets[sheet], "row"):
+        for _ in range(done, int(row.get("r") or done + 1) - 1):
+            yield []
+        done = int(row.get("r") or done + 1)
         cells: list = []
         for c in row.iter(f"{MAIN}c"):
             at = _column(c.get("r")) if c.get("r") else len(cells)
@@ -77,8 +113,18 @@ def cells_of(data: bytes, sheet: str) -> list[list[str | float | datetime | bool
                 cells[at] = datetime(1899, 12, 30) + timedelta(days=float(raw))
             else:
                 cells[at] = float(raw)
-        out.append(cells)
-    return out
+        yield cells
+
+
+def cells_of(data: bytes, sheet: str) -> list[list[str | float | datetime | bool | None]]:
+    """All rows of a sheet."""
+    with open_book(data) as book:
+        return list(rows_of(book, sheet))
+
+
+def header_of(cells: list) -> list[str]:
+    """Column names; one without a name is called by its place."""
+    return [str(_text(h) or f"...{i + 1}") for i, h in enumerate(cells)]
 
 
 def _text(value) -> str | None:
@@ -116,8 +162,11 @@ def read_sheet(spark: SparkSession, path: str, sheet: str, schema: T.StructType
     """
     source = spark.read.format("binaryFile").load(path).select("content")
     if schema is None:
-        rows = cells_of(bytes(source.first()[0]), sheet)
-        header = [str(_text(h) or f"...{i + 1}") for i, h in enumerate(rows[0])] if rows else []
+        found = source.limit(2).collect()
+        if len(found) != 1:
+            raise ValueError(f"{path} is not one workbook: state a schema, or use read_workbooks()")
+        rows = cells_of(bytes(found[0][0]), sheet)
+        header = header_of(rows[0]) if rows else []
         kinds = [_kind([r[i] if i < len(r) else None for r in rows[1:]]) for i in range(len(header))]
     else:
         header = [f.name for f in schema]

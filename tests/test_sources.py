@@ -1,9 +1,10 @@
 import zipfile
 
 import pytest
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 
-from fieldsieve.sources import excel, files, resolver, tables
+from fieldsieve.operators import ingest
+from fieldsieve.sources import excel, files, resolver, tables, workbooks
 from fieldsieve.sources.catalog import Catalog
 
 STRUCTURE = "﻿protocol,table_id,level,column_name,data_type\nP,t-v1,2,site,STRING\nP,t-v1,2,2.5,INT\nP,t-v1,2,block,TINYINT\nP,t-v1,2,date,DATE\nP,t-v1,2,clock,TIME\nP,t-v1,2,timestamp_utc,STRING\nP,t-v1,2,depth,DOUBLE\nP,u-v1,2,x,INT64\n"
@@ -66,7 +67,7 @@ def workbook(path, sheets):
         z.writestr("xl/styles.xml", f'<styleSheet {main}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
         for i, rows in enumerate(sheets.values()):
             body = "".join(f'<row r="{k + 1}">' + "".join(cell(f"{chr(65 + j)}{k + 1}", v) for j, v in enumerate(r)) + "</row>" for k, r in enumerate(rows))
-            z.writestr(f"xl/worksheets/s{i}.xml", f"<worksheet {main}><sheetData>{body}</sheetData></worksheet>")
+            z.writestr(f"xl/worksheets/s{i}.xml", f'<worksheet {main}><dimension ref="A1:Z{len(rows)}"/>' + f"<sheetData>{body}</sheetData></worksheet>")
 
 
 def test_workbooks(spark, tmp_path):
@@ -84,6 +85,37 @@ def test_workbooks(spark, tmp_path):
         excel.read_sheet(spark, path, "NONE")
 
 
+def test_many_workbooks(spark, tmp_path):
+    """Seventeen files in one read: headers in any order, types merged, rows by ranges, each with its own file."""
+    for i in range(17):
+        names = ["Method", "Total", "Site No.", "P-Qs", *["Extra"] * (i == 4)]
+        names = names[i % 4 :] + names[: i % 4]
+        row = lambda k: {"Method": "0, 1, 2" if k == 3 else k % 3, "Total": 0 if k > 7 + i % 2 else k + 1, "Site No.": f"S{i}" if i else i, "P-Qs": (45293 + k,), "Extra": k}  # noqa: B023, E731
+        workbook(str(tmp_path / f"f{i:02d}.xlsx"), {"DATA": [names, *[[row(k)[n] for n in names] for k in range(12)]]})
+    df = workbooks.read_workbooks(spark, str(tmp_path / "*.xlsx"), "DATA", rows=5)
+    assert df.columns == ["Method", "Total", "Site No.", "P-Qs", "Extra", "rowid", "input_filename"]
+    kinds = dict(df.dtypes)
+    assert (kinds["Total"], kinds["Site No."], kinds["P-Qs"], kinds["Extra"]) == ("double", "string", "timestamp_ntz", "double")
+    rows = df.orderBy("input_filename", "rowid").collect()
+    assert [(r["input_filename"], r["rowid"]) for r in rows] == [(f"f{i:02d}.xlsx", k + 1) for i in range(17) for k in range(12)]
+    assert all(r["Site No."] == ("0" if r["input_filename"] == "f00.xlsx" else f"S{int(r['input_filename'][1:3])}") for r in rows)
+    assert {r["input_filename"] for r in rows if r["Extra"] is not None} == {"f04.xlsx"}
+    assert df.rdd.getNumPartitions() == 17 * 3
+    with pytest.raises(ValueError, match="one workbook"):
+        excel.read_sheet(spark, str(tmp_path / "*.xlsx"), "DATA")
+    out = ingest.ingest(df.drop("Extra"), ingest.SPECS["reef-survey-plain"], F.col("input_filename"))
+    left = {r["input_filename"]: r["n"] for r in out.groupBy("input_filename").agg(F.count("*").alias("n")).collect()}
+    assert left == {f"f{i:02d}.xlsx": 7 + i % 2 for i in range(17)}  # zeros at the end of each file are gone, and its repeated header
+    seagrass = tmp_path / "s"
+    seagrass.mkdir()
+    for i in range(2):
+        workbook(str(seagrass / f"s{i}.xlsx"), {"D": [["ID", "Transect ID", "Shoots Count"], [1, f"T{i}", 3], [2, None, None]]})
+    loaded = workbooks.load_workbooks(spark, str(seagrass / "*.xlsx"), "shoot-count-monitoring-v1", "D")
+    assert sorted((r["transect"], r["input_filename"]) for r in loaded.collect()) == [("T0", "s0.xlsx"), ("T1", "s1.xlsx")]
+    with pytest.raises(Exception, match="no sheet"):
+        workbooks.read_workbooks(spark, str(seagrass / "*.xlsx"), "NONE")
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "p1/x").mkdir(parents=True)
     (tmp_path / "p1/x/a.R").write_text("\n".join(map(str, range(15))))
