@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+import uuid
 import warnings
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from fieldsieve.functions.nulls import qcol, require_columns, to_number
 from fieldsieve.functions.text import base_name, canonical_names
@@ -34,12 +35,21 @@ def trim_trailing_zeros(df: DataFrame, total: str = "Total", rowid: str = "rowid
 
     per: a column that tells files apart, each of which has an end of its own.
     """
+    return _up_to(df, _last_rows(df, total, rowid, per), rowid, per)
+
+
+def _last_rows(df: DataFrame, total: str, rowid: str, per: str | None) -> DataFrame:
+    """The last row whose total is not 0, of the table or of each file."""
     last = F.max(F.when(qcol(total).isNull() | (to_number(qcol(total).cast("string")) != 0), qcol(rowid))).alias("__last")
+    return df.groupBy(qcol(per).alias("__file")).agg(last) if per else df.agg(last)
+
+
+def _up_to(df: DataFrame, last: DataFrame, rowid: str, per: str | None) -> DataFrame:
+    """The rows up to the last; all rows where there is none."""
+    inside = F.col("__last").isNull() | (qcol(rowid) <= F.col("__last"))
     if per:
-        ends = df.groupBy(qcol(per).alias("__file")).agg(last)  # a row for each file
-        return df.join(ends, qcol(per).eqNullSafe(F.col("__file")), "left").where(F.col("__last").isNull() | (qcol(rowid) <= F.col("__last"))).drop("__last", "__file")
-    last = df.agg(last)
-    return df.join(F.broadcast(last), F.col("__last").isNull() | (qcol(rowid) <= F.col("__last"))).drop("__last")
+        return df.join(last, qcol(per).eqNullSafe(F.col("__file")), "left").where(inside).drop("__last", "__file")
+    return df.join(F.broadcast(last), inside).drop("__last")  # one row
 
 
 def rename_lenient(df: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -145,29 +155,73 @@ def family_of(table: str) -> str:
     return FAMILIES[table]
 
 
-def load(df: DataFrame, table: str, filename: str | Column, ids: DataFrame | None = None, classes: DataFrame | None = None) -> DataFrame:
-    """A typed sheet with a row number as the table of this id. Runs a job to warn if nothing is left.
+class Steps:
+    """How many rows each step of an ingest let through, observed in the job that reads the result: no scan of its own.
+
+    removed() is there once an action on the ingested table has ended; before that it waits. The action
+    must read each row once, as a write does: a sort by ranges samples its rows first and counts them twice.
+    """
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.counts: list[Observation] = []
+
+    def watch(self, df: DataFrame, name: str) -> DataFrame:
+        self.names.append(name)
+        self.counts.append(Observation(f"{name}-{uuid.uuid4().hex}"))
+        return df.observe(self.counts[-1], F.count(F.lit(1)).alias("rows"))
+
+    def rows(self) -> list[tuple[str, int]]:
+        """(step, rows after it)."""
+        return [(n, o.get["rows"]) for n, o in zip(self.names, self.counts, strict=True)]
+
+    def removed(self) -> list[tuple[str, int]]:
+        """(step, rows that it removed), in order."""
+        rows = self.rows()
+        return [(name, before - after) for (_, before), (name, after) in zip(rows, rows[1:], strict=False)]
+
+
+def load(df: DataFrame, table: str, filename: str | Column, ids: DataFrame | None = None, classes: DataFrame | None = None, steps: Steps | None = None) -> DataFrame:
+    """A typed sheet with a row number as the table of this id.
 
     filename: the file that all rows are from, or the column input_filename, which names it for each row.
+    steps: told how many rows each step removes, by the job that reads the result. Without it a job
+    is run to warn if nothing is left.
     """
-    out = ingest(df, SPECS[family_of(table)], filename, ids=ids, classes=classes)
-    if out.isEmpty():
-        warnings.warn(f"{os.path.basename(filename) if isinstance(filename, str) else "the sheet"} has no rows for {table}", stacklevel=2)
+    out = ingest(df, SPECS[family_of(table)], filename, ids=ids, classes=classes, steps=steps)
+    if steps is None and out.isEmpty():
+        warnings.warn(f"{os.path.basename(filename) if isinstance(filename, str) else 'the sheet'} has no rows for {table}", stacklevel=2)
     return out
 
 
-def ingest(df: DataFrame, spec: Spec, filename: str | Column, rowid: str = "rowid", ids: DataFrame | None = None, classes: DataFrame | None = None) -> DataFrame:
+def load_counted(df: DataFrame, table: str, filename: str | Column, path: str, ids: DataFrame | None = None, classes: DataFrame | None = None) -> list[tuple[str, int]]:
+    """Loads a sheet and writes the table as Parquet, in one job that also counts what each step removed; returns (step, rows removed)."""
+    steps = Steps()
+    out = load(df, table, filename, ids, classes, steps)
+    out.write.parquet(path)
+    if steps.rows() and steps.rows()[-1][1] == 0:
+        warnings.warn(f"no rows are left for {table}", stacklevel=2)
+    return steps.removed()
+
+
+def ingest(df: DataFrame, spec: Spec, filename: str | Column, rowid: str = "rowid", ids: DataFrame | None = None, classes: DataFrame | None = None, steps: Steps | None = None) -> DataFrame:
     """A typed sheet with a row number as a table with canonical names and the column input_filename."""
     require_columns(df, [*spec.required, rowid])
     if spec.taxonomy and (ids is None or classes is None):
         raise ValueError("this table needs the taxonomy: ids and classes")
+    watch = steps.watch if steps else lambda df, name: df
+    trimmed = None
+    if spec.trim_column:  # the end of the data is found in rows that nothing watches, so that no row counts twice
+        ends = drop_header_rows(df, spec.header_column) if spec.header_column else df
+        trimmed = _last_rows(ends, spec.trim_column, rowid, None if isinstance(filename, str) else LINEAGE)
+    df = watch(df, "sheet")
     if any(c in df.columns for c in spec.drop):
         values = [qcol(c) for c in df.columns if c not in (*spec.drop, rowid, LINEAGE)]
-        df = df.drop(*spec.drop).where(~_all_null(values))
+        df = watch(df.drop(*spec.drop).where(~_all_null(values)), "empty_rows")
     if spec.header_column:
-        df = drop_header_rows(df, spec.header_column)
-    if spec.trim_column:
-        df = trim_trailing_zeros(df, spec.trim_column, rowid, None if isinstance(filename, str) else LINEAGE)
+        df = watch(drop_header_rows(df, spec.header_column), "header_rows")
+    if trimmed is not None:
+        df = watch(_up_to(df, trimmed, rowid, None if isinstance(filename, str) else LINEAGE), "trailing_zeros")
     df = rename_strict(rename_lenient(df, spec.rename), spec.strict_rename)
     df = df.withColumns({c: to_number(qcol(c).cast("string")) for c in spec.numbers})
     if spec.taxonomy:

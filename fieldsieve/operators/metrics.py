@@ -24,12 +24,24 @@ def abundance_richness(df: DataFrame, keys: list[str], counts: list[str], taxon:
     return df.groupBy(*[qcol(k) for k in keys]).agg(sum_na(row_sum(df, counts)).alias("abundance"), count_distinct_na(qcol(taxon)).alias("richness"))
 
 
-def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column_name, type, n_values, n_null, n_unique) of each column from one aggregation; null is one of the unique values."""
+def column_profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
+    """(column_name, type, n_values, n_null, n_unique) of each column; null is one of the unique values.
+
+    Values travel once, as (column, value) pairs that are counted before and after the shuffle, however
+    many columns there are. exact False: unique values by a sketch, and one row is all that travels.
+    """
     columns = columns or df.columns
     kinds = dict(df.dtypes)
-    stats = [F.struct(F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("type"), F.count(qcol(c)).alias("n_values"), F.count_if(qcol(c).isNull()).alias("n_null"), count_distinct_na(qcol(c)).alias("n_unique")) for c in columns]
-    return df.agg(F.array(*stats).alias("a")).select(F.inline("a"))
+    if not exact:
+        stats = [F.struct(F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("type"), F.count(qcol(c)).alias("n_values"), F.count_if(qcol(c).isNull()).alias("n_null"), (F.approx_count_distinct(qcol(c)) + F.coalesce(F.max(qcol(c).isNull().cast("long")), F.lit(0))).alias("n_unique")) for c in columns]
+        return df.agg(F.array(*stats).alias("a")).select(F.inline("a"))
+    value = lambda c: F.when(qcol(c) == 0, F.lit("0")).otherwise(qcol(c).cast("string")) if kinds[c] in ("double", "float") else qcol(c).cast("string")  # noqa: E731  -0.0 is 0.0
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), value(c).alias("v")) for i, c in enumerate(columns)])).alias("p")).select("p.i", "p.v")
+    each = pairs.groupBy("i", "v").agg(F.count("*").alias("n"))
+    found = each.groupBy("i").agg(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))).alias("n_values"), F.sum(F.when(F.col("v").isNull(), F.col("n"))).alias("n_null"), F.count("*").alias("n_unique"))
+    names = df.sparkSession.createDataFrame([(i, c, kinds[c]) for i, c in enumerate(columns)], "i int, column_name string, type string")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_values", "n_null", "n_unique")]
+    return names.join(found, "i", "left").select("column_name", "type", *counts)
 
 
 def column_minmax(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -39,12 +51,24 @@ def column_minmax(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def conformance(df: DataFrame, expected: list[tuple[str, str]]) -> DataFrame:
-    """(column_name, expected_type, found_type, status) for the columns that are expected or there."""
+    """(column_name, expected_type, found_type, status, n_failing) for the columns that are expected or there, in one pass.
+
+    n_failing: values of a column of another type that are no value of the expected one; null where a column is missing or not expected.
+    """
     found = dict(df.dtypes)
     names = [n for n, _ in expected]
-    rows = [(n, t, found.get(n), "missing" if n not in found else "ok" if found[n] == t else "type differs") for n, t in expected]
-    rows += [(n, None, t, "unexpected") for n, t in df.dtypes if n not in names]
-    return df.sparkSession.createDataFrame(rows, "column_name string, expected_type string, found_type string, status string")
+
+    def fails(name: str, kind: str) -> Column:
+        if kind == found[name]:
+            return F.lit(0).cast("long")
+        cast = qcol(name).try_cast(kind)
+        lost = (cast.cast("double") != qcol(name)) if found[name] in ("double", "float") and kind in ("int", "bigint", "smallint") else F.lit(False)
+        return F.count_if(qcol(name).isNotNull() & (cast.isNull() | lost))
+
+    row = lambda n, e, f, s, k: F.struct(F.lit(n).alias("column_name"), F.lit(e).cast("string").alias("expected_type"), F.lit(f).cast("string").alias("found_type"), F.lit(s).alias("status"), k.cast("long").alias("n_failing"))
+    rows = [row(n, t, found.get(n), "missing" if n not in found else "ok" if found[n] == t else "type differs", fails(n, t) if n in found else F.lit(None)) for n, t in expected]
+    rows += [row(n, None, t, "unexpected", F.lit(None)) for n, t in df.dtypes if n not in names]
+    return df.agg(F.array(*rows).alias("a")).select(F.inline("a"))
 
 
 def first_seen(df: DataFrame, value: str, order: str) -> DataFrame:

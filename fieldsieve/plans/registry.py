@@ -10,6 +10,7 @@ from fieldsieve.functions import nulls as N, text as X
 from fieldsieve.operators import events as E, ingest as I, joins as J, metrics as M, quality as Q, wrangle as W
 from fieldsieve.operators.rowid import with_rowid
 from fieldsieve.plans.data import META, SIZES, read, survey, survey_sql
+from fieldsieve.sources import catalog as C
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -314,9 +315,10 @@ def column_minmax(spark, d):
     return M.column_minmax(read(spark, d, "lineitem"), ["l_quantity", "l_linenumber", "l_orderkey"])
 
 
-@query("SELECT * FROM (VALUES ('event_id', 'bigint', 'bigint', 'ok'), ('value', 'int', 'double', 'type differs'), ('depth', 'double', NULL, 'missing'), ('kind', NULL, 'string', 'unexpected')) AS t(column_name, expected_type, found_type, status)")
+@query(EVENTS + """ SELECT * FROM (SELECT 'event_id' AS column_name, 'bigint' AS expected_type, 'bigint' AS found_type, 'ok' AS status, 0 AS n_failing UNION ALL SELECT 'value', 'int', 'double', 'type differs', (SELECT count(*) FROM e WHERE value IS NOT NULL AND (try_cast(trunc(value) AS INTEGER) IS NULL OR trunc(value) <> value))
+UNION ALL SELECT 'kind', 'double', 'string', 'type differs', (SELECT count(*) FROM e WHERE kind IS NOT NULL AND try_cast(kind AS DOUBLE) IS NULL) UNION ALL SELECT 'depth', 'double', NULL, 'missing', NULL) AS t""")
 def schema_conformance(spark, d):
-    return M.conformance(_events(spark, d), [("event_id", "bigint"), ("value", "int"), ("depth", "double")])
+    return M.conformance(_events(spark, d), [("event_id", "bigint"), ("value", "int"), ("kind", "double"), ("depth", "double")])
 
 
 @query("SELECT o_orderkey, concat_ws('_', coalesce(CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus END, 'NA'), 'RLS', CAST(CAST(o_orderdate AS DATE) AS VARCHAR), coalesce(printf('%.15g', CASE WHEN o_custkey % 9 <> 0 THEN CAST(o_custkey AS DOUBLE) / 8 END), 'NA')) AS sample_event_id FROM orders")
@@ -356,11 +358,41 @@ def drop_empty_rows(spark, d):
     return I.drop_empty_rows(read(spark, d, "events").select(F.when(F.col("event_id") % 6 != 0, F.col("event_id")).alias("event_id"), F.when(F.col("event_id") % 4 != 0, F.col("event_type")).alias("kind")))
 
 
-@query("SELECT DISTINCT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey IN (SELECT n_regionkey FROM nation WHERE n_name LIKE '%A')")
+RELATED = """edges AS (
+  SELECT r_name AS i, n_name AS o FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION SELECT n_name, concat(n_name, '/', c_mktsegment) FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION SELECT concat(n_name, '/', c_mktsegment), concat(c_mktsegment, '/', o_orderpriority) FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  UNION SELECT concat(c_mktsegment, '/', o_orderpriority), c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey
+), structure AS (
+  SELECT DISTINCT n_name AS t, p_brand AS c FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+  UNION SELECT DISTINCT concat(c_mktsegment, '/', o_orderpriority), o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey
+)"""
+
+
+def _catalog(spark, d) -> C.CatalogTables:
+    """The driver's tables as a catalog: regions lead to nations, these to their segments, these to priorities, these to segments again."""
+    nation, customer, orders = read(spark, d, "nation"), read(spark, d, "customer"), read(spark, d, "orders")
+    customers = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    ordered = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    segment, priority = F.concat_ws("/", "n_name", "c_mktsegment"), F.concat_ws("/", "c_mktsegment", "o_orderpriority")
+    edge = lambda df, a, b: df.select(a.alias("table_id_in"), b.alias("table_id_out"))
+    regions = nation.join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    relations = edge(regions, F.col("r_name"), F.col("n_name")).union(edge(customers, F.col("n_name"), segment)).union(edge(ordered, segment, priority)).union(edge(ordered, priority, F.col("c_mktsegment")))
+    lines = read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(read(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    column = lambda df, t, c: df.select(t.alias("table_id"), F.col(c).alias("column_name"), F.lit("STRING").alias("data_type")).distinct()
+    structure = column(lines, F.col("n_name"), "p_brand").union(column(ordered, priority, "o_orderstatus"))
+    return C.CatalogTables(nation.select(F.col("n_name").alias("table_id")), relations, structure)
+
+
+@query(f"""WITH RECURSIVE {RELATED}, walk(i, o, k) AS (SELECT i, o, 1 FROM edges UNION SELECT w.i, e.o, w.k + 1 FROM walk w JOIN edges e ON e.i = w.o WHERE w.k < 10)
+SELECT i AS table_id_in, o AS table_id_out, CAST(min(k) AS INTEGER) AS steps, any_value(coalesce(n, 0)) AS n_columns FROM walk LEFT JOIN (SELECT t, count(*) AS n FROM structure GROUP BY t) ON t = o GROUP BY i, o""")
 def catalog_resolve(spark, d):
-    nation, region = read(spark, d, "nation"), read(spark, d, "region")
-    wanted = J.semi_on(region, nation.where("n_name LIKE '%A'"), "r_regionkey", "n_regionkey")
-    return nation.join(wanted, F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name").distinct()
+    return _catalog(spark, d).resolved()
+
+
+@query(f"WITH {RELATED} SELECT DISTINCT t AS table_id, 'not_in_index' AS gap FROM structure WHERE t NOT IN (SELECT n_name FROM nation) UNION ALL SELECT DISTINCT o, 'without_structure' FROM edges WHERE o NOT IN (SELECT t FROM structure)")
+def catalog_gaps(spark, d):
+    return _catalog(spark, d).gaps()
 
 
 @query("SELECT split_part(url, '/', 3) AS folder, string_agg(CAST(page_id AS VARCHAR), ', ' ORDER BY page_id) AS page_id FROM pages GROUP BY 1")
@@ -428,6 +460,24 @@ def ingest_reef(spark, d):
     return I.load(sheet, "reef-life-survey-data-v1", "/x/reef.xlsx", _ids(spark, d), _classes(spark, d))
 
 
+SHEET = """SELECT o_orderkey AS rowid, CASE WHEN o_custkey % 5 = 0 THEN 0 WHEN o_orderkey > (SELECT max(o_orderkey) FROM orders) - 300 THEN 0 ELSE o_totalprice END AS total, CASE WHEN o_custkey % 50 = 1 THEN '0, 1, 2' WHEN o_custkey % 49 <> 0 THEN CAST(o_custkey % 3 AS VARCHAR) END AS method FROM orders"""
+
+
+@query(f"""WITH s AS ({SHEET}), h AS (SELECT * FROM s WHERE method <> '0, 1, 2')
+SELECT 'header_rows' AS step, (SELECT count(*) FROM s) - (SELECT count(*) FROM h) AS removed UNION ALL SELECT 'trailing_zeros', (SELECT count(*) FROM h WHERE rowid > (SELECT max(rowid) FROM h WHERE total <> 0))""")
+def ingest_removed_rows(spark, d):
+    """What each step of an ingest removed, from the job that writes the table."""
+    orders = read(spark, d, "orders")
+    last = orders.agg(F.max("o_orderkey").alias("last"))
+    key = F.col("o_custkey")
+    total = F.when(key % 5 == 0, 0).when(F.col("o_orderkey") > F.col("last") - 300, 0).otherwise(F.col("o_totalprice"))
+    method = F.when(key % 50 == 1, I.HEADER_MARK).when(key % 49 != 0, (key % 3).cast("string"))
+    sheet = orders.crossJoin(F.broadcast(last)).select(F.col("o_orderkey").alias("rowid"), total.alias("Total"), method.alias("Method"), F.lit("S").alias("Site No."), F.lit(None).cast("string").alias("P-Qs"))
+    steps = I.Steps()
+    I.ingest(sheet, I.SPECS["reef-survey-plain"], "reef.xlsx", steps=steps).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame(steps.removed(), "step string, removed long")
+
+
 @query("SELECT event_type, event_id, CAST(user_id AS VARCHAR) AS who, 'e.xlsx' AS input_filename FROM events")
 def column_plumbing(spark, d):
     e = I.select_strict(read(spark, d, "events"), ["event_id", "user_id", "event_type", "value"])

@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from functools import cached_property
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from fieldsieve.sources.scratch import written
 from fieldsieve.sources.tables import read_typed
 
 #: The types a catalog may state. TINYINT is unsigned, so it needs a short; TIME stays text.
@@ -24,6 +25,8 @@ TYPES: dict[str, T.DataType] = {
     "TINYINT": T.ShortType(),
     "TIME": T.StringType(),
 }
+#: The three tables of a catalog.
+PARTS = ("index", "relations", "structure")
 #: Columns whose names decide their type.
 BY_NAME = {"timestamp_utc": "TIMESTAMP UTC", "timestamp_local": "STRING"}
 
@@ -99,3 +102,67 @@ class Catalog:
         """Tables of the structure that the index lacks, and tables that relations lead to without a structure."""
         typed, listed = {r["table_id"] for r in self.structure}, {r["table_id"] for r in self.index}
         return {"not_in_index": sorted(map(str, typed - listed)), "without_structure": sorted({str(r["table_id_out"]) for r in self.relations if r["table_id_out"] not in typed})}
+
+
+@dataclass(frozen=True)
+class CatalogTables:
+    """A catalog as tables in Spark: index (table_id, ...), relations (table_id_in, table_id_out), structure (table_id, column_name, data_type)."""
+
+    index: DataFrame
+    relations: DataFrame
+    structure: DataFrame
+
+    @classmethod
+    def of(cls, spark: SparkSession, catalog: Catalog) -> CatalogTables:
+        return cls(*(catalog.frame(spark, n) for n in PARTS))
+
+    @classmethod
+    def described(cls, tables: dict[str, DataFrame], relations: DataFrame) -> CatalogTables:
+        """The catalog of tables that are there, its structure being their schemas."""
+        kinds = {kind: name for name, kind in reversed(TYPES.items())}
+        rows = [(t, f.name, kinds.get(f.dataType, f.dataType.simpleString().upper())) for t, df in tables.items() for f in df.schema]
+        spark = relations.sparkSession
+        return cls(spark.createDataFrame([(t,) for t in tables], "table_id string"), relations, spark.createDataFrame(rows, "table_id string, column_name string, data_type string"))
+
+    def save(self, folder: str, mode: str = "errorifexists") -> None:
+        """Keeps the three tables in a folder, from which load() has them without their files."""
+        for n in PARTS:
+            getattr(self, n).write.mode(mode).parquet(f"{folder.rstrip('/')}/{n}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> CatalogTables:
+        return cls(*(spark.read.parquet(f"{folder.rstrip('/')}/{n}") for n in PARTS))
+
+    def register(self, prefix: str = "catalog_") -> None:
+        """The three tables as views, for SQL."""
+        for n in PARTS:
+            getattr(self, n).createOrReplaceTempView(prefix + n)
+
+    def outputs(self, most: int = 100) -> DataFrame:
+        """(table_id_in, table_id_out, steps) of all tables that come of a table, directly or through others, by the fewest steps.
+
+        Each round joins what the last one reached with the relations and drops what is known, so
+        cycles end; a round's rows are a written table. Over `most` rounds raise an error.
+        """
+        edges = written(self.relations.where("table_id_in IS NOT NULL AND table_id_out IS NOT NULL").select("table_id_in", "table_id_out").distinct(), "relations")
+        step = edges.select(F.col("table_id_in").alias("__via"), F.col("table_id_out").alias("__next"))
+        found = last = edges.withColumn("steps", F.lit(1))
+        for n in range(2, most + 2):
+            reached = last.join(step, F.col("table_id_out") == F.col("__via")).select("table_id_in", F.col("__next").alias("table_id_out")).distinct()
+            last = written(reached.join(found, ["table_id_in", "table_id_out"], "left_anti").withColumn("steps", F.lit(n)), "reached")
+            if last.isEmpty():
+                return found
+            found = found.unionByName(last)
+        raise RuntimeError(f"tables are derived through more than {most} others")
+
+    def resolved(self) -> DataFrame:
+        """outputs() with n_columns, how many columns the catalog has for the table that comes out; 0 where it lacks its structure."""
+        columns = self.structure.groupBy(F.col("table_id").alias("table_id_out")).agg(F.count("*").alias("n_columns"))
+        out = self.outputs().join(columns, "table_id_out", "left")
+        return out.select("table_id_in", "table_id_out", "steps", F.coalesce("n_columns", F.lit(0)).alias("n_columns"))
+
+    def gaps(self) -> DataFrame:
+        """(table_id, gap): tables of the structure that the index lacks, and tables that relations lead to without a structure."""
+        typed, listed = self.structure.select("table_id").distinct(), self.index.select("table_id").distinct()
+        led = self.relations.select(F.col("table_id_out").alias("table_id")).where("table_id IS NOT NULL").distinct()
+        return typed.join(listed, "table_id", "left_anti").withColumn("gap", F.lit("not_in_index")).union(led.join(typed, "table_id", "left_anti").withColumn("gap", F.lit("without_structure")))

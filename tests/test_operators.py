@@ -181,3 +181,25 @@ def test_registered_transforms(spark):
     assert [r["sample_event_id"] for r in W.apply(df, "event_id").collect()] == ["S1_RLS_2024-01-02_3", "NA_RLS_NA_4.5"]
     df = spark.createDataFrame([("e", "5", "N", None, "1"), ("e", "BLANK", None, "10:00", None)], "sample_event_id string, vis string, direction string, time string, photoquadrats string")
     assert {r["vis"] for r in W.apply(df, "fill_metadata").collect()} == {"5"}
+
+
+def test_steps_are_counted_by_the_job_itself(spark, tmp_path):
+    rows = [(1, "1", 5.0), (2, "0, 1, 2", 0.0), (3, None, 3.0), (4, "2", 7.0), (5, "1", 0.0), (6, "1", 0.0)]
+    sheet = spark.createDataFrame([(*r, "S", "p") for r in rows], "rowid long, Method string, Total double, `Site No.` string, `P-Qs` string")
+    steps = I.Steps()
+    out = I.ingest(sheet, I.SPECS["reef-survey-plain"], "a.xlsx", steps=steps)
+    assert sorted(r["rowid"] for r in out.collect()) == [1, 4]
+    assert steps.removed() == [("header_rows", 2), ("trailing_zeros", 2)]
+    seagrass = spark.createDataFrame([(1, 7, "T1"), (2, 8, None)], "rowid long, ID int, `Transect ID` string")
+    assert I.load_counted(seagrass, "shoot-count-monitoring-v1", "s.xlsx", str(tmp_path / "t")) == [("empty_rows", 1)]
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1
+    assert I.removed_rows(sheet, out) == 4
+
+
+def test_profile_by_a_sketch(spark):
+    df = spark.createDataFrame([(i % 50, None if i % 3 else float(i % 7), 0.0 if i % 2 else -0.0) for i in range(600)], "a int, b double, z double")
+    exact, rough = ({r["column_name"]: tuple(r)[2:] for r in M.column_profile(df, exact=e).collect()} for e in (True, False))
+    assert exact == {"a": (600, 0, 50), "b": (200, 400, 8), "z": (600, 0, 1)}
+    assert all(abs(exact[c][2] - rough[c][2]) <= 0.1 * exact[c][2] + 1 and exact[c][:2] == rough[c][:2] for c in exact)
+    assert M.column_profile(df)._jdf.queryExecution().executedPlan().toString().count("Expand") == 0
+    assert {r["column_name"]: r["n_failing"] for r in M.conformance(df, [("a", "string"), ("b", "int"), ("q", "int")]).collect()} == {"a": 0, "b": 0, "q": None, "z": None}

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F, types as T
 
 from fieldsieve.operators import ingest
 from fieldsieve.sources import excel, files, resolver, tables, workbooks
-from fieldsieve.sources.catalog import Catalog
+from fieldsieve.sources.catalog import Catalog, CatalogTables
 
 STRUCTURE = "﻿protocol,table_id,level,column_name,data_type\nP,t-v1,2,site,STRING\nP,t-v1,2,2.5,INT\nP,t-v1,2,block,TINYINT\nP,t-v1,2,date,DATE\nP,t-v1,2,clock,TIME\nP,t-v1,2,timestamp_utc,STRING\nP,t-v1,2,depth,DOUBLE\nP,u-v1,2,x,INT64\n"
 INDEX = "protocol,level,table_name,table_id,directory,script_directory,location\nP,2,T,t-v1,data/t-v1,,github\nP,2,V,v-v1,,,\n"
@@ -39,6 +39,25 @@ def test_catalog(spark, catalog, tmp_path, monkeypatch):
     assert all(v is None for v in rows[None])
 
 
+def test_catalog_tables(spark, catalog, tmp_path):
+    """Kept in a folder and read back; derived tables through others, cycles included; gaps."""
+    tables = CatalogTables.of(spark, catalog)
+    tables.save(str(tmp_path / "kept"))
+    back = CatalogTables.load(spark, str(tmp_path / "kept"))
+    assert sorted(map(tuple, back.structure.collect())) == sorted(map(tuple, tables.structure.collect()))
+    assert sorted(map(tuple, back.gaps().collect())) == [("u-v1", "not_in_index"), ("w-v1", "without_structure")]
+    assert sorted(map(tuple, back.resolved().collect())) == [("in", "t-v1", 1, 7), ("in", "w-v1", 1, 0)]
+    back.register("own_")
+    assert spark.sql("SELECT count(*) AS n FROM own_structure WHERE table_id = 't-v1'").first()["n"] == 7
+    chain = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("a", "c"), (None, "x"), ("x", None), ("a", "b")], "table_id_in string, table_id_out string")
+    made = CatalogTables.described({"d": spark.range(1), "z": spark.range(1).selectExpr("id", "current_date() AS day")}, chain)
+    found = {(r["table_id_in"], r["table_id_out"]): (r["steps"], r["n_columns"]) for r in made.resolved().collect()}
+    assert found[("a", "d")] == (2, 1) and found[("a", "a")] == (2, 0) and found[("b", "b")] == (3, 0) and len(found) == 12
+    assert sorted(tuple(r) for r in made.structure.where("table_id = 'z'").collect()) == [("z", "day", "DATE"), ("z", "id", "INT64")]
+    with pytest.raises(RuntimeError, match="more than 2"):
+        made.outputs(2)
+
+
 def test_csv_out(spark, tmp_path):
     df = tables.literal(spark, [(1, "a")], "x int, y string")
     tables.write_csv(df, str(tmp_path / "o"), ["y", "x"])
