@@ -6,6 +6,9 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -38,22 +41,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/fieldsieve-{name}-{uuid.uuid4().hex}"
 
 
-#: Tables that cut() has written since the last release().
-_WRITTEN: list[str] = []
+#: Where cut() notes what it writes, while a caller owns it.
+_OWNED: ContextVar[list[str] | None] = ContextVar("owned", default=None)
+
+
+@contextmanager
+def owned() -> Iterator[list[str]]:
+    """The folders of the tables that cut() writes inside, in this thread: the caller's, to drop() once all that came of them is written."""
+    paths: list[str] = []
+    before = _OWNED.set(paths)
+    try:
+        yield paths
+    finally:
+        _OWNED.reset(before)
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """df as a written table in the shared folder: lineage ends here, and lost executors lose nothing."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    if (paths := _OWNED.get()) is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all tables that cut() wrote so far. What came of them must have been written or collected before."""
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables by their folders, which owned() gave; those that are gone already don't matter."""
+    for folder in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -64,3 +79,7 @@ def discard(df: DataFrame) -> None:
         if "/fieldsieve-" in folder:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Nothing: tables have owners, see owned()."""
