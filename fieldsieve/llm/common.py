@@ -79,7 +79,3 @@ def discard(df: DataFrame) -> None:
         if "/fieldsieve-" in folder:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Nothing: tables have owners, see owned()."""
