@@ -26,6 +26,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -35,7 +36,7 @@ from .files import file_name, new_folder, put
 from .tokens import Encoder, byte_letters, slices_of, vocabulary
 
 #: Characters encoded at once, distinct pairs that a task holds before it sends them, and pairs of a shard file.
-SLICE, MOST_KEYS, SHARD = 2_000_000, 1 << 20, 1 << 22
+SLICE, MOST_KEYS, SHARD = 1_000_000, 1 << 20, 1 << 22
 #: Bytes of A's ids whose links are held at once.
 HELD = 500_000
 SPACE_MARK = "▁"
@@ -92,6 +93,7 @@ class Aligner:
         for name, i in names.items():
             table[i] = bytes(letters[c] for c in name) if all(c in letters for c in name) else name.encode()
         self.bytes_a, self.bytes_b = table, self.b.bytes_of()
+        self.arrays = [pa.array(t, pa.large_binary()) for t in (self.bytes_a, self.bytes_b)]
 
     def __call__(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
         """The ids of each text by A and by B, packed as integers; none where they do not stand for its bytes."""
@@ -100,17 +102,17 @@ class Aligner:
         ids_a, at_a = self.a(whole)
         ids_b, at_b = self.b(whole)
         same = np.array([len(x) > 0 for x in body])
-        for ids, at, table in ((ids_a, at_a, self.bytes_a), (ids_b, at_b, self.bytes_b)):
-            lengths = np.array([len(x) for x in table], np.int64)[ids]
-            ends = np.concatenate([[0], np.cumsum(lengths)])[at]
-            made = b"".join(map(table.__getitem__, ids.tolist()))
-            same &= np.fromiter((made[x:y] == z for x, y, z in zip(ends[:-1], ends[1:], body, strict=True)), bool, len(body))
+        for ids, at, table in ((ids_a, at_a, self.arrays[0]), (ids_b, at_b, self.arrays[1])):
+            made = table.take(pa.array(ids))
+            ends = made.buffers()[1] and np.frombuffer(made.buffers()[1], np.int64, len(ids) + 1)[at]
+            data = made.buffers()[2].to_pybytes() if len(ids) else b""
+            if data != b"".join(body):
+                same &= np.fromiter((data[x:y] == z for x, y, z in zip(ends[:-1], ends[1:], body, strict=True)), bool, len(body)) if len(ids) else False
         cut_out = lambda ids, at, table: [ids[x:y].astype(_kind(table)).tobytes() if ok else b"" for x, y, ok in zip(at[:-1], at[1:], same, strict=True)]
         return cut_out(ids_a, at_a, self.bytes_a), cut_out(ids_b, at_b, self.bytes_b)
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
-_LENGTHS: dict[tuple[str, str], tuple[np.ndarray, np.ndarray]] = {}
 
 
 def aligner(a: str, b: str) -> Aligner:
@@ -119,12 +121,17 @@ def aligner(a: str, b: str) -> Aligner:
     return _ALIGNERS[a, b]
 
 
+def forget() -> None:
+    """Frees what a worker has encoded with before."""
+    _ALIGNERS.clear()
+
+
 def lengths(a: str, b: str) -> tuple[np.ndarray, np.ndarray]:
-    """How many bytes each id of A and of B stands for."""
-    if (a, b) not in _LENGTHS:
-        it = aligner(a, b)
-        _LENGTHS[a, b] = tuple(np.array([len(x) for x in t], np.int64) for t in (it.bytes_a, it.bytes_b))
-    return _LENGTHS[a, b]
+    """How many bytes each id of A and of B stands for, for tasks that need no tokenizer."""
+    it = aligner(a, b)
+    sizes = tuple(np.array([len(x) for x in t], np.int32) for t in (it.bytes_a, it.bytes_b))
+    forget()
+    return sizes
 
 
 def tokens(docs: DataFrame, a: str, b: str) -> DataFrame:
@@ -142,32 +149,50 @@ def tokens(docs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 class Links:
-    """The links of some texts that stand one after another."""
+    """The links of some texts that stand one after another. Marks at byte offsets tell where tokens end."""
 
     def __init__(self, ids_a: list[bytes], ids_b: list[bytes], length_a: np.ndarray, length_b: np.ndarray):
         kind_a, kind_b = _kind(length_a), _kind(length_b)
+        self.sizes = len(length_a), len(length_b)
         self.n_a, self.n_b = (np.array([len(x) // kind.itemsize for x in ids], np.int64) for ids, kind in ((ids_a, kind_a), (ids_b, kind_b)))
         self.a, self.b = (np.frombuffer(b"".join(ids), kind).astype(np.int64) for ids, kind in ((ids_a, kind_a), (ids_b, kind_b)))
-        self.end_a, self.end_b = np.cumsum(length_a[self.a]), np.cumsum(length_b[self.b])
-        ends = np.union1d(self.end_a, self.end_b)
-        self.key = self.b[np.searchsorted(self.end_b, ends)] << 32 | self.a[np.searchsorted(self.end_a, ends)]
-        upto = np.concatenate([[0], self.end_a])[np.concatenate([[0], np.cumsum(self.n_a)])]
+        end_a, end_b = np.cumsum(length_a[self.a], dtype=np.int64), np.cumsum(length_b[self.b], dtype=np.int64)
+        marks = np.zeros(int(end_a[-1]) + 1 if len(end_a) else 1, np.uint8)
+        marks[end_a] = 1
+        marks[end_b] += 2
+        ends = np.flatnonzero(marks)
+        self.in_a, self.in_b = (marks[ends] & 1).astype(bool), (marks[ends] & 2).astype(bool)
+        #: how many tokens end up to each end
+        self.upto_a, self.upto_b = np.cumsum(self.in_a), np.cumsum(self.in_b)
+        self.key = self.b[self.upto_b - self.in_b] << 32 | self.a[self.upto_a - self.in_a]
+        whole = np.concatenate([[0], end_a])[np.concatenate([[0], np.cumsum(self.n_a)])]
         #: where the links of each text begin, one more at the end
-        self.at = np.searchsorted(ends, upto, side="right")
-        self.ends, self.upto = ends, upto
+        self.at = np.searchsorted(ends, whole, side="right")
 
     def groups(self) -> tuple[np.ndarray, list[str]]:
         """How many groups each text has, and the digest of its groups."""
-        both = np.intersect1d(self.end_a, self.end_b, assume_unique=True)
-        n = np.diff(np.searchsorted(both, self.upto, side="right"))
-        group = np.concatenate([2 * np.searchsorted(both, self.end_a), 2 * np.searchsorted(both, self.end_b) + 1])
-        last = np.concatenate([np.isin(self.end_a, both, assume_unique=True), np.isin(self.end_b, both, assume_unique=True)])
-        order = np.argsort(group, kind="stable")
-        ids, sides, last = np.concatenate([self.a, self.b])[order].tolist(), (group[order] & 1).tolist(), last[order].tolist()
-        marks = {(0, False): ",", (0, True): "|", (1, False): ",", (1, True): ";"}
-        parts = [f"{i}{marks[s, e]}" for i, s, e in zip(ids, sides, last, strict=True)]
-        at = np.concatenate([[0], np.cumsum(self.n_a + self.n_b)])
-        return n, [hashlib.sha256("".join(parts[x:y])[:-1].encode()).hexdigest() if y > x else "" for x, y in zip(at[:-1], at[1:], strict=True)]
+        both = self.in_a & self.in_b
+        upto = np.cumsum(both)
+        n = np.diff(np.concatenate([[0], upto])[self.at])
+        of_a, of_b = (upto - both)[self.in_a], (upto - both)[self.in_b]  # the group of each token
+        # a group's tokens of A stand before its tokens of B
+        codes = np.zeros(len(self.a) + len(self.b), np.int64)
+        codes[np.arange(len(self.a)) + np.concatenate([[0], self.upto_b[both]])[of_a]] = 2 * self.a + both[self.in_a]
+        codes[np.arange(len(self.b)) + self.upto_a[both][of_b]] = 2 * (self.b + self.sizes[0]) + both[self.in_b]
+        text = _texts(*self.sizes).take(pa.array(codes))
+        ends = np.frombuffer(text.buffers()[1], np.int64, len(codes) + 1)[np.concatenate([[0], np.cumsum(self.n_a + self.n_b)])].tolist() if len(codes) else [0] * (len(n) + 1)
+        data = memoryview(text.buffers()[2]) if len(codes) else b""
+        return n, [hashlib.sha256(data[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(ends[:-1], ends[1:], strict=True)]
+
+
+_TEXTS: dict[tuple[int, int], pa.Array] = {}
+
+
+def _texts(size_a: int, size_b: int) -> pa.Array:
+    """Ids as text: at 2 * id and 2 * id + 1 those of A, inside and at the end of a group, then those of B."""
+    if (size_a, size_b) not in _TEXTS:
+        _TEXTS[size_a, size_b] = pa.array([f"{i}{mark}".encode() for last, n in (("|", size_a), (";", size_b)) for i in range(n) for mark in (",", last)], pa.large_binary())
+    return _TEXTS[size_a, size_b]
 
 
 def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,14 +214,14 @@ def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
             at = to
 
 
-def partial_counts(table: DataFrame, a: str, b: str) -> DataFrame:
+def partial_counts(table: DataFrame, sizes: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(key, n): the counts of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size_a, size_b = lengths(a, b)
+        forget()
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in _pieces(batches, 4 * HELD):
-            found = np.unique(Links(batch.column("a").to_pylist(), batch.column("b").to_pylist(), size_a, size_b).key, return_counts=True)
+            found = np.unique(Links(batch.column("a").to_pylist(), batch.column("b").to_pylist(), *sizes).key, return_counts=True)
             keys, counts = _merged(*(np.concatenate(x) for x in zip((keys, counts), found, strict=True)))
             if len(keys) > MOST_KEYS:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
@@ -276,8 +301,8 @@ class Shards:
 def aligned(docs: DataFrame, a: str, b: str) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), a row for each of docs. a, b: paths of the tokenizers."""
     spark: SparkSession = docs.sparkSession
-    table = cut(tokens(docs, a, b), "tokens")
-    folder, shards = write_shards(partial_counts(table, a, b))
+    table, sizes = cut(tokens(docs, a, b), "tokens"), lengths(a, b)
+    folder, shards = write_shards(cut(partial_counts(table, sizes), "pairs"))  # written, as finding the ranges reads it too
     listed = sorted(map(tuple, shards.select("least", "name").collect()))  # a row for SHARD pairs of ids
     names, least = [n for _, n in listed], [k for k, _ in listed]
     top = shards.select(F.explode(F.arrays_zip("ids", "best")).alias("x")).groupBy("x.ids").agg(F.max("x.best").alias("best")).toArrow()  # a row for an id of B
@@ -286,12 +311,14 @@ def aligned(docs: DataFrame, a: str, b: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(best)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size_a, size_b = lengths(a, b)
+        forget()
         held = Shards(folder, names, least)
         for batch in _pieces(batches, HELD):
-            links = Links(batch.column("a").to_pylist(), batch.column("b").to_pylist(), size_a, size_b)
-            distinct, back = np.unique(links.key, return_inverse=True)
-            counts = held.counts(distinct)
+            links = Links(batch.column("a").to_pylist(), batch.column("b").to_pylist(), *sizes)
+            back, distinct = pd.factorize(links.key)
+            order = np.argsort(distinct)
+            counts = np.zeros(len(distinct), np.int64)
+            counts[order] = held.counts(distinct[order])
             is_best = counts == shared.value[distinct >> 32]
             total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[back])])[links.at])
             n_groups, digests = links.groups()
