@@ -39,9 +39,9 @@ from .near_dedup import OP7_SQL, SHORT, _confirm, _held, _long_links, _ordered,
 from .shingles import MULTIPLIER, shingle_sets, slices
 
 #: Shingles that a task counts or sends at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Shingles of a range.
-RANGE = 1 << 20
+RANGE = 1 << 21
 #: A very frequent shingle is held by this many classes at least, and there are at most HOT_MOST of them.
 HOT_LEAST, HOT_MOST = 4096, 1 << 18
 #: A shingle that a chunk has fewer times is not counted there as very frequent.
@@ -57,6 +57,11 @@ def _key_of(s: np.ndarray) -> tuple[int, int]:
     return int(np.bitwise_xor.reduce(s).view(np.int64)), int((s * (s >> np.uint64(7) | np.uint64(1))).sum(dtype=np.uint64).view(np.int64))
 
 
+def _one(k1: int, k2: int) -> int:
+    """A key of 64 bits for a class; like the shingles' own hashes it is taken to tell all apart."""
+    return (k1 ^ k2 * int(MULTIPLIER)) % (1 << 64) - (1 << 63)
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[tuple[list, list[np.ndarray]]]:
     """((doc_id, k1, k2, n) of each row, the sets of new classes) for so many rows as have about `chunk` shingles."""
     rows, sets, seen, held = [], [], set(), 0
@@ -76,17 +81,17 @@ def _chunks(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[tuple[lis
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, k1, k2, n) of each row; and, with n -1, (count, shingle in k1) of the shingles that are frequent in a chunk."""
+    """(doc_id, k1, k2, n, key) of each row; and, with n -1, (count, shingle in k1) of the shingles that are frequent in a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, sets in _chunks(batches, CHUNK):
             values, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             often = counts >= LOCAL_LEAST
-            columns = [list(c) for c in zip(*rows, strict=True)]
-            more = [counts[often].tolist(), values[often].view(np.int64).tolist(), [0] * int(often.sum()), [-1] * int(often.sum())]
-            yield pa.RecordBatch.from_arrays([pa.array(a + b, pa.int64()) for a, b in zip(columns, more, strict=True)], ["doc_id", "k1", "k2", "n"])
+            columns = [list(c) for c in zip(*[(*r, _one(*r[1:3])) for r in rows], strict=True)]
+            more = [counts[often].tolist(), values[often].view(np.int64).tolist(), *([x] * int(often.sum()) for x in (0, -1, 0))]
+            yield pa.RecordBatch.from_arrays([pa.array(a + b, pa.int64()) for a, b in zip(columns, more, strict=True)], ["doc_id", "k1", "k2", "n", "key"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, k1 long, k2 long, n long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, k1 long, k2 long, n long, key long")
 
 
 def _packed(*columns: np.ndarray) -> list[bytes]:
@@ -109,18 +114,18 @@ def _ceil(percent: int, n):
 
 
 def _sent(docs: DataFrame, hot: np.ndarray, bits: int, ranges: int, percent: int) -> DataFrame:
-    """What the second pass sends: (range, k1, k2, place, n, m, block).
+    """What the second pass sends: (range, key, place, n, m, block).
 
     With a block: m shingles of n classes, packed, of a range. Without: of one class a very frequent
     shingle of its prefix (place), or how many it has (-place).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = {"range": pa.int32(), "k1": pa.int64(), "k2": pa.int64(), "place": pa.int64(), "n": pa.int64(), "m": pa.int64(), "block": pa.binary()}
+        kind = {"range": pa.int32(), "key": pa.int64(), "place": pa.int64(), "n": pa.int64(), "m": pa.int64(), "block": pa.binary()}
         for _, sets in _chunks(batches, CHUNK):
             if not sets:
                 continue
-            keys = [_key_of(s) for s in sets]
+            keys = [_one(*_key_of(s)) for s in sets]
             out: list[tuple] = []
             cold = []
             for k, s in zip(keys, sets, strict=True):
@@ -129,11 +134,11 @@ def _sent(docs: DataFrame, hot: np.ndarray, bits: int, ranges: int, percent: int
                 h = int(is_hot.sum())
                 cold.append(s[~is_hot])
                 if h:
-                    to = (k[0] & 0x7FFFFFFF) % ranges
-                    out.append((to, *k, -h, None, None, None))
+                    to = k % ranges
+                    out.append((to, k, -h, None, None, None))
                     reach = len(s) - _ceil(percent, len(s)) + 1 - (len(s) - h)
                     places = np.sort(s[is_hot] >> np.uint64(64 - bits)).astype(np.int64) | (TOP << FP_BITS)
-                    out += [(to, *k, p, None, None, None) for p in places[: max(0, reach)].tolist()]
+                    out += [(to, k, p, None, None, None) for p in places[: max(0, reach)].tolist()]
             ids = np.array(keys, np.int64).view(np.uint64)
             owner = np.repeat(np.arange(len(cold)), [len(s) for s in cold])
             prints = np.concatenate(cold) >> np.uint64(64 - bits)
@@ -144,11 +149,11 @@ def _sent(docs: DataFrame, hot: np.ndarray, bits: int, ranges: int, percent: int
                 if a < b:
                     used, index = np.unique(owner[a:b], return_inverse=True)
                     steps = np.diff(prints[a:b], prepend=np.uint64(0))
-                    out.append((r, None, None, None, len(used), int(b - a), _packed(steps, index.astype(np.uint64), ids[used, 0], ids[used, 1])))
+                    out.append((r, None, None, len(used), int(b - a), _packed(steps, index.astype(np.uint64), ids[used])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kind.values(), strict=True)], list(kind))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "range int, k1 long, k2 long, place long, n long, m long, block binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "range int, key long, place long, n long, m long, block binary")
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
@@ -166,40 +171,40 @@ def _held_by(values: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def _counted(blocks: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    """(k1, k2, place) of the shingles of a range that several classes hold."""
+    """(key, place) of the shingles of a range that several classes hold."""
     parts = []
     for n, m, data in blocks:
-        steps, index, a, b = _unpacked(data, [m, m, n, n])
+        steps, index, ids = _unpacked(data, [m, m, n])
         prints = np.cumsum(steps)
         order = np.lexsort((index, prints))
         prints, index = prints[order], index[order]
         # which of a class's shingles of one print it is; there is more than one only by chance
-        which = np.arange(m) - _starts(prints, index)
-        parts.append((prints, a[index], b[index], which))
-    prints, k1, k2, which = map(np.concatenate, zip(*parts, strict=True))
-    held = _held_by(prints, order := np.argsort(prints, kind="stable"))
-    order = order[held > 1]
-    prints, k1, k2, which = prints[order], k1[order], k2[order], which[order]
-    mixed = k1 * MULTIPLIER ^ k2
-    order = np.lexsort((which, mixed, prints))
-    prints, k1, k2, which, mixed = (x[order] for x in (prints, k1, k2, which, mixed))
+        which = (np.arange(m) - _starts(prints, index)).astype(np.int32)
+        parts.append((prints, ids[index], which))
+    prints, keys, which = map(np.concatenate, zip(*parts, strict=True))
+    del parts
+    order = np.argsort(prints, kind="stable")
+    order = order[_held_by(prints, order) > 1]
+    prints, keys, which = prints[order], keys[order], which[order]
+    order = np.lexsort((which, keys, prints))
+    prints, keys, which = prints[order], keys[order], which[order]
     same = np.zeros(len(prints), bool)  # several tasks may have met one class
-    same[1:] = (prints[1:] == prints[:-1]) & (mixed[1:] == mixed[:-1]) & (which[1:] == which[:-1])
-    prints, k1, k2 = prints[~same], k1[~same], k2[~same]
+    same[1:] = (prints[1:] == prints[:-1]) & (keys[1:] == keys[:-1]) & (which[1:] == which[:-1])
+    prints, keys = prints[~same], keys[~same]
     held = _held_by(prints, np.arange(len(prints)))
     place = (np.minimum(held, TOP - 1) << FP_BITS) | prints.astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(x[held > 1].view(np.int64)) for x in (k1, k2, place)], ["k1", "k2", "place"])
+    return pa.RecordBatch.from_arrays([pa.array(x[held > 1].view(np.int64)) for x in (keys, place)], ["key", "place"])
 
 
 def _repeated(sent: DataFrame, parts: int) -> DataFrame:
-    """(k1, k2, place) of all shingles that several classes hold, and what `_sent` gives without a block."""
+    """(key, place) of all shingles that several classes hold, and what `_sent` gives without a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blocks = None, []
         for batch in batches:
             alone = batch.filter(pc.is_null(batch.column("block")))
             if alone.num_rows:
-                yield alone.select(["k1", "k2", "place"])
+                yield alone.select(["key", "place"])
             for r, n, m, data in zip(*[batch.column(c).to_pylist() for c in ("range", "n", "m", "block")], strict=True):
                 if data is None:
                     continue
@@ -211,15 +216,15 @@ def _repeated(sent: DataFrame, parts: int) -> DataFrame:
         if blocks:
             yield _counted(blocks)
 
-    return sent.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(run, "k1 long, k2 long, place long")
+    return sent.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(run, "key long, place long")
 
 
 def _prefixes(repeated: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(value, node, size, rank) of the shingles in prefixes that other classes hold too."""
     cold = (F.col("place") >= 0) & (F.col("place") < TOP << FP_BITS)
     # a class's own shingles; what is hot comes from each task that met the class, so it is a set
-    lists = repeated.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.when(cold, F.col("place")))).alias("cold"), F.collect_set(F.when(F.col("place") >= TOP << FP_BITS, F.col("place"))).alias("last"), F.coalesce(-F.min(F.when(F.col("place") < 0, F.col("place"))), F.lit(0)).alias("hot"))
-    rows = nodes.join(lists.withColumn("s", F.concat("cold", F.sort_array("last"))), ["k1", "k2"])
+    lists = repeated.groupBy("key").agg(F.sort_array(F.collect_list(F.when(cold, F.col("place")))).alias("cold"), F.collect_set(F.when(F.col("place") >= TOP << FP_BITS, F.col("place"))).alias("last"), F.coalesce(-F.min(F.when(F.col("place") < 0, F.col("place"))), F.lit(0)).alias("hot"))
+    rows = nodes.join(lists.withColumn("s", F.concat("cold", F.sort_array("last"))), "key")
     alone = F.col("n") - F.col("hot") - F.size("cold")
     reach = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
     rows = rows.withColumn("alone", alone).withColumn("reach", reach.cast("int")).where("reach > 0")
@@ -268,7 +273,7 @@ def linked(docs: DataFrame, percent: int = 80) -> DataFrame:
     spark = docs.sparkSession
     first = cut(_classes(docs), "classes")
     signed = first.where("n >= 0")
-    nodes = cut(signed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node")).where("node is not null"), "nodes")
+    nodes = cut(signed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"), F.min("key").alias("key")).where("node is not null"), "nodes")
     total = signed.agg(F.sum("n")).first()[0] or 0
     bits = min(FP_BITS, max(20, int(total).bit_length() + 6))
     ranges = max(1, total // RANGE)
