@@ -160,3 +160,28 @@ def test_resolver(spark):
     assert len(got) == 5 and all(r[1] is None for r in got[2:])
     ranks = resolver.ranks(spark.createDataFrame([(51,)], "taxonomic_id long"), lambda i: [("Kingdom", "Animalia"), ("Phylum", "Mollusca")])
     assert [tuple(r) for r in ranks.collect()] == [("51", 0, "Kingdom", "Animalia"), ("51", 1, "Phylum", "Mollusca")]
+
+
+def test_answers_are_kept(spark, tmp_path):
+    """A client that fails at times: a name is asked for until it is answered, and never again."""
+    log, kept = tmp_path / "log", str(tmp_path / "kept")
+    log.mkdir()
+
+    def client(batch):
+        for n in batch:
+            with open(log / n, "a") as f:
+                f.write("x")
+        if "bad" in batch and len((log / "bad").read_text()) < 5:
+            raise OSError("service is down")
+        return {n: f"id-{n}" for n in batch if n != "none"}
+
+    names = spark.createDataFrame([(n,) for n in ("a", "b", "bad", "none", "a", None)], "scientific_name string")
+    with pytest.raises(RuntimeError, match="1 names could not be looked up"):
+        resolver.lookup_kept(names, client, kept, batch=1)
+    assert {p.name: len(p.read_text()) for p in log.iterdir()} == {"a": 1, "b": 1, "none": 1, "bad": 3}
+    got = resolver.lookup_kept(names, client, kept, batch=1)
+    assert sorted(map(tuple, got.collect())) == [("a", "id-a"), ("b", "id-b"), ("bad", "id-bad")]
+    assert {p.name: len(p.read_text()) for p in log.iterdir()} == {"a": 1, "b": 1, "none": 1, "bad": 5}
+    more = spark.createDataFrame([("b",), ("c",)], "scientific_name string")
+    assert sorted(map(tuple, resolver.lookup_kept(more, client, kept).collect())) == [("b", "id-b"), ("c", "id-c")]
+    assert len((log / "b").read_text()) == 1
