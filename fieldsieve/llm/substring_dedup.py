@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -253,8 +254,26 @@ def _extended(docs: DataFrame, runs: DataFrame) -> DataFrame:
     both = both.select("q.doc_id", "q.run", "q.side", near("h").alias("x"), near("t").alias("y")).mapInArrow(run, "doc_id long, run int, side string, more int")
     part = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("more"))), F.lit(0)).cast("int")
     more = both.groupBy("doc_id", F.col("run").alias("start")).agg(part("left").alias("l"), part("right").alias("r"))
-    out = runs.join(more, ["doc_id", "start"], "left").withColumn("end", F.col("end") + F.coalesce("r", F.lit(0))).withColumn("start", F.col("start") - F.coalesce("l", F.lit(0)))
-    return out.select(*runs.columns)
+    out = runs.join(more, ["doc_id", "start"], "left")
+    left, right = F.coalesce("l", F.lit(0)), F.coalesce("r", F.lit(0))
+    moved = {"start": F.col("start") - left, "end": F.col("end") + right, "left": F.struct("left.doc_id", (F.col("left.at") - left).alias("at")), "right": F.struct("right.doc_id", (F.col("right.at") + right).alias("at"))}
+    return out.select(*[moved.get(c, F.col(c)).alias(c) for c in runs.columns])
+
+
+def _firsts(found: DataFrame) -> DataFrame:
+    """(doc_id, start, n_words): where the runs come first, those that overlap as one.
+
+    A run whose two ends lie in one first document is there what lies between them; of a run that is
+    put together from several documents it is the longest of its pieces.
+    """
+    whole = (F.col("left.doc_id") == F.col("right.doc_id")) & (F.col("right.at") > F.col("left.at"))
+    pick = lambda a, b: F.when(whole, F.col(a)).otherwise(b)
+    spans = found.select(pick("left.doc_id", F.col("origin.doc_id")).alias("doc_id"), pick("left.at", F.col("origin.at")).alias("start"), pick("right.at", F.col("origin.at") + F.col("weight")).alias("end")).distinct()
+    by = Window.partitionBy("doc_id").orderBy("start", "end")
+    before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    new = (before.isNull() | (F.col("start") > before)).cast("long")
+    runs = spans.withColumn("new", new).withColumn("run", F.sum("new").over(by)).groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return runs.select("doc_id", "start", (F.col("end") - F.col("start")).alias("n_words"))
 
 
 def repeated(docs: DataFrame, percent: int = 75, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -276,24 +295,23 @@ def repeated(docs: DataFrame, percent: int = 75, least_words: int = LEAST_WORDS)
     again = again.select("doc_id", "start", (F.col("start") + F.col("words")).alias("end"), at(F.col("f.start")).alias("left"), at(F.col("f.start") + F.col("f.words")).alias("right"), at(F.col("f.start")).alias("origin"), F.col("words").alias("weight"))
     runs = cut(_runs(again), "runs")
     longer = _runs(_extended(docs, runs)).withColumn("n_words", F.col("end") - F.col("start"))
-    found = cut(longer.where(F.col("n_words") >= least_words).select("doc_id", "start", "n_words", F.col("origin.doc_id").alias("first_doc_id"), F.col("origin.at").alias("first_start")), "found")
-    back = found.groupBy("first_doc_id", "first_start").agg(F.max("n_words").alias("n_words"))
+    found = cut(longer.where(F.col("n_words") >= least_words), "found")
     for done in (units, many, used, runs):
         discard(done)
-    return found.select("doc_id", F.col("start").cast("long"), F.col("n_words").cast("long"), "first_doc_id", F.lit(True).alias("removed")).union(
-        back.select(F.col("first_doc_id").alias("doc_id"), F.col("first_start").cast("long"), F.col("n_words").cast("long"), "first_doc_id", F.lit(False))
-    )
+    long = [F.col(c).cast("long").alias(c) for c in ("start", "n_words")]
+    return found.select("doc_id", *long, F.col("origin.doc_id").alias("first_doc_id"), F.lit(True).alias("removed")).union(_firsts(found).select("doc_id", *long, F.col("doc_id").alias("first_doc_id"), F.lit(False)))
 
 
 def without_repeats(docs: DataFrame, percent: int = 75, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with every repeated run cut from its text, but for the first occurrence; n_chars, where it is a column, follows."""
+    cuts_of, key = (f"{n}_{uuid.uuid4().hex}" for n in ("cuts", "doc"))  # names that no column has
     gone = repeated(docs, percent, least_words).where("removed").groupBy("doc_id")
-    gone = gone.agg(F.sort_array(F.collect_list(F.struct("start", "n_words"))).alias("__gone")).withColumnRenamed("doc_id", "__doc")
+    gone = gone.agg(F.sort_array(F.collect_list(F.struct("start", "n_words"))).alias(cuts_of)).withColumnRenamed("doc_id", key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for i, (text, cuts) in enumerate(zip(texts, batch.column("__gone").to_pylist(), strict=True)):
+            for i, (text, cuts) in enumerate(zip(texts, batch.column(cuts_of).to_pylist(), strict=True)):
                 if text and cuts:
                     ends = [(m.start(), m.end()) for m in _WORD.finditer(text)]
                     out, at = [], 0
@@ -303,10 +321,10 @@ def without_repeats(docs: DataFrame, percent: int = 75, least_words: int = LEAST
                             out.append(text[at : ends[a][0]])
                             at = ends[b][1]
                     texts[i] = "".join([*out, text[at:]]).strip()
-            columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in batch.schema.names if n not in ("__gone", "__doc")]
-            yield pa.RecordBatch.from_arrays(columns, [n for n in batch.schema.names if n not in ("__gone", "__doc")])
+            columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in batch.schema.names if n not in (cuts_of, key)]
+            yield pa.RecordBatch.from_arrays(columns, [n for n in batch.schema.names if n not in (cuts_of, key)])
 
-    out = docs.join(gone, docs["doc_id"] == gone["__doc"], "left").mapInArrow(run, docs.schema)
+    out = docs.join(gone, docs["doc_id"] == gone[key], "left").mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -157,3 +157,34 @@ def test_odd_and_empty(spark, odd, empty):
     assert out.count() == odd.count() and out.columns == odd.columns
     rows = {(r["doc_id"], r["first_doc_id"]) for r in S.repeated(odd).where("removed").collect()}
     assert (7, 6) in rows and not any(a is None for a, _ in rows)
+
+
+def test_rows_of_first_occurrences(spark):
+    """One original and one copy of each passage: the row of the original says where it stands there, and lies inside its text."""
+    rng = random.Random(11)
+    texts, expected = [], {}
+    for n in (47, 55, 60, 80, 100, 120, 160, 200, 250, 300):
+        passage = prose(rng, n)
+        for first in (True, False):
+            before, after = rng.randint(20, 60), rng.randint(20, 60)
+            lead, tail = [f"a{len(texts)}x{i}" for i in range(before)], [f"b{len(texts)}x{i}" for i in range(after)]
+            if first:
+                expected[len(texts)] = (before, n)
+            texts.append(" ".join([*lead, passage, *tail]))
+    rows = S.repeated(frame(spark, texts)).where("NOT removed").collect()
+    found = {r["doc_id"]: (r["start"], r["n_words"]) for r in rows}
+    assert len(rows) == len(found) and all(r["start"] + r["n_words"] <= len(texts[r["doc_id"]].split()) for r in rows)
+    assert set(found) == set(expected)
+    # the paragraph around a passage may be near as a whole, and then is the row; otherwise the row is the passage
+    for doc, (start, n) in expected.items():
+        assert found[doc][0] <= start and sum(found[doc]) >= start + n and found[doc][1] * 3 <= n * 4
+    assert sum(found[doc] == expected[doc] for doc in expected) >= 9
+
+
+def test_clashing_names(spark):
+    rng = random.Random(12)
+    passage = prose(rng, 70)
+    rows = [(i, f"{prose(rng, 30)} q{i} {passage}", "g", i, "s") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __gone string, __doc int, start string")
+    out = {r["doc_id"]: r for r in S.without_repeats(df).collect()}
+    assert S.without_repeats(df).columns == df.columns and out[0]["text"] == rows[0][1] and passage not in out[1]["text"] and out[2]["__doc"] == 2
