@@ -201,7 +201,10 @@ def linked(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One document of each group, the one with the least doc_id, with all its columns; one row of repeated rows."""
+    """One document of each group, the one with the least doc_id, with all its columns; one row of repeated rows.
+
+    Of rows with one doc_id and different texts, the one whose text has the least hash stays.
+    """
     gone = linked(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
     left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
     repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__many"))
@@ -209,7 +212,10 @@ def deduplicated(docs: DataFrame, percent: int = 75) -> DataFrame:
     if repeated.isEmpty():
         return left
     once = left.join(repeated, left["doc_id"] == repeated["__many"], "left_anti")
-    return once.unionByName(left.join(repeated, left["doc_id"] == repeated["__many"], "left_semi").dropDuplicates(["doc_id"]))
+    same = left.join(repeated, left["doc_id"] == repeated["__many"], "left_semi")
+    names = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
+    one = same.groupBy("doc_id").agg(F.min_by(F.struct(*names), F.struct(F.xxhash64("text"), "text")).alias("__row"))
+    return once.unionByName(one.select("__row.*"))
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -47,6 +47,14 @@ def test_odd_rows(spark, odd):
     assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None}) and 7 not in ids and 6 in ids
 
 
+def test_one_id_with_several_texts(spark):
+    """Whatever the order of rows, the same text stays."""
+    rng = random.Random(9)
+    rows = [(1, prose(rng, 40), "a"), (1, prose(rng, 40), "b"), (1, prose(rng, 40), "c"), (2, prose(rng, 40), "d")]
+    kept = [sorted((r["doc_id"], r["text"], r["a b"]) for r in D.deduplicated(spark.createDataFrame(order, "doc_id long, text string, `a b` string")).collect()) for order in (rows, rows[::-1])]
+    assert kept[0] == kept[1] and [r[0] for r in kept[0]] == [1, 2] and kept[0][0] in rows
+
+
 def test_empty(spark, empty):
     assert D.linked(empty).count() == 0 and D.deduplicated(empty).count() == 0
 
