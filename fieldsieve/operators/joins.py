@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldsieve.functions.nulls import nullif_blank, qcol, require_columns
 from fieldsieve.functions.text import strip_rank_suffix
+from fieldsieve.sources.store import KeyedStore
+
+#: A key with more than this share of all rows is hot, so there are fewer hot keys than its inverse.
+HOT_SHARE = 1 / 64
+#: So many lookup rows of hot keys are sent to every task.
+MOST_SENT = 100_000
 
 
 def left_join_suffixed(left: DataFrame, right: DataFrame, key: str, right_key: str | None = None) -> DataFrame:
@@ -17,6 +23,44 @@ def left_join_suffixed(left: DataFrame, right: DataFrame, key: str, right_key: s
     return left.join(right, qcol(key).eqNullSafe(F.col("__key")), "left").drop("__key")
 
 
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
+    """The values of a column, null among them, that more than `share` of all rows have: fewer than 1 / share, however large df is."""
+    least = df.count() * share
+    return [r["k"] for r in df.groupBy(qcol(key).alias("k")).agg(F.count("*").alias("n")).where(F.col("n") > least).select("k").collect()]
+
+
+def _among(column: Column, values: list) -> Column:
+    """Whether a column has one of the values, null being a value; never null."""
+    out = F.coalesce(column.isin([v for v in values if v is not None]), F.lit(False))
+    return out | column.isNull() if None in values else out & column.isNotNull()
+
+
+def left_join_split(left: DataFrame, right: DataFrame, key: str, right_key: str | None = None, share: float = HOT_SHARE) -> DataFrame:
+    """left_join_suffixed() for a lookup that is too large to be sent to every task, where null or other keys are hot.
+
+    Rows of hot keys meet the lookup's rows of these keys without a shuffle: they are sent to every
+    task, if there are at most MOST_SENT of them. Beyond that a hot key's rows are dealt to 1 / share
+    parts by a hash of the row, and the lookup's rows of hot keys go to all parts. All other rows
+    are shuffled by keys none of which is hot. Rows come in no stated order.
+    """
+    right_key = right_key or key
+    hot = hot_keys(left, key, share)
+    if not hot:
+        return left_join_suffixed(left, right, key, right_key)
+    near, known = _among(qcol(key), hot), right.where(_among(qcol(right_key), hot))
+    others = left_join_suffixed(left.where(~near), right.where(~_among(qcol(right_key), hot)), key, right_key)
+    if known.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        return left_join_suffixed(left.where(near), F.broadcast(known), key, right_key).unionByName(others)
+    parts = round(1 / share)
+    dealt = left.where(near).withColumn("__part", F.pmod(F.xxhash64(*[qcol(c) for c in left.columns]), F.lit(parts)).cast("int"))
+    known = known.withColumn("__to", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    both = [c for c in right.columns if c != right_key and c in left.columns]
+    dealt = dealt.withColumnsRenamed({c: f"{c}.x" for c in both if c != key})
+    known = known.withColumnsRenamed({c: f"{c}.y" for c in both}).withColumnRenamed(right_key, "__key")
+    met = dealt.join(known, (F.col("__part") == F.col("__to")) & qcol(key).eqNullSafe(F.col("__key")), "left")
+    return met.drop("__part", "__to", "__key").unionByName(others)
+
+
 def semi_on(left: DataFrame, keys: DataFrame, key: str, other: str | None = None) -> DataFrame:
     """Rows whose key is among keys; null matches null."""
     return left.join(keys.select(qcol(other or key).alias("__key")), qcol(key).eqNullSafe(F.col("__key")), "left_semi")
@@ -57,10 +101,14 @@ def unmatched(names: DataFrame, ids: DataFrame) -> DataFrame:
     return anti_on(names.select("scientific_name").distinct(), ids, "scientific_name")
 
 
-def join_taxonomy(df: DataFrame, ids: DataFrame, classes: DataFrame, name: str = "scientific_name", levels: list[str] | None = None) -> DataFrame:
-    """df with the taxonomy of its names, df being read once. A name that the lookup has twice multiplies rows."""
+def join_taxonomy(df: DataFrame, ids: DataFrame, classes: DataFrame, name: str = "scientific_name", levels: list[str] | None = None, large: bool = False) -> DataFrame:
+    """df with the taxonomy of its names, df being read once. A name that the lookup has twice multiplies rows.
+
+    large: the lookup is too large to be sent to every task, so hot names are joined apart and df is read more often.
+    """
     require_columns(df, [name])
-    return left_join_suffixed(df, taxonomy_lookup(None, ids, classes, levels), name, "scientific_name")
+    join = left_join_split if large else left_join_suffixed
+    return join(df, taxonomy_lookup(None, ids, classes, levels), name, "scientific_name")
 
 
 def resolve_names(names: DataFrame, resolver: DataFrame, legacy: bool = False) -> DataFrame:
@@ -103,11 +151,12 @@ def first_by(df: DataFrame, key: str, columns: list[str], order: Column, ignore_
     return df.groupBy(key).agg(*[F.min_by(qcol(c), F.when(qcol(c).isNotNull(), order)).alias(c) for c in columns])
 
 
-def fill_metadata(df: DataFrame, store: DataFrame, key: str = "sample_event_id", columns: list[str] | None = None, order: Column | None = None) -> DataFrame:
-    """Missing metadata (null or BLANK) filled from rows of the same event that were processed before."""
+def fill_metadata(df: DataFrame, store: DataFrame | KeyedStore, key: str = "sample_event_id", columns: list[str] | None = None, order: Column | None = None) -> DataFrame:
+    """Missing metadata (null or BLANK) filled from rows of the same event that were processed before; a store is read only where its keys are."""
     columns = columns or ["vis", "direction", "time", "photoquadrats"]
     df = nullif_blank(df.withColumns({c: qcol(c).cast("string") for c in columns}), columns)
-    past = semi_on(store, df.select(key).distinct(), key).select(qcol(key), *[qcol(c).cast("string").alias(c) for c in columns]).distinct()
+    past = store.rows_of(df.select(key)) if isinstance(store, KeyedStore) else semi_on(store, df.select(key).distinct(), key)
+    past = past.select(qcol(key), *[qcol(c).cast("string").alias(c) for c in columns]).distinct()
     past = nullif_blank(past, columns)
     order = order if order is not None else F.struct(*[F.struct(qcol(c).isNull(), qcol(c)) for c in columns])
     return patch(df, first_by(past, key, columns, order), key, columns)

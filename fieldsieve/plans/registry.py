@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,6 +12,8 @@ from fieldsieve.operators import events as E, ingest as I, joins as J, metrics a
 from fieldsieve.operators.rowid import with_rowid
 from fieldsieve.plans.data import META, SIZES, read, survey, survey_sql
 from fieldsieve.sources import catalog as C
+from fieldsieve.sources.scratch import scratch_dir
+from fieldsieve.sources.store import KeyedStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -74,6 +77,13 @@ def qc_rows_with_flags(spark, d):
     return Q.flagged(survey(spark, d), RULES).select("rowid", "phylum", "test_id")
 
 
+@query(survey_sql(f"SELECT s.rowid, s.method, f.test_id FROM survey s LEFT JOIN (SELECT row_num, min(test_id) AS test_id FROM ({FLAGS}) GROUP BY row_num) f ON f.row_num = s.rowid"))
+def qc_attach_flags(spark, d):
+    """Flags that were made apart from the rows, as a table, joined with them by row number."""
+    rows = survey(spark, d)
+    return Q.with_flags(rows, Q.first_flag(Q.flags(rows, RULES))).select("rowid", "method", "test_id")
+
+
 # joins
 
 IDS = "ids AS (SELECT DISTINCT concat('sp', CAST(p_partkey % 37 AS VARCHAR)) AS scientific_name, CAST(p_partkey % 37 AS BIGINT) AS taxonomic_id FROM part), classes AS (SELECT CAST(n_nationkey AS BIGINT) AS taxonomic_id, n_name AS phylum, CAST(n_regionkey AS VARCHAR) AS \"class\" FROM nation)"
@@ -99,6 +109,16 @@ def tax_null_safe_join(spark, d):
     return J.left_join_suffixed(rows.select("rowid", "taxonomic_id", "diver"), rows.groupBy("diver").agg(F.min("taxonomic_id").alias("taxonomic_id")), "diver")
 
 
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 3 = 0 THEN NULL WHEN l_linenumber = 1 THEN 1 ELSE l_partkey END AS species, l_quantity AS size FROM lineitem), k AS (SELECT p_partkey AS id, p_name, p_size AS size FROM part UNION ALL SELECT NULL, 'unnamed', 0)
+SELECT l_orderkey, l_linenumber, species, l.size AS "size.x", p_name, k.size AS "size.y" FROM l LEFT JOIN k ON species IS NOT DISTINCT FROM id""")
+def tax_hot_keys_join(spark, d):
+    """A third of all rows has no name, many have one; the lookup grows with the data."""
+    species = F.when(F.col("l_suppkey") % 3 == 0, None).when(F.col("l_linenumber") == 1, 1).otherwise(F.col("l_partkey"))
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", species.alias("species"), F.col("l_quantity").alias("size"))
+    known = read(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name", F.col("p_size").alias("size"))
+    return J.left_join_split(rows, known.union(spark.range(1).select(F.lit(None).cast("long"), F.lit("unnamed"), F.lit(0))), "species", "id")
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 5000)")
 def tax_semi(spark, d):
     return J.semi_on(read(spark, d, "orders").select("o_orderkey", "o_custkey"), read(spark, d, "customer").where("c_acctbal > 5000"), "o_custkey", "c_custkey")
@@ -155,6 +175,20 @@ def patch_nulls(spark, d):
     return J.fill_metadata(e, e, "user_id", ["vis", "direction"])
 
 
+@query("""WITH e AS (SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 4 = 0 THEN 'BLANK' WHEN o_orderkey % 4 = 1 THEN NULL ELSE o_orderpriority END AS vis, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey % 5 AS VARCHAR) END AS direction FROM orders),
+c AS (SELECT o_orderkey, o_custkey, o_orderstatus, nullif(vis, 'BLANK') AS vis, direction FROM e),
+p AS (SELECT o_custkey, vis, direction, row_number() OVER (PARTITION BY o_custkey ORDER BY vis IS NULL, vis, direction IS NULL, direction) AS k FROM (SELECT DISTINCT o_custkey, vis, direction FROM c WHERE o_orderstatus <> 'P'))
+SELECT c.o_orderkey, c.o_custkey, coalesce(c.vis, p.vis) AS vis, coalesce(c.direction, p.direction) AS direction FROM c LEFT JOIN p ON p.o_custkey = c.o_custkey AND p.k = 1 WHERE o_orderstatus = 'P'""")
+def patch_from_store(spark, d):
+    """Open orders take what they lack from the closed ones of the same customer, which are in a store."""
+    key = F.col("o_orderkey")
+    vis = F.when(key % 4 == 0, "BLANK").when(key % 4 == 1, None).otherwise(F.col("o_orderpriority"))
+    rows = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", vis.alias("vis"), F.when(key % 3 != 0, (key % 5).cast("string")).alias("direction"))
+    store = KeyedStore(spark, f"{scratch_dir(spark)}/store-{uuid.uuid4().hex}", "o_custkey")
+    store.append(rows.where("o_orderstatus <> 'P'"))
+    return J.fill_metadata(rows.where("o_orderstatus = 'P'"), store, "o_custkey", ["vis", "direction"]).drop("o_orderstatus")
+
+
 @query("SELECT o_orderkey, nullif(CASE WHEN o_orderkey % 3 = 0 THEN 'BLANK' ELSE o_orderstatus END, 'BLANK') AS status, o_totalprice FROM orders")
 def blank_to_null(spark, d):
     o = read(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, "BLANK").otherwise(F.col("o_orderstatus")).alias("status"), "o_totalprice")
@@ -441,6 +475,17 @@ def ingest_oyster(spark, d):
     return I.load(sheet, "oyster-2025-reef-metadata-deployment", "/data/deployment.xlsx")
 
 
+@query("SELECT p_partkey AS rowid, p_name AS site_name, CAST(p_size AS DOUBLE) AS chain_length_m, 'rugosity.xlsx' AS input_filename FROM part")
+def ingest_rugosity(spark, d):
+    sheet = read(spark, d, "part").select(F.col("p_partkey").alias("rowid"), F.col("p_name").alias("Site Name"), F.col("p_size").cast("double").alias("Chain Length m"))
+    return I.load(sheet, "oyster-2025-rugosity", "/data/rugosity.xlsx")
+
+
+@query(survey_sql(f"SELECT rowid, {KEY} AS sample_event_id, site_code FROM survey"))
+def transform_by_name(spark, d):
+    return I.select_strict(W.apply(survey(spark, d), "event_id"), ["rowid", "sample_event_id", "site_code"])
+
+
 @query("SELECT p_partkey AS rowid, CASE WHEN p_size % 4 <> 0 THEN p_name END AS transect, CASE WHEN p_size % 8 <> 0 THEN p_size END AS shoot_count, 'seagrass.xlsx' AS input_filename FROM part WHERE p_size % 8 <> 0")
 def ingest_seagrass(spark, d):
     size = F.col("p_size")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from fieldsieve.functions import nulls as N, text as X
 from fieldsieve.operators import events as E, ingest as I, joins as J, metrics as M, wrangle as W
 from fieldsieve.operators.rowid import with_rowid
+from fieldsieve.sources.store import KeyedStore
 
 
 def one(spark, column):
@@ -67,6 +68,71 @@ def test_join_suffixes_and_null_keys(spark):
     assert sorted(((r[0] or "", r[1], r[2]) for r in out.collect()), key=str) == [("", 1, 10), ("a", 2, 20), ("a", 2, 21), ("z", 3, None)]
 
 
+@pytest.mark.parametrize("sent", [100_000, 2])
+def test_hot_keys_are_joined_apart(spark, monkeypatch, sent):
+    """As the plain join, whether the lookup's rows of hot keys are sent to every task or to all parts; duplicates and absent keys too."""
+    monkeypatch.setattr(J, "MOST_SENT", sent)
+    keys = [None] * 300 + ["a"] * 200 + ["gone"] * 100 + [f"k{i % 150}" for i in range(300)]
+    left = spark.createDataFrame(list(enumerate(keys)), "i int, k string").withColumn("v", F.col("i") * 2)
+    right = spark.createDataFrame([(None, 1), ("a", 2), ("a", 3), ("b", 4), *[(f"k{i}", i) for i in range(0, 150, 2)]], "name string, v int")
+    assert set(J.hot_keys(left, "k", 0.1)) == {None, "a", "gone"}
+    got, plain = J.left_join_split(left, right, "k", "name", 0.1), J.left_join_suffixed(left, right, "k", "name")
+    assert got.columns == plain.columns == ["i", "k", "v.x", "v.y"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect())) and got.count() == 1100
+    calm = left.where("k like 'k%'")
+    assert J.hot_keys(calm, "k", 0.1) == [] and J.left_join_split(calm, right, "k", "name", 0.1).count() == 300
+    assert J.left_join_split(left.where("false"), right, "k", "name").count() == 0
+
+
+def test_no_hot_key_is_shuffled(spark):
+    """Where the lookup isn't broadcast, no task of the shuffled join has much more than its share."""
+    keys = F.when(F.col("id") % 4 == 0, None).when(F.col("id") % 4 == 1, 7).otherwise(F.col("id"))
+    left, right = spark.range(30_000).select(keys.alias("k"), "id"), spark.range(30_000).select(F.col("id").alias("name"), (F.col("id") + 1).alias("w"))
+    apart = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {c: spark.conf.get(c) for c in apart}
+    for c, v in apart.items():
+        spark.conf.set(c, v)
+    try:
+        out = J.left_join_split(left, right, "k", "name")
+        plan = out._jdf.queryExecution().toString()
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert sum(sizes) == 30_000 and max(sizes) < 10_000
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
+
+
+def test_store_is_read_where_the_keys_are(spark, tmp_path):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 50 != 0, F.concat(F.lit("e"), (F.col("id") % 4000).cast("string"))).alias("event"), F.col("id").alias("v"))
+    store = KeyedStore(spark, str(tmp_path / "s"), "event")
+    store.append(rows.where("v < 15000"))
+    store.append(rows.where("v >= 15000"))
+    assert spark.read.parquet(store.path).count() == 20_000
+    few = spark.createDataFrame([("e7",), ("e8",), (None,), ("no",)], "event string")
+    out = store.rows_of(few)
+    assert out.columns == ["event", "v"]
+    assert sorted(r["v"] for r in out.collect()) == sorted([7 + 4000 * i for i in range(5)] + [8 + 4000 * i for i in range(5)])
+    scan = next(x for x in out._jdf.queryExecution().toString().split("\n") if "FileScan parquet" in x)
+    assert "PartitionFilters: [isnotnull(__folder" in scan or "PartitionFilters: [__folder" in scan
+    assert "In(event, [" in scan
+    many = rows.where("v < 3000").select("event")  # more than are named: by folders and range
+    expected = rows.join(many.distinct(), "event", "left_semi")
+    assert sorted(r["v"] for r in store.rows_of(many).collect()) == sorted(r["v"] for r in expected.collect())
+    assert store.rows_of(few.where("event is null")).count() == 0
+    df = spark.createDataFrame([("e7", None), ("no", None), (None, None)], "event string, v string")
+    assert {(r[0], r[1]) for r in J.fill_metadata(df, store, "event", ["v"]).collect()} == {("e7", "12007"), ("no", None), (None, None)}
+
+
+def test_orders(spark):
+    """Unknown ids come last, and events are in the order of their ids."""
+    names = spark.createDataFrame([("b sp.",), ("a",), ("c",)], "scientific_name string")
+    known = spark.createDataFrame([("b", "9"), ("c", "2"), ("a", "-999")], "name string, id string")
+    assert [r["taxonomic_id"] for r in J.resolve_names(names, known).collect()] == [2, 9, None]
+    events = spark.createDataFrame([(s, None, 1.0, 1, 1) for s in "zax"], "site_code string, date date, depth double, method int, block int")
+    assert [r["site_code"] for r in E.event_summary(events).collect()] == ["a", "x", "z"]
+
+
 def test_fill_metadata(spark):
     df = spark.createDataFrame([("e1", "BLANK", 5, None, None), ("e1", "7", None, "n", None), ("e9", None, None, None, None)], "sample_event_id string, vis string, time int, direction string, photoquadrats string")
     store = spark.createDataFrame([("e1", "3", "BLANK", "s", "1"), ("e1", "4", "9", None, None), ("e2", "8", "8", "8", "8")], "sample_event_id string, vis string, time string, direction string, photoquadrats string")
