@@ -5,11 +5,18 @@ its odds of being content; the costs of either label are capacities from the sou
 sink. Neighbours in page order, and next blocks of one container, are tied by smoothness
 capacities. The source's side of a minimum cut is the content.
 
-The classifier's weights of a block's own text (length, share of links, end of a sentence, heading)
-are fitted by logistic regression on the blocks of some `SAMPLE` pages that their elements label:
-inside article or main, or inside nav, footer, aside and the like. No labelled pages are given, so
-this is weak supervision; what such elements and names say comes on top as fixed prior odds, and
-with fewer than `LEAST_BLOCKS` labelled blocks of either kind `TEXT_WEIGHTS` stand.
+The classifier sees a block's text (length, share of links, end of a sentence, heading), the blocks
+beside it, and what elements and names say of it. Its weights are fitted by penalised logistic
+regression on the blocks of some `SAMPLE` pages that have an article or main element: what lies in it
+is content, what lies outside is not, and blocks that are marked both ways are left out. The text's
+weights are fitted by themselves, so that they can tell where marks are wanting, those of marks given the
+text's odds (data that never speak against a mark leave it near its prior or below). The weight of standing in such an element, which labels the blocks, is the log ratio of how often content and other
+blocks by the rest of the evidence stand there, but no less than in `WEIGHTS`. With fewer than `LEAST_BLOCKS` labelled blocks of
+either kind `WEIGHTS` stand; they are the prior of the fit as well.
+
+A name speaks for its block by its last word, words of mere shape left aside: "user-comments-list" are
+comments, "copyright-law" is not a copyright notice. An id must consist of such words as a whole, and
+ids of paragraphs and headings are anchors, which say nothing.
 
 Defined results
 - null or empty html, or none but boilerplate: empty text. Null page_id or url: kept as it is.
@@ -30,6 +37,7 @@ import re
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +45,7 @@ from pyspark.sql import DataFrame, functions as F
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _BROKEN = re.compile(r"<[a-zA-Z/!?][^<]*\Z", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMES = re.compile(r"""(?<![\w-])(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 #: Before a name in a token they say that it is elsewhere: "has-sidebar".
 _ELSEWHERE = frozenset("has with no without".split())
@@ -53,17 +61,21 @@ _END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in
 CONTAINERS = frozenset("article main section div nav header footer aside form ul ol dl table figure blockquote details dialog menu fieldset".split())
 MAIN_TAGS, SIDE_TAGS = frozenset(["article", "main"]), frozenset("nav footer aside form menu dialog fieldset".split())
 MAIN_NAMES = frozenset("article main content post entry story body text".split())
-SIDE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget cookie cookies consent gdpr notice notification alert popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login search form comment comments discussion replies disqus pagination pager toolbar copyright legal disclaimer skip".split())
+SIDE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget cookie cookies consent gdpr cc notice notification alert popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login search form comment comments discussion replies responses disqus pagination pager toolbar copyright legal disclaimer skip".split())
+#: Words of names that tell the shape or place of a thing and not what it is.
+SHAPES = MAIN_NAMES | frozenset("area articles bar block bottom box button buttons col column container fixed global group holder icon icons inline inner item items left link links list lists main new outer page pane panel posts primary reader right row secondary section sections site slot small sticky strip this thread top unit user users window wrap wrapper zone".split())
 #: Not beside the content when they stand in it.
 OWN_HEADER = frozenset(["header", "masthead"])
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
-#: The classifier: prior odds of elements and names, and the weights of text where none can be fitted.
-IN_MAIN, IN_SIDE, PAGE_HEADER = 3.0, -8.0, -4.0
-TEXT_WEIGHTS = (-1.5, 0.8, -4.0, 1.0, 0.5)
-#: Inside the content links count for less: an article has lists of links of its own.
+#: The classifier's features; the first seven are the text's, and `main` is to be the last.
+FEATURES = ("constant", "words", "links", "sentence", "heading", "near_links", "near_words", "side_tag", "side_name", "partly", "header", "main")
+TEXT_FEATURES = 7
+#: Weights where none can be fitted.
+WEIGHTS = (-1.5, 0.8, -4.0, 1.0, 0.5, -0.5, 0.1, -8.0, -8.0, -1.0, -4.0, 3.0)
+#: Inside the content links, its own and those beside it, count for less: an article has lists of links.
 LINKS_IN_MAIN = 0.4
-#: Fitted weights are used within these bounds, so that the prior odds keep their say.
-BOUNDS = ((-3.0, 0.0), (0.3, 1.5), (-6.0, -2.0), (0.2, 2.0), (0.0, 2.0))
+#: A text alone is never surer than these odds, however long it is.
+MOST_OF_TEXT = 2.0
 #: Pages that the weights are fitted on (about; taken by a hash), and the fewest blocks of either kind.
 SAMPLE, LEAST_BLOCKS = 2000, 200
 MOST_ODDS = 8.0
@@ -71,47 +83,91 @@ MOST_ODDS = 8.0
 NEAR, APART, SIBLING = 0.6, 0.15, 0.3
 
 
+@dataclass(frozen=True)
+class Marks:
+    """What the elements around a block say of it."""
+
+    article: bool = False
+    main: bool = False
+    side_tag: bool = False
+    side_name: bool = False
+    partly: bool = False
+    header: bool = False
+
+    @property
+    def side(self) -> bool:
+        return self.side_tag or self.side_name
+
+
 @dataclass
 class Block:
     container: int
-    main: bool
-    side: bool
-    header: bool
+    marks: Marks
     heading: bool
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
+    words: int = 0
 
-    def features(self) -> tuple[float, float, float, float, float]:
-        """What the text itself says: a constant, words, share of links, end of a sentence, heading."""
-        return 1.0, math.log1p(self.text.count(" ") + 1), min(1.0, self.linked / max(1, len(self.text))), float(self.text[-1] in ".!?…:;\"'»”"), float(self.heading)
+    @property
+    def links(self) -> float:
+        return min(1.0, self.linked / max(1, len(self.text)))
 
-    def odds(self, weights: tuple[float, ...] = TEXT_WEIGHTS) -> float:
-        x = self.features()
-        z = sum(w * v for w, v in zip(weights, x, strict=True))
-        if self.main:
-            z -= (1 - LINKS_IN_MAIN) * weights[2] * x[2]
-        z += IN_MAIN * self.main + IN_SIDE * self.side + PAGE_HEADER * (self.header and not self.main)
-        return max(-MOST_ODDS, min(MOST_ODDS, z))
+
+def features_of(blocks: list[Block]) -> list[tuple[float, ...]]:
+    """The features of a page's blocks, in the order of `FEATURES`."""
+    out = []
+    for i, b in enumerate(blocks):
+        beside, m = blocks[max(0, i - 1) : i] + blocks[i + 1 : i + 2], b.marks
+        near = (sum(x.links for x in beside) / 2, math.log1p(sum(x.words for x in beside) / 2))
+        text = (1.0, math.log1p(b.words), b.links, float(b.text[-1] in ".!?…:;\"'»”"), float(b.heading))
+        out.append((*text, *near, float(m.side_tag), float(m.side_name), float(m.partly and not m.main), float(m.header and not m.main), float(m.main and not m.side)))
+    return out
 
 
-def _named(tokens: list[str], within: bool) -> tuple[bool, bool]:
-    """Whether an element's names say that it is content, or beside it; within: it stands in content."""
-    main = side = plain = False
-    for token in tokens:
-        words = _WORD.findall(token)
-        beside = {w for before, w in zip(["", *words], words) if w in SIDE_NAMES and before not in _ELSEWHERE}
-        beside -= OWN_HEADER if within else set()
-        side = side or bool(beside)
-        plain = plain or bool(beside) and len(words) == 1  # "sidebar", not "cookies-recipe"
-        main = main or not beside and not MAIN_NAMES.isdisjoint(words) and _ELSEWHERE.isdisjoint(words)
-    return main and not plain, plain or (side and not main)
+def odds_of(x: tuple[float, ...], weights: tuple[float, ...] = WEIGHTS) -> float:
+    """The log odds that a block is content."""
+    text = sum(w * v for w, v in zip(weights[:TEXT_FEATURES], x[:TEXT_FEATURES], strict=True))
+    text -= x[-1] * (1 - LINKS_IN_MAIN) * (weights[2] * x[2] + weights[5] * x[5])
+    marks = sum(w * v for w, v in zip(weights[TEXT_FEATURES:], x[TEXT_FEATURES:], strict=True))
+    return max(-MOST_ODDS, min(MOST_ODDS, max(-MOST_OF_TEXT, min(MOST_OF_TEXT, text)) + marks))
+
+
+def _parts(word: str) -> list[str]:
+    """A word of a name, in two if it is one of SIDE_NAMES and a shape run together."""
+    if word not in SIDE_NAMES:
+        for i in range(2, len(word) - 1):
+            if word[:i] in SIDE_NAMES and word[i:] in SHAPES:
+                return [word[:i], word[i:]]
+    return [word]
+
+
+@lru_cache(maxsize=20_000)
+def _named(attributes: str, within: bool, anchor: bool) -> tuple[bool, bool, bool]:
+    """Whether an element's names say that it is content, beside it, or hold a word that could mean so.
+
+    within: it stands in content; anchor: it is a paragraph or heading, whose ids only mark a place.
+    """
+    main = side = plain = partly = False
+    for kind, *values in _NAMES.findall(attributes):
+        kind, value = kind.lower(), "".join(values).lower()
+        if anchor and kind == "id":
+            continue
+        for token in [value] if kind == "aria-label" else value.split():
+            words = [p for w in _WORD.findall(token) for p in _parts(w)]
+            beside = [w in SIDE_NAMES and before not in _ELSEWHERE and not (within and w in OWN_HEADER) for before, w in zip(["", *words], words)]
+            telling = [own for own, w in zip(beside, words) if own or (w not in SHAPES and len(w) > 2)]
+            whole = bool(telling) and (all(telling) if kind in ("id", "aria-label") else telling[-1])
+            side, plain = side or whole, plain or (whole and len(words) == 1)
+            partly = partly or (any(beside) and not whole)
+            main = main or not any(beside) and not MAIN_NAMES.isdisjoint(words) and _ELSEWHERE.isdisjoint(words)
+    return main and not plain, plain or (side and not main), partly
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks with text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+    stack: list[tuple[str, int, Marks]] = [("", 0, Marks())]
     number, in_link, heading, now = 0, 0, False, None
     at, endless = 0, set()
 
@@ -122,8 +178,8 @@ def blocks_of(page: str) -> list[Block]:
         if now is None:
             if piece.isspace():
                 return
-            _, container, main, side, header = stack[-1]
-            now = Block(container, main, side, header, heading)
+            _, container, marks = stack[-1]
+            now = Block(container, marks, heading)
         now.parts.append(html.unescape(piece) if "&" in piece else piece)
         now.linked += len(piece) if in_link else 0
 
@@ -132,6 +188,7 @@ def blocks_of(page: str) -> list[Block]:
         if now is not None:
             now.text = " ".join("".join(now.parts).split())
             if now.text:
+                now.words = now.text.count(" ") + 1
                 out.append(now)
             now = None
 
@@ -184,17 +241,24 @@ def blocks_of(page: str) -> list[Block]:
                     del stack[i:]
                     break
             continue
-        _, container, main, side, header = stack[-1]
-        own_main, own_side = _named([t for x in _NAMES.findall(m[3]) for t in "".join(x).lower().split()], main) if m[3] else (False, False)
-        if name in MAIN_TAGS:  # whatever its names are
-            own_main, own_side = True, False
-        elif name in SIDE_TAGS:
-            own_main, own_side = False, True
+        _, container, marks = stack[-1]
+        main, side, partly = _named(m[3], marks.main, name == "p" or heading) if m[3] else (False, False, False)
+        article, aside = name in MAIN_TAGS, name in SIDE_TAGS
+        if article or aside:  # whatever its names are
+            main, side, partly = article, False, False
         if name in CONTAINERS:
             number, container = number + 1, number + 1
-        elif not (own_side or own_main):
+        elif not (main or side or partly):
             continue
-        stack.append((name, container, main or (own_main and not own_side), side or own_side, header or (name == "header" and not main)))
+        own = Marks(
+            marks.article or article,
+            marks.main or (main and not side),
+            marks.side_tag or aside,
+            marks.side_name or side,
+            marks.partly or partly,
+            marks.header or (name == "header" and not marks.main),
+        )
+        stack.append((name, container, own))
     rest = page[at:]
     text(rest[: m.start()] if (m := _BROKEN.search(rest)) else rest)
     close()
@@ -242,7 +306,7 @@ def cut_labels(odds: list[float], edges: list[tuple[int, int, float]]) -> list[b
     return inside
 
 
-def main_text(page: str | None, weights: tuple[float, ...] = TEXT_WEIGHTS) -> str:
+def main_text(page: str | None, weights: tuple[float, ...] = WEIGHTS) -> str:
     """The content blocks of a page, joined by line feeds."""
     blocks = blocks_of(page) if page else []
     last: dict[int, int] = {}
@@ -253,46 +317,71 @@ def main_text(page: str | None, weights: tuple[float, ...] = TEXT_WEIGHTS) -> st
         if b.container in last and last[b.container] < i - 1:
             edges.append((last[b.container], i, SIBLING))
         last[b.container] = i
-    labels = cut_labels([b.odds(weights) for b in blocks], edges)
+    labels = cut_labels([odds_of(x, weights) for x in features_of(blocks)], edges)
     return "\n".join(b.text for b, content in zip(blocks, labels, strict=True) if content)
 
 
-def fitted(cells: list[tuple[float, ...]]) -> tuple[float, ...]:
-    """Weights by logistic regression over counted cells (words, links, sentence, heading, label, blocks), by Newton's steps."""
-    data = np.array(cells, float).reshape(-1, 6)
-    label, count = data[:, 4], data[:, 5]
-    if min(count[label > 0].sum(), count[label == 0].sum()) < LEAST_BLOCKS:
-        return TEXT_WEIGHTS
-    x = np.concatenate([np.ones((len(data), 1)), data[:, :4]], axis=1)
-    w, prior = np.array(TEXT_WEIGHTS), np.array(TEXT_WEIGHTS)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+def labelled(page: str | None) -> list[tuple[float, ...]]:
+    """The blocks that a page's article or main element labels: features but for `main`, rounded, and the label."""
+    blocks = blocks_of(page) if page else []
+    if not any(b.marks.article and not b.marks.side for b in blocks):
+        return []
+    rows = []
+    for b, x in zip(blocks, features_of(blocks), strict=True):
+        if b.marks.side if b.marks.article else b.marks.main:
+            continue
+        rows.append((1.0, round(x[1], 1), round(x[2], 1), x[3], x[4], round(x[5] * 4) / 4, float(round(x[6])), *x[7:-1], float(b.marks.article)))
+    return rows
+
+
+def _logistic(x: np.ndarray, label: np.ndarray, count: np.ndarray, prior: np.ndarray, given: np.ndarray | float = 0.0) -> np.ndarray:
+    """Weights by Newton's steps, each shortened until it helps; given: odds that are there without them."""
+
+    def loss(w: np.ndarray) -> float:
+        z = given + x @ w
+        return float(count @ (np.logaddexp(0, z) - label * z) + ((w - prior) ** 2).sum() / 2)
+
+    w = prior
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(given + x @ w, -30, 30)))
         slope = x.T @ (count * (label - p)) - (w - prior)
-        step = np.linalg.solve(x.T @ (x * (count * p * (1 - p))[:, None]) + np.eye(5), slope)
+        step = np.linalg.solve(x.T @ (x * (count * p * (1 - p))[:, None]) + np.eye(len(w)), slope)
+        while np.abs(step).max() > 1e-9 and loss(w + step) > loss(w):
+            step = step / 2
         w = w + step
         if np.abs(step).max() < 1e-9:
             break
-    return tuple(float(np.clip(v, lo, hi)) for v, (lo, hi) in zip(w, BOUNDS, strict=True))
+    return w
+
+
+def fitted(cells: list[tuple[float, ...]]) -> tuple[float, ...]:
+    """Weights from counted cells (a row of `labelled`, blocks): the text's, then those of marks given the text's odds."""
+    n = len(FEATURES)
+    data = np.array(cells, float).reshape(-1, n + 1)
+    texts, marks, label, count = data[:, :TEXT_FEATURES], data[:, TEXT_FEATURES : n - 1], data[:, n - 1], data[:, n]
+    if min(count[label > 0].sum(), count[label == 0].sum()) < LEAST_BLOCKS:
+        return WEIGHTS
+    own = _logistic(texts, label, count, np.array(WEIGHTS[:TEXT_FEATURES]))
+    said = _logistic(marks, label, count, np.array(WEIGHTS[TEXT_FEATURES:-1]), np.clip(texts @ own, -MOST_OF_TEXT, MOST_OF_TEXT))
+    content = count / (1 + np.exp(-np.clip(texts @ own + marks @ said, -MOST_ODDS, MOST_ODDS)))
+    other = count - content
+    within, beside = (content @ label + 1) / (content.sum() + 2), (other @ label + 1) / (other.sum() + 2)
+    return (*map(float, own), *map(float, said), max(WEIGHTS[-1], math.log(within / beside)))
 
 
 def weights_of(pages: DataFrame, sample: int = SAMPLE) -> tuple[float, ...]:
     """The classifier's weights for these pages."""
     share = 1_000_000 * sample // max(1, sample, pages.count())
     some = pages.select("html", F.xxhash64("page_id", "url").alias("h")).where(F.col("html").isNotNull() & (F.pmod("h", F.lit(1_000_000)) < share))
+    names = [*FEATURES[:-1], "label"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for page in batch.column("html"):
-                for b in blocks_of(page.as_py()):
-                    if b.side or b.main or b.header:
-                        _, words, links, sentence, heading = b.features()
-                        rows.append((round(words, 1), round(links, 1), sentence, heading, float(b.main and not b.side)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in columns], ["words", "links", "sentence", "heading", "label"])
-
-    kind = "words double, links double, sentence double, heading double, label double"
-    cells = some.select("html").mapInArrow(run, kind).groupBy("words", "links", "sentence", "heading", "label").agg(F.count("*").alias("n"))
+            rows = [row for page in batch.column("html") for row in labelled(page.as_py())]
+            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in columns], names)
+
+    cells = some.select("html").mapInArrow(run, ", ".join(f"{n} double" for n in names)).groupBy(*names).agg(F.count("*").alias("n"))
     return fitted([tuple(r) for r in cells.orderBy(*cells.columns).collect()])  # as many cells as there are steps, whatever the pages
 
 
