@@ -251,6 +251,13 @@ def cast_all_text(spark, d):
     return e.select("event_id").join(N.all_text(e.select(F.col("event_id").alias("label"), F.col("user_id").alias("who"))), F.col("event_id").cast("string") == F.col("label"))
 
 
+@query("SELECT CAST(p_size AS VARCHAR) AS size_class, count(*) AS n, count(p_name) AS named FROM part GROUP BY 1")
+def factor_counts(spark, d):
+    """A number cast to a factor, as a plot's colours need it, and the rows of each level."""
+    p = read(spark, d, "part")
+    return N.all_text(p.select(F.col("p_size").alias("size_class"), "p_name")).groupBy("size_class").agg(F.count("*").alias("n"), F.count("p_name").alias("named"))
+
+
 ROSTER = "WITH r AS (SELECT concat('S', CAST(o_orderkey AS VARCHAR)) AS s, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS a, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority END AS b, CAST(o_custkey % 30 AS DOUBLE) / 4 AS d, CAST(year(o_orderdate) AS INT) AS y, CAST(o_orderkey % 14 AS INT) AS m, CAST(o_custkey % 33 AS INT) AS k FROM orders), t AS (SELECT s, 'T1' AS transect, a AS initials, d AS depth, y, m, k FROM r WHERE a IS NOT NULL OR b IS NOT NULL UNION ALL SELECT s, 'T2', b, CASE WHEN b IS NOT NULL THEN d + 1 END, CASE WHEN b IS NOT NULL THEN y END, CASE WHEN b IS NOT NULL THEN m END, CASE WHEN b IS NOT NULL THEN k END FROM r WHERE a IS NOT NULL OR b IS NOT NULL), u AS (SELECT s AS site_code, transect, initials, depth, try_cast(CASE WHEN y IS NOT NULL THEN printf('%04d-%02d-%02d', y, m, k) END AS DATE) AS date FROM t) SELECT *, concat_ws('_', site_code, 'RLS', coalesce(CAST(date AS VARCHAR), 'NA'), coalesce(printf('%.15g', depth), 'NA')) AS sample_event_id FROM u"
 
 

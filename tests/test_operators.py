@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from fieldsieve.functions import nulls as N, text as X
 from fieldsieve.operators import events as E, ingest as I, joins as J, metrics as M, wrangle as W
 from fieldsieve.operators.rowid import with_rowid
+from fieldsieve.plans.registry import QUERIES
 from fieldsieve.sources.store import KeyedStore
 
 
@@ -269,3 +270,19 @@ def test_profile_by_a_sketch(spark):
     assert all(abs(exact[c][2] - rough[c][2]) <= 0.1 * exact[c][2] + 1 and exact[c][:2] == rough[c][:2] for c in exact)
     assert M.column_profile(df)._jdf.queryExecution().executedPlan().toString().count("Expand") == 0
     assert {r["column_name"]: r["n_failing"] for r in M.conformance(df, [("a", "string"), ("b", "int"), ("q", "int")]).collect()} == {"a": 0, "b": 0, "q": None, "z": None}
+
+
+def test_orders_of_results(spark, sf):
+    """Ids ascend and unknown names come last; events ascend by the bytes of their id. Both over whole tables."""
+    ids = [r["taxonomic_id"] for r in QUERIES["tax_right_join"](spark, sf).collect()]
+    known = [x for x in ids if x is not None]
+    assert 0 < len(known) < len(ids) and ids == sorted(known) + [None] * (len(ids) - len(known))
+    events = [r["sample_event_id"].encode() for r in QUERIES["event_summary"](spark, sf).collect()]
+    assert len(events) > 10 and events == sorted(events)
+
+
+def test_order_of_ids_that_are_not_ascii(spark):
+    rows = [(site, "2020-01-01", 5.0, 1, 1) for site in ("é", "z", "A", "a", "_", "Z", "漢", None, "\U0001f41f")]
+    out = E.event_summary(spark.createDataFrame(rows, "site_code string, date string, depth double, method int, block int"))
+    events = [r["sample_event_id"].encode() for r in out.collect()]
+    assert len(events) == len(rows) and events == sorted(events)
