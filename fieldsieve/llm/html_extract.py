@@ -61,7 +61,7 @@ _END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in
 CONTAINERS = frozenset("article main section div nav header footer aside form ul ol dl table figure blockquote details dialog menu fieldset".split())
 MAIN_TAGS, SIDE_TAGS = frozenset(["article", "main"]), frozenset("nav footer aside form menu dialog fieldset".split())
 MAIN_NAMES = frozenset("article main content post entry story body text".split())
-SIDE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget cookie cookies consent gdpr cc notice notification alert popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login search form comment comments discussion replies responses disqus pagination pager toolbar copyright legal disclaimer skip".split())
+SIDE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget cookie cookies consent gdpr cc notice notification alert popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login search form comment comments discussion replies responses disqus pagination pager toolbar copyright legal disclaimer skip complementary contentinfo dialog".split())
 #: Words of names that tell the shape or place of a thing and not what it is.
 SHAPES = MAIN_NAMES | frozenset("area articles bar block bottom box button buttons col column container fixed global group holder icon icons inline inner item items left link links list lists main new outer page pane panel posts primary reader right row secondary section sections site slot small sticky strip this thread top unit user users window wrap wrapper zone".split())
 #: Not beside the content when they stand in it.
@@ -142,17 +142,23 @@ def _parts(word: str) -> list[str]:
     return [word]
 
 
-@lru_cache(maxsize=20_000)
 def _named(attributes: str, within: bool, anchor: bool) -> tuple[bool, bool, bool]:
     """Whether an element's names say that it is content, beside it, or hold a word that could mean so.
 
     within: it stands in content; anchor: it is a paragraph or heading, whose ids only mark a place.
     """
+    names = tuple((kind.lower(), "".join(values).lower()) for kind, *values in _NAMES.findall(attributes) if not (anchor and kind.lower() == "id"))
+    if not names:
+        return False, False, False
+    short = sum(len(value) for _, value in names) <= 200
+    return (_judged if short else _judged.__wrapped__)(names, within)
+
+
+@lru_cache(maxsize=20_000)
+def _judged(names: tuple[tuple[str, str], ...], within: bool) -> tuple[bool, bool, bool]:
+    """`_named` of (attribute, value)s; short ones are remembered."""
     main = side = plain = partly = False
-    for kind, *values in _NAMES.findall(attributes):
-        kind, value = kind.lower(), "".join(values).lower()
-        if anchor and kind == "id":
-            continue
+    for kind, value in names:
         for token in [value] if kind == "aria-label" else value.split():
             words = [p for w in _WORD.findall(token) for p in _parts(w)]
             beside = [w in SIDE_NAMES and before not in _ELSEWHERE and not (within and w in OWN_HEADER) for before, w in zip(["", *words], words)]

@@ -163,7 +163,7 @@ def learned(pages):
 
 
 IN_ARTICLE = ["<div class='copyright-law'>{}</div>", "<section class='related-work'>{}</section>", "<section id='comments-on-method'>{}</section>", "<p id='form'>{}</p>", "<h2 id='comments'>{}</h2>", "<div class='cookies-recipe'>{}</div>", "<section aria-label='Comments on the method'>{}</section>"]
-BESIDE = ["<div class='cc-window'>{}</div>", "<div class='adbox'>{}</div>", "<ol class='commentlist'><li>{}</li></ol>", "<div class='responses'>{}</div>", "<div class='user-comments-list'>{}</div>", "<div id='site-footer'>{}</div>", "<section aria-label='Related articles'>{}</section>", "<div class='sponsored-content'>{}</div>"]
+BESIDE = ["<div class='cc-window'>{}</div>", "<div class='adbox'>{}</div>", "<ol class='commentlist'><li>{}</li></ol>", "<div class='responses'>{}</div>", "<div class='user-comments-list'>{}</div>", "<div id='site-footer'>{}</div>", "<section aria-label='Related articles'>{}</section>", "<div class='sponsored-content'>{}</div>", "<div role='complementary'>{}</div>", "<div role='contentinfo'>{}</div>"]
 
 
 @pytest.mark.parametrize("fit", [False, True])
@@ -182,6 +182,13 @@ def test_names_of_what_stands_beside(inner, fit, learned):
     assert lines_of(f"<article><p>{TEXT}</p>{beside}<p>{TEXT}</p></article>{beside}", weights) == [TEXT, TEXT]
 
 
+def test_long_names_are_judged_alike():
+    tail = " ".join(f"x{i}" for i in range(200))
+    for name in ("sidebar", "related-work"):
+        assert H._named(f" class='{name} {tail}'", True, False)[1:] == H._named(f" class='{name}'", True, False)[1:]
+    assert H._named(" data-id='ads' style='x'", False, False) == (False, False, False)
+
+
 def test_links_in_an_article_with_fitted_weights(learned):
     links = "<ul><li><a href=x>The linked item</a></li><li><a href=y>Another one</a></li></ul>"
     assert lines_of(f"<nav>{links}</nav><article><p>{TEXT}</p>{links}<p>{TEXT}</p>{links}</article>", learned) == [TEXT, "The linked item", "Another one"] + [TEXT, "The linked item", "Another one"]
