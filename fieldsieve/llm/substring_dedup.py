@@ -5,8 +5,8 @@ depend on nearby words only, so copies are cut alike. Paragraphs of equal words
 Classes that share one of the bands (`ROWS` minimal five-word shingles each, as many bands as
 `tuned` asks for) are compared, exact Jaccard similarity confirms, and components of classes are
 clusters. A list of up to `SHORT` classes gives all its pairs. Members of longer lists meet their
-centre; those still in different components after that are paired by an exact prefix filter on
-their full sets, so no link depends on the length of a list.
+centre, the one whose shingles are most widely held; those still in different components after
+that are paired by an exact prefix filter on their full sets, so no link depends on the length of a list.
 
 A verbatim passage need not fill a line. So the least of every `REACH` neighbouring windows of
 `MARK` words is a class as well, wherever it stands: two texts that agree on MARK + REACH - 1
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .bitmaps import bitmap, hits, xxhash64
 from .common import cut, discard
 from .components import components
-from .near_dedup import _confirm, _ordered, _prefix_pairs
+from .near_dedup import _confirm, _exploded, _ordered, _prefix_pairs
 from .shingles import MULTIPLIER, SIZE, line_hashes, mixed, slices, windows
 
 #: A mark covers so many words and is the least of so many.
@@ -52,6 +52,7 @@ LEAST_WORDS = 24
 #: Runs that are looked at for an extension, and how far it goes in one direction.
 LEAST_SEED, CONTEXT = 8, 64
 PASSAGE, PARAGRAPH = 0, 1
+LEFT, RIGHT = 0, 1
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -157,15 +158,36 @@ def _sets(docs: DataFrame, wanted: DataFrame, only: Broadcast) -> DataFrame:
     return found.join(wanted, ["node", "doc_id", "start"], "left_semi").select("node", "set").dropDuplicates(["node"])
 
 
+def _held(long: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, size, wide) of the members of long lists that can be near to another.
+
+    Of a node's shingles, as many must be held by others as a link needs. wide is about how many of
+    them those that are like it hold as well.
+    """
+    every = _exploded(sets.join(long.select("node").distinct(), "node"))
+    counts = every.groupBy("shingle").agg(F.count("*").alias("n"))
+    wide = (F.sum("n") / F.max("n")).alias("wide")
+    out = every.join(counts, "shingle").groupBy("node").agg(F.count("*").alias("size"), wide, F.count_if(F.col("n") > 1).alias("held"))
+    return out.where(100 * F.col("held") >= percent * F.col("size")).drop("held")
+
+
 def _apart_links(long: DataFrame, links: DataFrame, tried: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """links, and those between members of long lists (key, node) that join what links leave apart."""
+    """links, and those between members of long lists (key, node) that join what links leave apart; tried: pairs that were compared.
+
+    A list's centre is the member that is likely to be near to most others, so few are left apart.
+    """
+    long = cut(long.join(_held(long, sets, percent), "node"), "long")
+    usual = long.groupBy("key").agg(F.avg("size").alias("usual"))
+    like = F.col("wide") / (F.col("size") + F.col("usual") - F.col("wide"))
+    centre = long.join(usual, "key").groupBy("key").agg(F.max_by("node", F.struct(like, -F.col("node"))).alias("b"))
+    first = cut(_ordered(long.join(centre, "key").select(F.col("node").alias("a"), "b")).distinct().join(tried, ["a", "b"], "left_anti"), "first")
+    links = cut(links.union(_confirm(first, sets, percent)), "links")
     now = long.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    now = now.join(sets.select("node", (F.length("set") / 8).cast("long").alias("size")), "node")
     many = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     apart = cut(now.join(many, "key").select("node", "size", "component").distinct(), "apart")
     if apart.isEmpty():
         return links
-    more = cut(_ordered(_prefix_pairs(apart, sets, percent)).distinct().join(tried, ["a", "b"], "left_anti"), "more")
+    more = cut(_ordered(_prefix_pairs(apart, sets, percent)).distinct().join(tried.union(first), ["a", "b"], "left_anti"), "more")
     return cut(links.union(_confirm(more, sets, percent)), "links")
 
 
@@ -173,14 +195,14 @@ def _near(docs: DataFrame, units: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the paragraph classes that are near to others."""
     lines = units.where(F.col("kind") == PARAGRAPH)
     keys = lines.select("node", F.explode("keys").alias("key"))
-    lists = cut(keys.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last"), "lists")
-    members = cut(keys.join(lists.select("key", "centre"), "key").distinct(), "members")
+    lists = cut(keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("last")).where("least < last").select("key"), "lists")
+    members = cut(keys.join(lists, "key", "left_semi").distinct(), "members")
     sizes = members.groupBy("key").agg(F.count("*").alias("n"))
     long = cut(members.join(sizes.where(F.col("n") > SHORT).select("key"), "key"), "long")
     short = members.join(long.select("key").distinct(), "key", "left_anti")
     pairs = short.alias("x").join(short.alias("y"), "key").where("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    pairs = cut(_ordered(pairs.union(long.select("node", "centre"))).distinct(), "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    pairs = cut(_ordered(pairs).distinct(), "pairs")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(long.select("node")).distinct()
     wanted = lines.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "start")).alias("s"))
     wanted = cut(wanted.select("node", "s.doc_id", F.col("s.start").cast("long").alias("start")), "wanted")
     only = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, F.xxhash64("node", "doc_id", "start")))
@@ -210,34 +232,51 @@ def _runs(pieces: DataFrame) -> DataFrame:
     return merged.drop("run")
 
 
+def _asked_for(places: DataFrame) -> np.ndarray:
+    """A bitmap of places (doc_id, at, side), two bits for each."""
+    keys = F.array(F.xxhash64("doc_id", "at", "side"), F.xxhash64("side", "at", "doc_id"))
+    return bitmap(places.select(F.explode(keys).alias("key")), F.col("key"))
+
+
 def _contexts(docs: DataFrame, only: Broadcast) -> DataFrame:
-    """(doc_id, at, before, after): hashes of the words on either side of the places that the bitmap has, nearest first."""
+    """(doc_id, at, side, words): hashes of the words on that side of the places that the bitmap has, nearest first.
+
+    Runs begin and end where units do, so no other places are looked up.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            hashes, starts, _ = line_hashes(batch.column("text").to_pylist())
+            hashes, starts, lines = line_hashes(batch.column("text").to_pylist())
             ids = batch.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
-            doc = np.repeat(np.arange(len(ids)), np.diff(starts) + 1)  # every word, and every document's end
-            place = np.arange(len(doc)) - (starts[:-1] + np.arange(len(ids)))[doc]
-            at = np.flatnonzero(hits(only.value, xxhash64(ids[doc], place)))
-            short, before, after = hashes.astype(np.uint32), [], []
-            for d, k in zip(doc[at].tolist(), place[at].tolist(), strict=True):
-                x = int(starts[d]) + k
-                before.append(short[max(starts[d], x - CONTEXT) : x][::-1].tobytes())
-                after.append(short[x : min(starts[d + 1], x + CONTEXT)].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids[doc[at]]), pa.array(place[at]), pa.array(before, pa.binary()), pa.array(after, pa.binary())], ["doc_id", "at", "before", "after"])
-
-    return docs.mapInArrow(run, "doc_id long, at long, before binary, after binary").dropDuplicates(["doc_id", "at"])
+            mark, hash_ = marks(hashes, starts)
+            doc, begin, words = paragraphs(len(hashes), starts, lines, mark, hash_)
+            doc, begin = np.append(doc, np.searchsorted(starts, mark, side="right") - 1), np.append(begin, mark)
+            end = begin + np.append(words, np.full(len(mark), MARK))
+            short = hashes.astype(np.uint32)
+            for side, x in ((LEFT, begin), (RIGHT, end)):
+                once = np.unique(x + doc, return_index=True)[1]  # a document's end is apart from the next one's first word
+                d, x = doc[once], x[once]
+                place, s = x - starts[d], np.full(len(d), side)
+                asked = hits(only.value, xxhash64(ids[d], place, s)) & hits(only.value, xxhash64(s, place, ids[d]))
+                d, x, place, s = d[asked], x[asked], place[asked], s[asked]
+                a, b = (np.maximum(starts[d], x - CONTEXT), x) if side == LEFT else (x, np.minimum(starts[d + 1], x + CONTEXT))
+                step = -1 if side == LEFT else 1
+                near = [short[i:j][::step].tobytes() for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array(place), pa.array(s), pa.array(near, pa.binary())], ["doc_id", "at", "side", "words"])
+
+    return docs.mapInArrow(run, "doc_id long, at long, side long, words binary").dropDuplicates(["doc_id", "at", "side"])
 
 
 def _extended(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """runs, each as far as it agrees with its first occurrence in another document."""
-    side = lambda name, at, to: F.struct(F.lit(name).alias("side"), F.col(at).cast("long").alias("at"), F.col(f"{to}.doc_id").alias("other"), F.col(f"{to}.at").cast("long").alias("there"))
-    asked = runs.where(F.col("end") - F.col("start") >= LEAST_SEED).select("doc_id", F.col("start").alias("run"), F.explode(F.array(side("left", "start", "left"), side("right", "end", "right"))).alias("x"))
-    asked = cut(asked.select("doc_id", "run", "x.*").where(F.col("other") != F.col("doc_id")), "asked")
-    places = asked.select("doc_id", "at").union(asked.select("other", "there")).distinct()
-    only = docs.sparkSession.sparkContext.broadcast(bitmap(places, F.xxhash64("doc_id", "at")))
-    contexts = cut(_contexts(docs, only), "contexts")
+    side = lambda name, at, to: F.struct(F.lit(name).cast("long").alias("side"), F.col(at).cast("long").alias("at"), F.col(f"{to}.doc_id").alias("other"), F.col(f"{to}.at").cast("long").alias("there"))
+    asked = runs.where(F.col("end") - F.col("start") >= LEAST_SEED).select("doc_id", F.col("start").alias("run"), F.explode(F.array(side(LEFT, "start", "left"), side(RIGHT, "end", "right"))).alias("x"))
+    # left of a text's first word there is nothing to agree on
+    asked = asked.select("doc_id", "run", "x.*").where((F.col("other") != F.col("doc_id")) & ((F.col("side") == RIGHT) | (F.col("at") > 0) & (F.col("there") > 0)))
+    asked = cut(asked, "asked")
+    places = asked.select("doc_id", "at", "side").union(asked.select("other", "there", "side")).distinct()
+    only = docs.sparkSession.sparkContext.broadcast(_asked_for(places))
+    contexts = _contexts(docs, only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,12 +287,12 @@ def _extended(docs: DataFrame, runs: DataFrame) -> DataFrame:
                 more.append(int(differ[0]) if len(differ) else n)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "run", "side")), pa.array(more, pa.int32())], ["doc_id", "run", "side", "more"])
 
-    near = lambda c: F.when(F.col("side") == "left", F.col(f"{c}.before")).otherwise(F.col(f"{c}.after"))
-    here, there = contexts.alias("h"), contexts.alias("t")
-    both = asked.alias("q").join(here, (F.col("q.doc_id") == F.col("h.doc_id")) & (F.col("q.at") == F.col("h.at"))).join(there, (F.col("q.other") == F.col("t.doc_id")) & (F.col("q.there") == F.col("t.at")))
-    both = both.select("q.doc_id", "q.run", "q.side", near("h").alias("x"), near("t").alias("y")).mapInArrow(run, "doc_id long, run int, side string, more int")
+    # both joins are by the columns that contexts are deduplicated by, so these are shuffled once
+    here = asked.join(contexts.withColumnRenamed("words", "x"), ["doc_id", "at", "side"])
+    there = contexts.select(F.col("doc_id").alias("other"), F.col("at").alias("there"), "side", F.col("words").alias("y"))
+    both = here.join(there, ["other", "there", "side"]).select("doc_id", "run", "side", "x", "y").mapInArrow(run, "doc_id long, run int, side long, more int")
     part = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("more"))), F.lit(0)).cast("int")
-    more = both.groupBy("doc_id", F.col("run").alias("start")).agg(part("left").alias("l"), part("right").alias("r"))
+    more = both.groupBy("doc_id", F.col("run").alias("start")).agg(part(LEFT).alias("l"), part(RIGHT).alias("r"))
     out = runs.join(more, ["doc_id", "start"], "left")
     left, right = F.coalesce("l", F.lit(0)), F.coalesce("r", F.lit(0))
     moved = {"start": F.col("start") - left, "end": F.col("end") + right, "left": F.struct("left.doc_id", (F.col("left.at") - left).alias("at")), "right": F.struct("right.doc_id", (F.col("right.at") + right).alias("at"))}

@@ -188,3 +188,40 @@ def test_clashing_names(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, __gone string, __doc int, start string")
     out = {r["doc_id"]: r for r in S.without_repeats(df).collect()}
     assert S.without_repeats(df).columns == df.columns and out[0]["text"] == rows[0][1] and passage not in out[1]["text"] and out[2]["__doc"] == 2
+
+
+def test_variants_of_one_paragraph_meet_their_centre(spark, monkeypatch):
+    """Sixty variants are near to one paragraph and mostly not to each other: few pairs of them are compared, and all come together."""
+    rng = random.Random(21)
+    hub = unlike(rng, 100)
+    texts = [hub] + [" ".join(f"e{i}x{k}" if k in (20 + i % 7, 70 + i % 11) else w for k, w in enumerate(hub.split())) for i in range(60)]
+    assert all(jaccard(hub, t) >= 0.75 for t in texts) and sum(jaccard(x, y) >= 0.75 for x in texts[1:] for y in texts[1:] if x != y) < 1000
+    found, pairs = [], S._prefix_pairs
+
+    def counted(*a):
+        out = pairs(*a)
+        found.append(out.distinct().count())
+        return out
+
+    monkeypatch.setattr(S, "_prefix_pairs", counted)
+    docs = frame(spark, texts).select("doc_id", "text")
+    near = S._near(docs, S._units(docs, S.tuned(75)), 75).collect()
+    assert len(near) == 61 and len({r["component"] for r in near}) == 1
+    assert sum(found) <= 61
+
+
+def test_contexts_of_places_where_units_end(spark):
+    """Even a bitmap that has every place asks for no more than the edges of units."""
+    import numpy as np
+
+    rng = random.Random(22)
+    texts = [unlike(rng, n) for n in (300, 40, 17, 3)] + ["", None, unlike(rng, 30) + "\n" + unlike(rng, 50)]
+    docs = frame(spark, texts).select("doc_id", "text")
+    units = {(r["doc_id"], r["start"], r["words"]) for r in S._units(docs, 1).collect()}
+    every = spark.sparkContext.broadcast(np.full(1 << 20, np.iinfo(np.uint64).max, np.uint64))
+    rows = S._contexts(docs, every).collect()
+    got = {(r["doc_id"], r["at"], r["side"]): len(r["words"]) // 4 for r in rows}
+    assert len(got) == len(rows) <= 2 * len(units) + 2 < sum(len((t or "").split()) for t in texts) / 2
+    for doc, start, words in units:
+        assert got[doc, start, S.LEFT] == min(start, S.CONTEXT)
+        assert got[doc, start + words, S.RIGHT] == min(len(texts[doc].split()) - start - words, S.CONTEXT)
