@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .bitmaps import bitmap, hits
 from .common import cut
-from .components import components
+from .components import components, stars
 from .shingles import common, shingle_sets, slices
 
 K = 48
@@ -118,13 +118,15 @@ def _held(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _long_links(long: DataFrame, held: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """links, and those between members of long lists that join what links leave apart."""
+    """Links with the components of links and of those between members of long lists that join what links leave apart; the former as stars."""
     long = cut(long.select("value", "node").join(held, "node"), "long")
     best = F.max_by("node", F.struct(F.col("held") / F.col("size"), -F.col("node")))  # the fewest shingles of its own
     centre = long.groupBy("value").agg(best.alias("b"))
     tried = cut(_ordered(long.join(centre, "value").select(F.col("node").alias("a"), "b")).distinct(), "tried")
     links = cut(links.union(_confirm(tried, sets, percent)), "links")
-    now = long.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    done = stars(links)
+    links = done.select(F.col("b").alias("a"), F.col("a").alias("b"))  # what follows goes on from there
+    now = long.join(done.toDF("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     many = now.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
     apart = cut(now.join(many, "value").select("node", "size", "component").distinct(), "apart")
     if apart.isEmpty():

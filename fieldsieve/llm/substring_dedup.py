@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .bitmaps import bitmap, hits, xxhash64
 from .common import cut, discard
-from .components import components
+from .components import components, stars
 from .near_dedup import _confirm, _exploded, _ordered, _prefix_pairs
 from .shingles import MULTIPLIER, SIZE, line_hashes, mixed, slices, windows
 
@@ -172,7 +172,7 @@ def _held(long: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _apart_links(long: DataFrame, links: DataFrame, tried: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """links, and those between members of long lists (key, node) that join what links leave apart; tried: pairs that were compared.
+    """Links with the components of links and of those between members of long lists (key, node) that join what links leave apart; tried: pairs that were compared.
 
     A list's centre is the member that is likely to be near to most others, so few are left apart.
     """
@@ -182,7 +182,9 @@ def _apart_links(long: DataFrame, links: DataFrame, tried: DataFrame, sets: Data
     centre = long.join(usual, "key").groupBy("key").agg(F.max_by("node", F.struct(like, -F.col("node"))).alias("b"))
     first = cut(_ordered(long.join(centre, "key").select(F.col("node").alias("a"), "b")).distinct().join(tried, ["a", "b"], "left_anti"), "first")
     links = cut(links.union(_confirm(first, sets, percent)), "links")
-    now = long.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    done = stars(links)
+    links = done.select(F.col("b").alias("a"), F.col("a").alias("b"))  # what follows goes on from there
+    now = long.join(done.toDF("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     many = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     apart = cut(now.join(many, "key").select("node", "size", "component").distinct(), "apart")
     if apart.isEmpty():

@@ -104,3 +104,17 @@ def test_components(spark):
     df = spark.createDataFrame(edges, "a long, b long")
     assert {r["node"]: r["component"] for r in components(df).collect()} == {x: root(x) for x in parent}
     assert components(df.where("false")).count() == 0
+
+
+def test_stars_are_not_gone_over_again(spark, monkeypatch):
+    """What is settled is seen without another round, and links that were joined once come back as stars."""
+    from fieldsieve.llm import components as C
+
+    rounds, star = [], C._star
+    monkeypatch.setattr(C, "_star", lambda edges, large: rounds.append(large) or star(edges, large))
+    path = [(1, 2), (2, 3), (2, 3), (3, 2)]
+    assert sorted(map(tuple, components(spark.createDataFrame(path, "a long, b long")).collect())) == [(1, 1), (2, 1), (3, 1)]
+    assert len(rounds) == 2
+    hub = [(9, i) for i in range(10, 30)] + [(40, 31)]
+    assert len(components(spark.createDataFrame(hub, "a long, b long")).collect()) == 23
+    assert len(rounds) == 2
